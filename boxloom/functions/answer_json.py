@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions import text as tx
@@ -80,24 +82,29 @@ def _sequence(text: Column) -> Column:
     return F.when(complete, F.slice(read, 1, F.greatest(F.lit(0), F.size(read) - 1)))
 
 
-def answer_rows(raw: Column) -> Column:
-    """Rows of a model answer as array<variant>; null when the answer cannot be used.
+def read_rows(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys.., items): rows of each answer as array<variant>, null when it cannot be used.
 
     Code fences and commas before a closing bracket are dropped. A whole array, or an
     object with a `rows` array, is taken as it is; two or more rows without their outer
-    array (or with only its closing bracket) are recovered.
+    array (or with only its closing bracket) are recovered. Built in steps, so that each
+    text is cleaned and parsed once.
     """
-    text = F.regexp_replace(tx.strip_fences(raw), TRAILING_COMMA, "$1")
-    open_end = F.rlike(text, F.lit(r",\s*$"))
-    found = _sequence(F.regexp_replace(text, r",\s*$", ""))
-    head = F.try_element_at(found, F.lit(1))
-    whole = F.when((F.size(found) == 1) & ~open_end,
-                   F.when(is_array(head), values(head)).when(is_array(field(head, "rows")), values(field(head, "rows"))))
-
-    def rows_only(items: Column) -> Column:
-        return F.when((F.size(items) >= 2) & F.forall(items, lambda x: is_array(x) | is_object(x)), items)
-
+    text = F.col("__text")
     half_open = text.startswith("[") & ~text.startswith("[[") & text.endswith("]]")
-    inner = F.regexp_replace(text, r"\s*\]$", "")
-    rescued = F.when(half_open, rows_only(_sequence(F.regexp_replace(inner, r",\s*$", ""))))
-    return F.coalesce(whole, F.when(~((F.size(found) == 1) & ~open_end), rows_only(found)), rescued)
+    single = (F.size("__found") == 1) & ~F.col("__open_end")
+
+    def rows_only(items: str) -> Column:
+        return F.when((F.size(items) >= 2) & F.forall(items, lambda x: is_array(x) | is_object(x)), F.col(items))
+
+    return (answers.select(*keys, tx.plain_lines(F.col("raw")).alias("__plain"))
+            .select(*keys, F.regexp_replace(tx.without_fences(F.col("__plain")), TRAILING_COMMA, "$1").alias("__text"))
+            .select(*keys, "__text", F.rlike("__text", F.lit(r",\s*$")).alias("__open_end"), half_open.alias("__half"))
+            .withColumn("__found", _sequence(F.regexp_replace("__text", r",\s*$", "")))
+            .withColumn("__inner", F.when(F.col("__half") & F.col("__found").isNull(),
+                                          _sequence(F.regexp_replace("__text", r"\s*,?\s*\]$", ""))))
+            .withColumn("__head", F.when(single, F.get("__found", F.lit(0))))
+            .withColumn("__whole", F.when(is_array(F.col("__head")), values(F.col("__head")))
+                        .otherwise(values(field(F.col("__head"), "rows"))))
+            .select(*keys, F.when(single, F.col("__whole")).otherwise(
+                F.coalesce(rows_only("__found"), rows_only("__inner"))).alias("items")))

@@ -80,12 +80,20 @@ def caption(value: Column) -> Column:
     return F.array_join(F.filter(cleaned, lambda x: x != ""), "\n")
 
 
+def plain_lines(value: Column) -> Column:
+    """Trimmed text with every kind of line break written as a newline."""
+    return F.regexp_replace(strip(value), LINE_BREAK, "\n")
+
+
+def without_fences(text: Column) -> Column:
+    """Drop a code fence around text that already has plain line breaks."""
+    opened = F.regexp_replace(text, r"\A```[^\n]*(?:\n|\z)", "")
+    closed = F.regexp_replace(opened, r"(?U)(?:\A|\n)[^\S\n]*```[^\S\n]*\z", "")
+    return strip(F.when(text.startswith("```"), closed).otherwise(text))
+
+
 def strip_fences(value: Column) -> Column:
-    text = F.array_join(lines(strip(value)), "\n")
-    fenced = text.startswith("```")
-    body = F.regexp_replace(text, r"^```[^\n]*(\n|$)", "")
-    body = F.regexp_replace(body, r"(?U)(^|\n)[^\S\n]*```[^\S\n]*$", "")
-    return strip(F.when(fenced, body).otherwise(text))
+    return without_fences(plain_lines(value))
 
 
 def clean_title(value: Column) -> Column:

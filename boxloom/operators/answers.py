@@ -15,6 +15,7 @@ from boxloom.functions import answer_json as aj
 from boxloom.functions import geometry as geo
 from boxloom.functions import text as tx
 from boxloom.operators.ranking import position_block, split_row_number
+from boxloom.session import materialise
 
 PAGE = ("book_id", "page")
 # Fixed values
@@ -24,12 +25,18 @@ FILLS = ("black", "white")
 NO_CHANGES, EMPTY_MARK = "<NO_CHANGES>", "<EMPTY>"
 
 
-def answer_items(answers: DataFrame, keys: Sequence[str] = PAGE) -> tuple[DataFrame, DataFrame]:
-    """(one row per answer item with `pos` and `item`, one error row per unreadable answer)."""
-    read = answers.select(*keys, aj.answer_rows(F.col("raw")).alias("items"))
-    items = read.where(F.col("items").isNotNull()).select(*keys, F.posexplode("items").alias("pos", "item"))
-    broken = read.where(F.col("items").isNull()).select(*keys, *_error("invalid_json"))
-    return items, broken
+def answer_items(answers: DataFrame, keys: Sequence[str] = PAGE, cells: int = 0) -> DataFrame:
+    """One row per answer item; an unreadable or empty answer keeps one row without position.
+
+    Adds `unreadable`, `pos`, `item`, `is_list`, `is_object`, `size` and the first values of
+    a list item as `c0`, `c1`, ...
+    """
+    read = aj.read_rows(answers, keys)
+    item = F.col("item")
+    return (read.select(*keys, F.col("items").isNull().alias("unreadable"), F.posexplode_outer("items").alias("pos", "item"))
+            .withColumn("is_list", aj.is_array(item)).withColumn("is_object", aj.is_object(item))
+            .withColumn("size", F.when(F.col("is_list"), F.size(aj.values(item))).otherwise(0))
+            .select("*", *[F.when(F.col("is_list"), aj.at(item, i)).alias(f"c{i}") for i in range(cells)]))
 
 
 def _error(code, key=None, pos=None) -> list[Column]:
@@ -85,12 +92,16 @@ def _accept(rows: DataFrame, errors: DataFrame, keys: Sequence[str] = PAGE) -> D
     return rows.join(errors.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def _finish(expected: DataFrame, parsed: DataFrame, broken: DataFrame, key: str = "boxno",
+def _finish(expected: DataFrame, parsed: DataFrame, key: str = "boxno",
             keys: Sequence[str] = PAGE) -> tuple[DataFrame, DataFrame]:
-    errors = validate_keys(expected, parsed, keys, key)
+    """Store the parsed items once, check their keys, and split accepted rows from errors."""
+    parsed = materialise(parsed)
+    broken = parsed.where("unreadable").select(*keys, *_error("invalid_json"))
+    items = parsed.where(F.col("pos").isNotNull()).drop("unreadable")
     # a page whose answer cannot be read has that one error, not one per missing key
-    errors = errors.join(broken.select(*keys), list(keys), "left_anti").unionByName(broken)
-    return _accept(parsed, errors, keys), errors
+    errors = validate_keys(expected, items, keys, key).join(broken.select(*keys), list(keys), "left_anti")
+    errors = errors.unionByName(broken)
+    return _accept(items, errors, keys), errors
 
 
 # structure -------------------------------------------------------------------------------
@@ -100,58 +111,50 @@ def apply_structure(groups: DataFrame, answers: DataFrame) -> tuple[DataFrame, D
 
     `groups`: book_id, page, boxno, source_boxnos, text and any further columns, which stay.
     """
-    items, broken = answer_items(answers)
-    i = F.col("item")
-    size = F.size(aj.values(i))
-    word = F.lower(tx.strip(aj.as_text(aj.at(i, 1))))
-    named = word.isin("text", "sfx", "reject")
-    third, fourth, fifth = aj.at(i, 2), aj.at(i, 3), aj.at(i, 4)
-    is_list = aj.is_array(i)
-    listed = is_list & F.coalesce(named, F.lit(False))
-    compact = is_list & ~F.coalesce(named, F.lit(False))
-    obj = aj.is_object(i)
-
-    def given(name: str) -> Column:
-        return aj.field(i, name).isNotNull()
+    names = ("mergedBoxno", "boxno", "sourceBoxnos", "reject", "sfx", "openLettering", "textCorrection", "text")
+    read = answer_items(answers, cells=5)
+    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}") for n in names])
+    read = read.withColumn("word", F.lower(tx.strip(aj.as_text(F.col("c1"))))).withColumn(
+        "listed", F.col("is_list") & F.coalesce(F.col("word").isin("text", "sfx", "reject"), F.lit(False)))
+    obj, listed, size, word = F.col("is_object"), F.col("listed"), F.col("size"), F.col("word")
+    compact = F.col("is_list") & ~listed
 
     def optional(name: str, default: bool) -> Column:
-        return F.when(given(name), aj.as_bool(aj.field(i, name))).otherwise(F.lit(default))
+        return F.when(F.col(f"f_{name}").isNotNull(), aj.as_bool(F.col(f"f_{name}"))).otherwise(F.lit(default))
 
-    def words(name: str) -> Column:
-        return F.nullif(tx.strip(aj.as_text(aj.field(i, name))), F.lit(""))
+    def not_text(value: Column, allow_null: bool) -> Column:
+        return value.isNotNull() & ~aj.kind(value).isin("STRING", *(["VOID"] if allow_null else []))
 
-    reject = (F.when(listed, word == "reject").when(compact, aj.as_bool(aj.at(i, 1)))
-              .when(obj, optional("reject", False)))
-    fourth_text = aj.kind(fourth) == "STRING"
-    open_value = (F.when(compact & ((size >= 5) | ((size == 4) & ~fourth_text)), aj.as_bool(fourth))
+    fourth_text = aj.kind(F.col("c3")) == "STRING"
+    given_open = (F.when(compact & ((size >= 5) | ((size == 4) & ~fourth_text)), aj.as_bool(F.col("c3")))
                   .when(obj, optional("openLettering", False)).otherwise(F.lit(False)))
-    sfx = (F.when(listed, word == "sfx").when(compact & (size >= 3), aj.as_bool(third))
-           .when(obj, aj.as_bool(aj.field(i, "sfx"))))
-    correction = (F.when(listed, aj.as_text(third)).when(compact & (size >= 5), aj.as_text(fifth))
-                  .when(compact & (size == 4) & fourth_text, aj.as_text(fourth))
-                  .when(obj, F.coalesce(words("textCorrection"), words("text"))))
-    wrong_text = ((listed & third.isNotNull() & (aj.kind(third) != "STRING"))
-                  | (obj & ~F.coalesce(reject, F.lit(False))
-                     & F.exists(F.array(aj.field(i, "textCorrection"), aj.field(i, "text")),
-                                lambda x: x.isNotNull() & ~aj.kind(x).isin("STRING", "VOID"))))
-    by_sources = obj & ~given("mergedBoxno") & ~given("boxno") & given("sourceBoxnos")
-    key = (F.when(is_list, aj.as_index(aj.at(i, 0)))
-           .when(given("mergedBoxno"), aj.as_index(aj.field(i, "mergedBoxno")))
-           .when(given("boxno"), aj.as_index(aj.field(i, "boxno"))))
-    sources = F.when(by_sources, F.transform(aj.values(aj.field(i, "sourceBoxnos")), aj.as_plain_index))
-    read = items.select(*PAGE, "pos", key.alias("key"), sources.alias("refs"), reject.alias("reject"),
-                        sfx.alias("sfx"), open_value.alias("open"), F.nullif(tx.strip(correction), F.lit("")).alias("fix"),
-                        (is_list & (size >= 2) | obj).alias("shaped"), (listed & (size > 3)).alias("long"),
-                        wrong_text.alias("wrong_text"))
+    fix = (F.when(listed, aj.as_text(F.col("c2"))).when(compact & (size >= 5), aj.as_text(F.col("c4")))
+           .when(compact & (size == 4), aj.as_text(F.col("c3")))
+           .when(obj, F.coalesce(F.nullif(tx.strip(aj.as_text(F.col("f_textCorrection"))), F.lit("")),
+                                 aj.as_text(F.col("f_text")))))
+    key = (F.when(F.col("is_list"), aj.as_index(F.col("c0")))
+           .when(F.col("f_mergedBoxno").isNotNull(), aj.as_index(F.col("f_mergedBoxno")))
+           .when(F.col("f_boxno").isNotNull(), aj.as_index(F.col("f_boxno"))))
+    by_sources = obj & F.col("f_mergedBoxno").isNull() & F.col("f_boxno").isNull()
+    typed = read.select(
+        *PAGE, "unreadable", "pos", key.alias("key"),
+        F.when(by_sources, F.transform(aj.values(F.col("f_sourceBoxnos")), aj.as_plain_index)).alias("refs"),
+        F.when(listed, word == "reject").when(compact, aj.as_bool(F.col("c1"))).when(obj, optional("reject", False)).alias("reject"),
+        F.when(listed, word == "sfx").when(compact & (size >= 3), aj.as_bool(F.col("c2")))
+        .when(obj, aj.as_bool(F.col("f_sfx"))).alias("sfx"),
+        given_open.alias("open"), F.nullif(tx.strip(fix), F.lit("")).alias("fix"),
+        (obj | (F.col("is_list") & (size >= 2))).alias("shaped"), (listed & (size > 3)).alias("long"),
+        ((listed & not_text(F.col("c2"), False))
+         | (obj & ~optional("reject", False) & (not_text(F.col("f_textCorrection"), True) | not_text(F.col("f_text"), True)))).alias("wrong_text"))
     lookup = groups.groupBy(*PAGE, F.col("source_boxnos").alias("refs")).agg(F.max("boxno").alias("by_sources"))
-    read = read.join(lookup, [*PAGE, "refs"], "left").withColumn("boxno", F.coalesce("key", "by_sources"))
+    typed = typed.join(lookup, [*PAGE, "refs"], "left").withColumn("boxno", F.coalesce("key", "by_sources"))
     kept = ~F.col("reject")
     bad = (F.when(~F.coalesce("shaped", F.lit(False)), "bad_row").when(F.col("boxno").isNull(), "bad_key")
            .when(F.col("long"), "bad_row").when(F.col("reject").isNull(), "bad_value")
            .when(kept & (F.col("sfx").isNull() | F.col("open").isNull()), "bad_value")
-           .when(F.coalesce("wrong_text", F.lit(False)), "bad_value"))
-    parsed = read.withColumn("bad", bad)
-    accepted, errors = _finish(groups, parsed, broken)
+           .when(F.col("wrong_text"), "bad_value"))
+    parsed = typed.select(*PAGE, "unreadable", "pos", "boxno", "reject", "sfx", "open", "fix", bad.alias("bad"))
+    accepted, errors = _finish(groups, parsed)
     rows = (accepted.where(kept).select(*PAGE, "boxno", "pos", "sfx", F.col("open").alias("open_lettering"), "fix")
             .join(groups, [*PAGE, "boxno"], "inner"))
     rows = rows.withColumn("text", F.coalesce("fix", "text")).drop("fix", "boxno")
@@ -175,42 +178,40 @@ def erase_reason(value: Column, safe: Column) -> Column:
                       F.when(safe, F.lit("blank_text_area")).otherwise(F.lit("unclear")))
 
 
-def _erase_items(structured: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    read = answers.select(*PAGE, aj.answer_rows(F.col("raw")).alias("items"))
-    counts = structured.groupBy(*PAGE).agg(F.count_distinct("boxno").alias("__n"))
-    head = F.try_element_at("items", F.lit(1))
-    # one record: its row may come without the outer array
-    flat = ((F.col("__n") == 1) & (F.size("items") > 0) & ~aj.is_array(head) & ~aj.is_object(head))
-    joined = read.join(counts, list(PAGE), "left").withColumn("flat", F.coalesce(flat, F.lit(False)))
-    broken = joined.where(F.col("items").isNull()).select(*PAGE, *_error("invalid_json"))
-    boxed = F.when(F.col("flat"), F.array(F.col("items"))).otherwise(F.transform("items", aj.values))
-    items = joined.where(F.col("items").isNotNull()).select(
-        *PAGE, "items", F.posexplode(boxed).alias("pos", "row"), "flat")
-    return items.withColumn("item", F.when(~F.col("flat"), F.get("items", F.col("pos")))).drop("items"), broken
-
-
 def apply_erase(structured: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(book_id, page, boxno, safe_to_erase, open_lettering, reason) and errors."""
-    items, broken = _erase_items(structured, answers)
-    i, row = F.col("item"), F.col("row")
-    is_list, obj = F.col("flat") | aj.is_array(i), ~F.col("flat") & aj.is_object(i)
-
-    def given(name: str) -> Column:
-        return aj.field(i, name).isNotNull()
-
-    safe = (F.when(is_list, aj.as_bool(F.get(row, 1)))
-            .when(given("safeToEraseOriginal"), aj.as_bool(aj.field(i, "safeToEraseOriginal")))
-            .when(given("needsAlternatePlacement"), ~aj.as_bool(aj.field(i, "needsAlternatePlacement")))
-            .when(given("openLettering"), ~aj.as_bool(aj.field(i, "openLettering"))))
-    reason = F.when(is_list, F.get(row, 2)).when(given("reason"), aj.field(i, "reason")) \
-              .otherwise(aj.field(i, "altPlacementReason"))
-    key = F.when(is_list, aj.as_index(F.get(row, 0))).otherwise(aj.as_index(aj.field(i, "boxno")))
-    page = F.when(obj & given("page"), F.coalesce(aj.as_index(aj.field(i, "page")), F.lit(-1))).otherwise(F.col("page"))
-    bad = (F.when(~(obj | (is_list & (F.size(row) >= 2))), "bad_row").when(key.isNull(), "bad_key")
-           .when(safe.isNull(), "bad_value"))
-    parsed = items.select(*PAGE, "pos", key.alias("boxno"), page.alias("item_page"), safe.alias("safe_to_erase"),
-                          erase_reason(reason, safe).alias("reason"), bad.alias("bad"))
-    accepted, errors = _finish(structured, parsed, broken)
+    read = aj.read_rows(answers, PAGE)
+    counts = structured.groupBy(*PAGE).agg(F.count_distinct("boxno").alias("__n"))
+    head = F.get("items", F.lit(0))
+    # one record: its row may come without the outer array
+    flat = (F.col("__n") == 1) & (F.size("items") > 0) & ~aj.is_array(head) & ~aj.is_object(head)
+    read = read.join(counts, list(PAGE), "left").withColumn("flat", F.coalesce(flat, F.lit(False)))
+    names = ("page", "boxno", "safeToEraseOriginal", "needsAlternatePlacement", "openLettering", "reason", "altPlacementReason")
+    item = F.col("item")
+    read = (read.select(*PAGE, "items", "flat", F.posexplode_outer(
+                F.when(F.col("flat"), F.slice("items", 1, 1)).otherwise(F.col("items"))).alias("pos", "item"))
+            .withColumn("row", F.when(F.col("flat"), F.col("items")).when(aj.is_array(item), aj.values(item)))
+            .withColumn("is_object", ~F.col("flat") & aj.is_object(item))
+            .select(*PAGE, F.col("items").isNull().alias("unreadable"), "pos", "is_object", "row",
+                    *[F.get("row", F.lit(i)).alias(f"c{i}") for i in range(3)],
+                    *[F.when(F.col("is_object"), aj.field(item, n)).alias(f"f_{n}") for n in names]))
+    obj, is_list = F.col("is_object"), F.col("row").isNotNull()
+    read = read.select(
+        *PAGE, "unreadable", "pos", (obj | (is_list & (F.size("row") >= 2))).alias("shaped"),
+        F.when(is_list, aj.as_index(F.col("c0"))).otherwise(aj.as_index(F.col("f_boxno"))).alias("boxno"),
+        F.when(F.col("f_page").isNotNull(), F.coalesce(aj.as_index(F.col("f_page")), F.lit(-1)))
+        .otherwise(F.col("page")).alias("item_page"),
+        F.when(is_list, aj.as_bool(F.col("c1")))
+        .when(F.col("f_safeToEraseOriginal").isNotNull(), aj.as_bool(F.col("f_safeToEraseOriginal")))
+        .when(F.col("f_needsAlternatePlacement").isNotNull(), ~aj.as_bool(F.col("f_needsAlternatePlacement")))
+        .otherwise(~aj.as_bool(F.col("f_openLettering"))).alias("safe_to_erase"),
+        F.when(is_list, F.col("c2")).when(F.col("f_reason").isNotNull(), F.col("f_reason"))
+        .otherwise(F.col("f_altPlacementReason")).alias("given_reason"))
+    bad = (F.when(~F.coalesce("shaped", F.lit(False)), "bad_row").when(F.col("boxno").isNull(), "bad_key")
+           .when(F.col("safe_to_erase").isNull(), "bad_value"))
+    parsed = read.select(*PAGE, "unreadable", "pos", "boxno", "item_page", "safe_to_erase",
+                         erase_reason(F.col("given_reason"), F.col("safe_to_erase")).alias("reason"), bad.alias("bad"))
+    accepted, errors = _finish(structured, parsed)
     return accepted.select(*PAGE, "boxno", "safe_to_erase", (~F.col("safe_to_erase")).alias("open_lettering"),
                            "reason"), errors
 
@@ -245,25 +246,26 @@ def hydrate_erase(structured: DataFrame, answers: DataFrame) -> DataFrame:
 def attach_translations(structured: DataFrame, answers: DataFrame,
                         require_text: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(translations, errors, warnings about echoed source text that differs)."""
-    items, broken = answer_items(answers)
-    i = F.col("item")
-    size = F.size(aj.values(i))
-    is_list, obj = aj.is_array(i), aj.is_object(i)
-    keyed = is_list & (size >= 3) & (aj.kind(aj.at(i, 0)) == "BIGINT") & (aj.kind(aj.at(i, 1)) == "BIGINT")
-    page = (F.when(keyed, F.coalesce(aj.as_index(aj.at(i, 0)), F.lit(-1)))
-            .when(obj & aj.field(i, "page").isNotNull(), F.coalesce(aj.as_index(aj.field(i, "page")), F.lit(-1)))
-            .otherwise(F.col("page")))
-    key = (F.when(keyed, aj.as_index(aj.at(i, 1))).when(is_list, aj.as_index(aj.at(i, 0)))
-           .when(obj, aj.as_index(aj.field(i, "boxno"))))
-    english = (F.when(keyed & (size >= 4), aj.as_text(aj.at(i, 3))).when(keyed, aj.as_text(aj.at(i, 2)))
-               .when(is_list, aj.as_text(aj.at(i, 1))).when(obj, aj.as_text(aj.field(i, "englishText"))))
-    echo = F.when(keyed & (size >= 4), aj.as_text(aj.at(i, 2))).when(obj, aj.as_text(aj.field(i, "text")))
-    bad = (F.when(~F.coalesce((is_list & (size >= 2)) | obj, F.lit(False)), "bad_row").when(key.isNull(), "bad_key")
-           .when(english.isNull(), "bad_value")
-           .when((tx.strip(english) == "") & F.lit(require_text), "empty_translation"))
-    parsed = items.select(*PAGE, "pos", key.alias("boxno"), page.alias("item_page"), english.alias("english_text"),
-                          echo.alias("echo"), bad.alias("bad"))
-    accepted, errors = _finish(structured, parsed, broken)
+    read = answer_items(answers, cells=4)
+    names = ("page", "boxno", "text", "englishText")
+    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}") for n in names])
+    read = read.withColumn("keyed", F.col("is_list") & (F.col("size") >= 3) & (aj.kind(F.col("c0")) == "BIGINT")
+                           & (aj.kind(F.col("c1")) == "BIGINT"))
+    is_list, obj, size, keyed = F.col("is_list"), F.col("is_object"), F.col("size"), F.col("keyed")
+    typed = read.select(
+        *PAGE, "unreadable", "pos", (obj | (is_list & (size >= 2))).alias("shaped"),
+        F.when(keyed, F.coalesce(aj.as_index(F.col("c0")), F.lit(-1)))
+        .when(F.col("f_page").isNotNull(), F.coalesce(aj.as_index(F.col("f_page")), F.lit(-1)))
+        .otherwise(F.col("page")).alias("item_page"),
+        F.when(keyed, aj.as_index(F.col("c1"))).when(is_list, aj.as_index(F.col("c0")))
+        .otherwise(aj.as_index(F.col("f_boxno"))).alias("boxno"),
+        F.when(keyed & (size >= 4), aj.as_text(F.col("c3"))).when(keyed, aj.as_text(F.col("c2")))
+        .when(is_list, aj.as_text(F.col("c1"))).otherwise(aj.as_text(F.col("f_englishText"))).alias("english_text"),
+        F.when(keyed & (size >= 4), aj.as_text(F.col("c2"))).when(obj, aj.as_text(F.col("f_text"))).alias("echo"))
+    bad = (F.when(~F.coalesce("shaped", F.lit(False)), "bad_row").when(F.col("boxno").isNull(), "bad_key")
+           .when(F.col("english_text").isNull(), "bad_value")
+           .when((tx.strip(F.col("english_text")) == "") & F.lit(require_text), "empty_translation"))
+    accepted, errors = _finish(structured, typed.withColumn("bad", bad).drop("shaped"))
     joined = accepted.join(structured.select(*PAGE, "boxno", "text"), [*PAGE, "boxno"], "inner")
     warnings = joined.where(F.col("echo") != F.col("text")).select(*PAGE, "boxno", "echo", "text")
     return joined.select(*PAGE, "boxno", "text", "english_text"), errors, warnings
@@ -314,17 +316,18 @@ def apply_open_placements(structured: DataFrame, answers: DataFrame, pages: Data
     `pages`: book_id, page, width, height.
     """
     labelled = open_labels(structured).select(*PAGE, "label", "boxno")
-    items, broken = answer_items(answers)
-    i = F.col("item")
-    is_list, obj = aj.is_array(i), aj.is_object(i)
-    key = F.when(is_list, aj.as_index(aj.at(i, 0))).otherwise(aj.as_index(aj.field(i, "label")))
-    box = F.when(is_list, aj.as_numbers(aj.at(i, 1))).otherwise(aj.as_numbers(aj.field(i, "box_2d")))
-    page = F.when(obj & aj.field(i, "page").isNotNull(),
-                  F.coalesce(aj.as_index(aj.field(i, "page")), F.lit(-1))).otherwise(F.col("page"))
-    bad = (F.when(~F.coalesce(obj | (is_list & (F.size(aj.values(i)) >= 2)), F.lit(False)), "bad_row")
-           .when(key.isNull(), "bad_key").when(box.isNull() | ~geo.thousandths_valid(box), "bad_box"))
-    parsed = items.select(*PAGE, "pos", key.alias("label"), page.alias("item_page"), box.alias("box_2d"), bad.alias("bad"))
-    accepted, errors = _finish(labelled, parsed, broken, key="label")
+    read = answer_items(answers, cells=2)
+    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}")
+                              for n in ("page", "label", "box_2d")])
+    typed = read.select(
+        *PAGE, "unreadable", "pos", (F.col("is_object") | (F.col("is_list") & (F.col("size") >= 2))).alias("shaped"),
+        F.when(F.col("is_list"), aj.as_index(F.col("c0"))).otherwise(aj.as_index(F.col("f_label"))).alias("label"),
+        aj.as_numbers(F.when(F.col("is_list"), F.col("c1")).otherwise(F.col("f_box_2d"))).alias("box_2d"),
+        F.when(F.col("f_page").isNotNull(), F.coalesce(aj.as_index(F.col("f_page")), F.lit(-1)))
+        .otherwise(F.col("page")).alias("item_page"))
+    bad = (F.when(~F.coalesce("shaped", F.lit(False)), "bad_row").when(F.col("label").isNull(), "bad_key")
+           .when(F.col("box_2d").isNull() | ~geo.thousandths_valid(F.col("box_2d")), "bad_box"))
+    accepted, errors = _finish(labelled, typed.withColumn("bad", bad).drop("shaped"), key="label")
     joined = accepted.join(labelled, [*PAGE, "label"]).join(pages.select(*PAGE, "width", "height"), list(PAGE))
     g = geo.thousandths_to_region(F.col("box_2d"), F.col("width"), F.col("height"))
     return joined.select(*PAGE, "boxno", "box_2d", *g.columns(("pl", "pt", "pr", "pb"))), errors
@@ -337,31 +340,27 @@ def font_file(value: Column) -> Column:
 
 def apply_styles(structured: DataFrame, answers: DataFrame, fonts: DataFrame, backup_font: str) -> tuple[DataFrame, DataFrame]:
     """Font and fill of every record; `fonts` holds the allowed names in `font`."""
-    items, broken = answer_items(answers)
-    i = F.col("item")
-    is_list, obj = aj.is_array(i), aj.is_object(i)
-
-    def given(name: str) -> Column:
-        return aj.field(i, name).isNotNull()
-
-    font = F.when(is_list, aj.as_text(aj.at(i, 1))).otherwise(aj.as_text(aj.field(i, "font")))
-    fill_value = (F.when(is_list, aj.at(i, 2)).when(given("fill"), aj.field(i, "fill"))
-                  .when(given("color"), aj.field(i, "color")).otherwise(aj.field(i, "colour")))
-    fill = F.lower(tx.strip(aj.as_text(fill_value)))
-    key = F.when(is_list, aj.as_index(aj.at(i, 0))).otherwise(aj.as_index(aj.field(i, "boxno")))
-    page = F.when(obj & given("page"), F.coalesce(aj.as_index(aj.field(i, "page")), F.lit(-1))).otherwise(F.col("page"))
-    read = items.select(*PAGE, "pos", key.alias("boxno"), page.alias("item_page"),
-                        F.when(F.coalesce(tx.strip(font), F.lit("")) != "", font).alias("asked"), fill.alias("fill"),
-                        F.coalesce(obj | (is_list & (F.size(aj.values(i)) >= 3)), F.lit(False)).alias("shaped"))
+    read = answer_items(answers, cells=3)
+    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}")
+                              for n in ("page", "boxno", "font", "fill", "color", "colour")])
+    font = aj.as_text(F.when(F.col("is_list"), F.col("c1")).otherwise(F.col("f_font")))
+    fill = aj.as_text(F.when(F.col("is_list"), F.col("c2")).otherwise(F.coalesce("f_fill", "f_color", "f_colour")))
+    read = read.select(
+        *PAGE, "unreadable", "pos",
+        F.when(F.col("is_list"), aj.as_index(F.col("c0"))).otherwise(aj.as_index(F.col("f_boxno"))).alias("boxno"),
+        F.when(F.col("f_page").isNotNull(), F.coalesce(aj.as_index(F.col("f_page")), F.lit(-1)))
+        .otherwise(F.col("page")).alias("item_page"),
+        F.nullif(tx.strip(font), F.lit("")).alias("asked"), F.lower(tx.strip(fill)).alias("fill"),
+        (F.col("is_object") | (F.col("is_list") & (F.col("size") >= 3))).alias("shaped"))
     allowed = fonts.select(F.col("font").alias("file"), F.lit(True).alias("known")).distinct()
-    wanted = F.trim(tx.strip(F.col("asked")), F.lit("[]"))
+    wanted = F.trim("asked", F.lit("[]"))
     read = read.withColumn("file", font_file(F.col("asked"))).join(allowed, "file", "left")
     chosen = (F.when(F.col("asked").isNull() | (wanted == backup_font), F.lit(backup_font))
               .when(F.col("known"), F.col("file")))
-    bad = (F.when(~F.col("shaped"), "bad_row").when(F.col("boxno").isNull(), "bad_key")
+    bad = (F.when(~F.coalesce("shaped", F.lit(False)), "bad_row").when(F.col("boxno").isNull(), "bad_key")
            .when(chosen.isNull(), "bad_font").when(~F.coalesce(F.col("fill").isin(*FILLS), F.lit(False)), "bad_fill"))
-    parsed = read.select(*PAGE, "pos", "boxno", "item_page", chosen.alias("font"), "fill", bad.alias("bad"))
-    accepted, errors = _finish(structured, parsed, broken)
+    parsed = read.select(*PAGE, "unreadable", "pos", "boxno", "item_page", chosen.alias("font"), "fill", bad.alias("bad"))
+    accepted, errors = _finish(structured, parsed)
     return accepted.select(*PAGE, "boxno", "font", "fill"), errors
 
 

@@ -287,7 +287,8 @@ def answer_repair(s):
            .when(k == 2, F.concat(F.lit("```json\n["), pair, F.lit(", ]\n```")))
            .when(k == 3, F.concat(pair, F.lit("]"))).when(k == 4, F.concat(F.lit('{"rows":['), pair, F.lit("]}")))
            .when(k == 5, F.concat(a, F.lit(" trailing text"))).otherwise(F.concat(pair, F.lit(" ,"))))
-    return s.pages.select("page_id", F.when(aj.answer_rows(raw).isNotNull(), F.size(aj.answer_rows(raw))).alias("items"))
+    read = aj.read_rows(s.pages.select("page_id", raw.alias("raw")), ["page_id"])
+    return read.select("page_id", F.when(F.col("items").isNotNull(), F.size("items")).alias("items"))
 
 
 @query("open_and_other_records", """
