@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions import text as tx
+from boxloom.functions.staging import staged
 
 END = "<END>"
 TRAILING_COMMA = r'(?s)("(?:[^"\\]|\\.)*(?:"|$))|,(?=[ \t\r\n]*[\]}])'
@@ -97,14 +98,13 @@ def read_rows(answers: DataFrame, keys: Sequence[str]) -> DataFrame:
     def rows_only(items: str) -> Column:
         return F.when((F.size(items) >= 2) & F.forall(items, lambda x: is_array(x) | is_object(x)), F.col(items))
 
-    return (answers.select(*keys, tx.plain_lines(F.col("raw")).alias("__plain"))
-            .select(*keys, F.regexp_replace(tx.without_fences(F.col("__plain")), TRAILING_COMMA, "$1").alias("__text"))
-            .select(*keys, "__text", F.rlike("__text", F.lit(r",\s*$")).alias("__open_end"), half_open.alias("__half"))
-            .withColumn("__found", _sequence(F.regexp_replace("__text", r",\s*$", "")))
-            .withColumn("__inner", F.when(F.col("__half") & F.col("__found").isNull(),
-                                          _sequence(F.regexp_replace("__text", r"\s*,?\s*\]$", ""))))
-            .withColumn("__head", F.when(single, F.get("__found", F.lit(0))))
-            .withColumn("__whole", F.when(is_array(F.col("__head")), values(F.col("__head")))
-                        .otherwise(values(field(F.col("__head"), "rows"))))
-            .select(*keys, F.when(single, F.col("__whole")).otherwise(
-                F.coalesce(rows_only("__found"), rows_only("__inner"))).alias("items")))
+    step = staged(answers.select(*keys, "raw"), __plain=tx.plain_lines(F.col("raw"))).drop("raw")
+    step = staged(step, __text=F.regexp_replace(tx.without_fences(F.col("__plain")), TRAILING_COMMA, "$1")).drop("__plain")
+    step = staged(step, __open_end=F.rlike("__text", F.lit(r",\s*$")), __half=half_open,
+                  __found=_sequence(F.regexp_replace("__text", r",\s*$", "")))
+    step = staged(step, __inner=F.when(F.col("__half") & F.col("__found").isNull(),
+                                       _sequence(F.regexp_replace("__text", r"\s*,?\s*\]$", ""))),
+                  __head=F.when(single, F.get("__found", F.lit(0))))
+    whole = F.when(is_array(F.col("__head")), values(F.col("__head"))).otherwise(values(field(F.col("__head"), "rows")))
+    return staged(step, items=F.when(single, whole).otherwise(
+        F.coalesce(rows_only("__found"), rows_only("__inner")))).select(*keys, "items")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from boxloom.functions import answer_json as aj
 from boxloom.functions import geometry as geo
 from boxloom.functions import text as tx
+from boxloom.functions.staging import staged
 from boxloom.operators.ranking import position_block, split_row_number
 from boxloom.session import materialise
 
@@ -33,10 +34,10 @@ def answer_items(answers: DataFrame, keys: Sequence[str] = PAGE, cells: int = 0)
     """
     read = aj.read_rows(answers, keys)
     item = F.col("item")
-    return (read.select(*keys, F.col("items").isNull().alias("unreadable"), F.posexplode_outer("items").alias("pos", "item"))
-            .withColumn("is_list", aj.is_array(item)).withColumn("is_object", aj.is_object(item))
-            .withColumn("size", F.when(F.col("is_list"), F.size(aj.values(item))).otherwise(0))
-            .select("*", *[F.when(F.col("is_list"), aj.at(item, i)).alias(f"c{i}") for i in range(cells)]))
+    rows = read.select(*keys, F.col("items").isNull().alias("unreadable"), F.posexplode_outer("items").alias("pos", "item"))
+    rows = staged(rows, is_list=aj.is_array(item), is_object=aj.is_object(item))
+    return staged(rows, size=F.when(F.col("is_list"), F.size(aj.values(item))).otherwise(0),
+                  **{f"c{i}": F.when(F.col("is_list"), aj.at(item, i)) for i in range(cells)})
 
 
 def _error(code, key=None, pos=None) -> list[Column]:
@@ -113,8 +114,8 @@ def apply_structure(groups: DataFrame, answers: DataFrame) -> tuple[DataFrame, D
     """
     names = ("mergedBoxno", "boxno", "sourceBoxnos", "reject", "sfx", "openLettering", "textCorrection", "text")
     read = answer_items(answers, cells=5)
-    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}") for n in names])
-    read = read.withColumn("word", F.lower(tx.strip(aj.as_text(F.col("c1"))))).withColumn(
+    read = staged(read, **{f"f_{n}": F.when(F.col("is_object"), aj.field(F.col("item"), n)) for n in names})
+    read = staged(read, word=F.lower(tx.strip(aj.as_text(F.col("c1"))))).withColumn(
         "listed", F.col("is_list") & F.coalesce(F.col("word").isin("text", "sfx", "reject"), F.lit(False)))
     obj, listed, size, word = F.col("is_object"), F.col("listed"), F.col("size"), F.col("word")
     compact = F.col("is_list") & ~listed
@@ -190,8 +191,8 @@ def apply_erase(structured: DataFrame, answers: DataFrame) -> tuple[DataFrame, D
     item = F.col("item")
     read = (read.select(*PAGE, "items", "flat", F.posexplode_outer(
                 F.when(F.col("flat"), F.slice("items", 1, 1)).otherwise(F.col("items"))).alias("pos", "item"))
-            .withColumn("row", F.when(F.col("flat"), F.col("items")).when(aj.is_array(item), aj.values(item)))
-            .withColumn("is_object", ~F.col("flat") & aj.is_object(item))
+            .transform(lambda d: staged(d, row=F.when(F.col("flat"), F.col("items")).when(aj.is_array(item), aj.values(item)),
+                                        is_object=~F.col("flat") & aj.is_object(item)))
             .select(*PAGE, F.col("items").isNull().alias("unreadable"), "pos", "is_object", "row",
                     *[F.get("row", F.lit(i)).alias(f"c{i}") for i in range(3)],
                     *[F.when(F.col("is_object"), aj.field(item, n)).alias(f"f_{n}") for n in names]))
@@ -248,7 +249,7 @@ def attach_translations(structured: DataFrame, answers: DataFrame,
     """(translations, errors, warnings about echoed source text that differs)."""
     read = answer_items(answers, cells=4)
     names = ("page", "boxno", "text", "englishText")
-    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}") for n in names])
+    read = staged(read, **{f"f_{n}": F.when(F.col("is_object"), aj.field(F.col("item"), n)) for n in names})
     read = read.withColumn("keyed", F.col("is_list") & (F.col("size") >= 3) & (aj.kind(F.col("c0")) == "BIGINT")
                            & (aj.kind(F.col("c1")) == "BIGINT"))
     is_list, obj, size, keyed = F.col("is_list"), F.col("is_object"), F.col("size"), F.col("keyed")
@@ -317,8 +318,8 @@ def apply_open_placements(structured: DataFrame, answers: DataFrame, pages: Data
     """
     labelled = open_labels(structured).select(*PAGE, "label", "boxno")
     read = answer_items(answers, cells=2)
-    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}")
-                              for n in ("page", "label", "box_2d")])
+    read = staged(read, **{f"f_{n}": F.when(F.col("is_object"), aj.field(F.col("item"), n))
+                           for n in ("page", "label", "box_2d")})
     typed = read.select(
         *PAGE, "unreadable", "pos", (F.col("is_object") | (F.col("is_list") & (F.col("size") >= 2))).alias("shaped"),
         F.when(F.col("is_list"), aj.as_index(F.col("c0"))).otherwise(aj.as_index(F.col("f_label"))).alias("label"),
@@ -341,8 +342,8 @@ def font_file(value: Column) -> Column:
 def apply_styles(structured: DataFrame, answers: DataFrame, fonts: DataFrame, backup_font: str) -> tuple[DataFrame, DataFrame]:
     """Font and fill of every record; `fonts` holds the allowed names in `font`."""
     read = answer_items(answers, cells=3)
-    read = read.select("*", *[F.when(F.col("is_object"), aj.field(F.col("item"), n)).alias(f"f_{n}")
-                              for n in ("page", "boxno", "font", "fill", "color", "colour")])
+    read = staged(read, **{f"f_{n}": F.when(F.col("is_object"), aj.field(F.col("item"), n))
+                           for n in ("page", "boxno", "font", "fill", "color", "colour")})
     font = aj.as_text(F.when(F.col("is_list"), F.col("c1")).otherwise(F.col("f_font")))
     fill = aj.as_text(F.when(F.col("is_list"), F.col("c2")).otherwise(F.coalesce("f_fill", "f_color", "f_colour")))
     read = read.select(

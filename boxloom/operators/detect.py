@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from boxloom.functions import answer_json as aj
 from boxloom.functions import geometry as geo
 from boxloom.functions import text as tx
+from boxloom.functions.staging import staged
 from boxloom.operators.graph import component_labels
 from boxloom.operators.group import PAGE, SIDES, near_pairs
 from boxloom.operators.ranking import position_block, split_row_number
@@ -57,7 +58,7 @@ def _usable_box(box: Column) -> Column:
 def _with_region(rows: DataFrame) -> DataFrame:
     """Bounding box of `points` on the page (width, height); rows without extent are dropped."""
     g = geo.polygon_region(F.col("points"), F.col("width"), F.col("height"))
-    return rows.withColumns(dict(zip(SIDES, g))).where((F.col("r") > F.col("l")) & (F.col("b") > F.col("t")))
+    return staged(rows, **dict(zip(SIDES, g))).where((F.col("r") > F.col("l")) & (F.col("b") > F.col("t")))
 
 
 def normalize_detections(results: DataFrame, lowest: float = 0.75) -> DataFrame:
@@ -66,10 +67,9 @@ def normalize_detections(results: DataFrame, lowest: float = 0.75) -> DataFrame:
     `results`: book_id, page, width, height, rec_texts, rec_scores, rec_polys, rec_boxes.
     """
     ragged = F.arrays_zip(*[F.coalesce(F.col(c), F.array()).alias(c) for c in RESULT_KEYS])
-    rows = results.select(*PAGE, "width", "height", F.posexplode(ragged).alias("pos", "x")).select(
-        *PAGE, "width", "height", "pos", F.coalesce("x.rec_texts", F.lit("")).alias("text"),
-        _finite(F.col("x.rec_scores")).alias("score"),
-        F.coalesce(_usable_points(F.col("x.rec_polys")), _usable_box(F.col("x.rec_boxes"))).alias("points"))
+    rows = results.select(*PAGE, "width", "height", F.posexplode(ragged).alias("pos", "x"))
+    rows = staged(rows, text=F.coalesce("x.rec_texts", F.lit("")), score=_finite(F.col("x.rec_scores")),
+                  points=F.coalesce(_usable_points(F.col("x.rec_polys")), _usable_box(F.col("x.rec_boxes")))).drop("x")
     kept = _with_region(min_score(rows, lowest).where(F.col("points").isNotNull()))
     return renumber(kept, "pos").select(*PAGE, "boxno", *SIDES, "points", "text", "score")
 
@@ -95,20 +95,20 @@ def normalize_blocks(results: DataFrame, lowest: float = 0.75) -> DataFrame:
     block_height (size the blocks refer to, null for the page size).
     """
     blocks = aj.values(F.try_parse_json("blocks"))
-    rows = (results.select(*PAGE, "width", "height", F.coalesce("block_width", "width").alias("bw"),
-                           F.coalesce("block_height", "height").alias("bh"), F.posexplode(blocks).alias("pos", "block"))
-            .select("*", _first(F.col("block"), ("block_label", "label")).alias("v_label"),
-                    _first(F.col("block"), TEXT_KEYS).alias("v_text"), _first(F.col("block"), SCORE_KEYS).alias("v_score"),
-                    _first(F.col("block"), POINT_KEYS).alias("v_points"), _first(F.col("block"), BOX_KEYS).alias("v_box"))
-            .withColumn("label", F.coalesce(tx.strip(aj.as_text(F.col("v_label"))), F.lit("")))
-            .withColumn("text", tx.strip(F.when(aj.is_array(F.col("v_text")), F.array_join(
-                F.filter(F.transform(aj.values(F.col("v_text")), lambda v: F.try_variant_get(v, "$", "string")),
-                         lambda v: v.isNotNull()), "\n")).otherwise(F.try_variant_get("v_text", "$", "string"))))
-            .withColumn("score", F.coalesce(aj.as_number(F.col("v_score")), aj.as_text(F.col("v_score")).try_cast("double")))
-            .where(~F.lower("label").isin(*SKIPPED_LABELS) & (F.col("text") != ""))
-            .withColumn("raw_points", F.coalesce(_points_of(F.col("v_points")), _points_of(F.col("v_box"))))
-            .where(F.col("raw_points").isNotNull())
-            .withColumn("points", geo.scale_points(F.col("raw_points"), F.col("bw"), F.col("bh"), F.col("width"), F.col("height"))))
+    block = F.col("block")
+    rows = results.select(*PAGE, "width", "height", F.coalesce("block_width", "width").alias("bw"),
+                          F.coalesce("block_height", "height").alias("bh"), F.posexplode(blocks).alias("pos", "block"))
+    rows = staged(rows, v_label=_first(block, ("block_label", "label")), v_text=_first(block, TEXT_KEYS),
+                  v_score=_first(block, SCORE_KEYS), v_points=_first(block, POINT_KEYS), v_box=_first(block, BOX_KEYS))
+    joined = F.array_join(F.filter(F.transform(aj.values(F.col("v_text")), lambda v: F.try_variant_get(v, "$", "string")),
+                                   lambda v: v.isNotNull()), "\n")
+    rows = staged(rows, label=F.coalesce(tx.strip(aj.as_text(F.col("v_label"))), F.lit("")),
+                  text=tx.strip(F.when(aj.is_array(F.col("v_text")), joined).otherwise(F.try_variant_get("v_text", "$", "string"))),
+                  score=F.coalesce(aj.as_number(F.col("v_score")), aj.as_text(F.col("v_score")).try_cast("double")))
+    rows = rows.where(~F.lower("label").isin(*SKIPPED_LABELS) & (F.col("text") != ""))
+    rows = staged(rows, raw_points=F.coalesce(_points_of(F.col("v_points")), _points_of(F.col("v_box"))))
+    rows = staged(rows.where(F.col("raw_points").isNotNull()), points=geo.scale_points(
+        F.col("raw_points"), F.col("bw"), F.col("bh"), F.col("width"), F.col("height")))
     kept = _with_region(min_score(rows, lowest))
     return renumber(kept, "pos").select(*PAGE, "boxno", *SIDES, "points", "text", "score",
                                         F.nullif("label", F.lit("")).alias("block_label"))
