@@ -304,3 +304,12 @@ def scaled_max_point(min_configured: Column, max_configured: Column, region_widt
     cap = F.least(F.greatest(low, page_cap), F.greatest(low, by_width), F.greatest(low, by_height))
     wanted = F.greatest(F.lit(1.0), max_configured.cast("double"))
     return F.greatest(low, F.when(max_configured.isNotNull(), F.least(cap, wanted)).otherwise(cap))
+
+
+def search_window(g: Region, page_width: Column, page_height: Column) -> Region:
+    """Area around a box in which a text container is looked for."""
+    w, h = g.r - g.l, g.b - g.t
+    longest = half_even(F.greatest(w, h) * F.lit(1.5))
+    pad_x = F.greatest(F.lit(80), half_even(w * F.lit(3.0)), longest)
+    pad_y = F.greatest(F.lit(80), half_even(h * F.lit(3.0)), longest)
+    return pad_region(g, pad_x, pad_y, page_width, page_height)

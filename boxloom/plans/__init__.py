@@ -1,4 +1,4 @@
 """Query catalogue. Importing it registers every query."""
 
 from boxloom.plans.registry import REGISTRY  # noqa: F401
-from boxloom.plans import answering, detection, grouping  # noqa: F401
+from boxloom.plans import answering, detection, grouping, layout  # noqa: F401
