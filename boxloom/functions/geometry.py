@@ -285,14 +285,15 @@ def scaled_stroke_width(configured: Column, page_height: Column) -> Column:
     base = F.lit(STROKE_WIDTH)
     by_page = F.when(page_height > 0, F.greatest(base, F.bround(page_height * F.lit(0.0012), 0))).otherwise(base)
     by_page = F.coalesce(by_page, base)
-    value = F.coalesce(F.greatest(F.lit(0.0), configured.cast("double")), base)
+    value = F.when(configured.isNotNull(), F.greatest(F.lit(0.0), configured.cast("double"))).otherwise(base)
     return F.when(value == 0, F.lit(0.0)).otherwise(F.greatest(value, by_page))
 
 
 def scaled_min_point(configured: Column, page_height: Column) -> Column:
     base = F.lit(MIN_POINT_SIZE)
     by_page = F.coalesce(F.when(page_height > 0, F.greatest(base, page_height * F.lit(0.008))), base)
-    return F.greatest(F.coalesce(F.greatest(F.lit(1.0), configured.cast("double")), base), by_page)
+    own = F.when(configured.isNotNull(), F.greatest(F.lit(1.0), configured.cast("double"))).otherwise(base)
+    return F.greatest(own, by_page)
 
 
 def scaled_max_point(min_configured: Column, max_configured: Column, region_width: Column,

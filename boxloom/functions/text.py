@@ -281,7 +281,7 @@ def duration_text(seconds: Column) -> Column:
     s = F.greatest(seconds.cast("double"), F.lit(0.0))
     minutes = F.floor(s / 60)
     rest = F.bround(s - minutes * 60, 0)
-    return (F.when(s.isNull(), "")
+    return (F.when(seconds.isNull(), "")
             .when(s < 60, F.concat(F.format_string("%.1f", F.bround(s, 1)), F.lit("s")))
             .when(minutes < 60, F.concat(_whole(minutes), F.lit("m "), _whole(rest), F.lit("s")))
             .otherwise(F.concat(_whole(minutes / 60), F.lit("h "), _whole(minutes % 60), F.lit("m"))))
@@ -291,7 +291,7 @@ def age_text(seconds: Column) -> Column:
     s = F.greatest(seconds.cast("double"), F.lit(0.0))
     minutes = F.floor(s / 60)
     hours = F.floor(minutes / 60)
-    return (F.when(s.isNull(), "").when(s < 60, "less than 1m")
+    return (F.when(seconds.isNull(), "").when(s < 60, "less than 1m")
             .when(minutes < 60, F.concat(_whole(minutes), F.lit("m")))
             .when(hours < 24, F.concat(_whole(hours), F.lit("h "), _whole(minutes % 60), F.lit("m")))
             .otherwise(F.concat(_whole(hours / 24), F.lit("d "), _whole(hours % 24), F.lit("h"))))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,28 +187,31 @@ def _replaces(old: dict[str, Column], new: dict[str, Column]) -> Column:
             .when(old["edge"] != new["edge"], old["edge"]).otherwise(by_score))
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """Walk one small component in box order; every box joins the first slot it duplicates."""
-    slots: list[list] = []
-    for row in rows.sort_values("boxno").itertuples(index=False):
-        near = {row.cls, *row.near}
-        slot = next((s for s in slots if s[1].cls in near), None)
-        if slot is None:
-            slots.append([row.boxno, row])
-            continue
-        old = slot[1]
-        if (old.size == 0) != (row.size == 0):
-            better = old.size == 0
-        elif old.edge != row.edge:
-            better = bool(old.edge)
-        elif row.score > old.score + 0.05:
-            better = True
-        else:
-            better = row.score >= old.score and row.size > old.size
-        if better:
-            slot[1] = row
-    return pd.DataFrame({"book_id": rows["book_id"].iloc[0], "page": rows["page"].iloc[0],
-                         "slot": [s[0] for s in slots], "kept": [s[1].boxno for s in slots]})
+SLOT = "struct<slot:bigint,holder:bigint,cls:bigint,score:double,edge:boolean,size:int>"
+
+
+def _fold(members: DataFrame, comp: list[str]) -> DataFrame:
+    """Walk small components in box order; every box joins the first slot it duplicates.
+
+    `near` of a member lists the classes it duplicates besides its own.
+    """
+    walk = F.sort_array(F.collect_list(F.struct("boxno", "cls", "score", "edge", "size", "near")))
+
+    def measures(x: Column) -> dict[str, Column]:
+        return {n: x[n] for n in ("score", "edge", "size")}
+
+    def step(slots: Column, row: Column) -> Column:
+        fits = F.transform(slots, lambda s: (s["cls"] == row["cls"]) | F.array_contains(row["near"], s["cls"]))
+        place = F.array_position(fits, F.lit(True))
+        fresh = F.struct(row["boxno"].alias("slot"), row["boxno"].alias("holder"), row["cls"].alias("cls"),
+                         row["score"].alias("score"), row["edge"].alias("edge"), row["size"].alias("size"))
+        swapped = F.transform(slots, lambda s, i: F.when(
+            ((i + 1) == place) & _replaces(measures(s), measures(row)), fresh.withField("slot", s["slot"])).otherwise(s))
+        return F.when(place == 0, F.concat(slots, F.array(fresh))).otherwise(swapped)
+
+    slots = F.aggregate(walk, F.array().cast(f"array<{SLOT}>"), step)
+    return (members.groupBy(*comp).agg(slots.alias("slots")).select(*PAGE, F.explode("slots").alias("s"))
+            .select(*PAGE, "s.slot", F.col("s.holder").alias("kept")))
 
 
 def _rounds(rows: DataFrame, near: DataFrame, max_rounds: int) -> DataFrame:
@@ -250,7 +252,7 @@ def dedupe_detections(boxes: DataFrame, iou: float = 0.55, containment: float =
     """Drop duplicate boxes, keeping the better record in the place of the first.
 
     Boxes with equal region and text form one class; pairs and components are found between
-    classes. Components of up to `fold_rows` boxes are walked in one task each, larger ones
+    classes. Components of up to `fold_rows` boxes are walked in one native fold each, larger ones
     in distributed rounds. `edge_touch` (optional) marks boxes cut by a tile edge.
     """
     edge = F.coalesce("edge_touch", F.lit(False)) if "edge_touch" in boxes.columns else F.lit(False)
@@ -276,9 +278,8 @@ def dedupe_detections(boxes: DataFrame, iou: float = 0.55, containment: float =
     small_rows = members.join(large, comp, "left_anti") if has_large else members
     small_near = near.join(large, comp, "left_anti") if has_large else near
     lists = small_near.groupBy(*comp, "cls").agg(F.collect_list("other").alias("near"))
-    folded = (small_rows.join(lists, [*comp, "cls"], "left")
-              .withColumn("near", F.coalesce("near", F.array().cast("array<bigint>")))
-              .groupBy(*comp).applyInPandas(_fold, "book_id string, page bigint, slot bigint, kept bigint"))
+    folded = _fold(small_rows.join(lists, [*comp, "cls"], "left")
+                   .withColumn("near", F.coalesce("near", F.array().cast("array<bigint>"))), comp)
     if has_large:
         folded = folded.unionByName(_rounds(materialise(members.join(large, comp, "left_semi")),
                                             near.join(large, comp, "left_semi"), max_rounds))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,23 +124,36 @@ def overlap_pairs(placements: DataFrame) -> DataFrame:
                         axis.alias("axis"), cut.alias("cut"), leads.alias("u_first")).where(F.col("axis").isNotNull())
 
 
-def _cut_component(regions: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    """Apply the cuts of one small component in pair order, testing each overlap again."""
-    at = {row.boxno: [row.pl, row.pt, row.pr, row.pb] for row in regions.itertuples(index=False)}
-    touched = set()
-    for row in pairs.sort_values(["u", "v"]).itertuples(index=False):
-        a, b = at[row.u], at[row.v]
-        if min(a[2], b[2]) <= max(a[0], b[0]) or min(a[3], b[3]) <= max(a[1], b[1]):
-            continue
-        lead, follow = (a, b) if row.u_first else (b, a)
-        low, high = (1, 3) if row.axis == "vertical" else (0, 2)
-        lead[high] = min(lead[high], row.cut)
-        follow[low] = max(follow[low], row.cut)
-        touched.update((row.u, row.v))
-    boxes = sorted(at)
-    return pd.DataFrame({"book_id": regions["book_id"].iloc[0], "page": regions["page"].iloc[0], "boxno": boxes,
-                         **{n: [at[k][i] for k in boxes] for i, n in enumerate(PLACED)},
-                         "adjusted": [k in touched for k in boxes]})
+def _cut_fold(part: DataFrame, pairs: DataFrame, comp: list[str]) -> DataFrame:
+    """Apply the cuts of small components in pair order, testing each overlap again."""
+    boxes = part.groupBy(*comp).agg(F.sort_array(F.collect_list(F.struct(
+        "boxno", *PLACED, F.lit(False).alias("adjusted")))).alias("boxes"))
+    cuts = pairs.groupBy(*comp).agg(F.sort_array(F.collect_list(F.struct("u", "v", "axis", "cut", "u_first"))).alias("cuts"))
+    both = boxes.join(cuts, comp).withColumn("names", F.transform("boxes", lambda x: x["boxno"]))
+    indexed = F.transform("cuts", lambda c: F.struct(
+        F.array_position("names", c["u"]).alias("x"), F.array_position("names", c["v"]).alias("y"),
+        (c["axis"] == "vertical").alias("down"), c["cut"].alias("cut"), c["u_first"].alias("u_first")))
+
+    def step(state: Column, c: Column) -> Column:
+        a, b = F.element_at(state, c["x"].cast("int")), F.element_at(state, c["y"].cast("int"))
+        hit = _overlap(geo.Region(*[a[n] for n in PLACED]), geo.Region(*[b[n] for n in PLACED]))
+
+        def moved(e: Column, i: Column) -> Column:
+            lead = ((i + 1) == c["x"]) == c["u_first"]
+            down = c["down"]
+            return F.struct(
+                e["boxno"].alias("boxno"),
+                F.when(~lead & ~down, F.greatest(e["pl"], c["cut"])).otherwise(e["pl"]).alias("pl"),
+                F.when(~lead & down, F.greatest(e["pt"], c["cut"])).otherwise(e["pt"]).alias("pt"),
+                F.when(lead & ~down, F.least(e["pr"], c["cut"])).otherwise(e["pr"]).alias("pr"),
+                F.when(lead & down, F.least(e["pb"], c["cut"])).otherwise(e["pb"]).alias("pb"),
+                F.lit(True).alias("adjusted"))
+
+        return F.when(hit, F.transform(state, lambda e, i: F.when(
+            ((i + 1) == c["x"]) | ((i + 1) == c["y"]), moved(e, i)).otherwise(e))).otherwise(state)
+
+    return (both.select(*PAGE, F.explode(F.aggregate(indexed, F.col("boxes"), step)).alias("e"))
+            .select(*PAGE, "e.boxno", *[F.col(f"e.{n}").alias(n) for n in PLACED], "e.adjusted"))
 
 
 def _cut_rounds(regions: DataFrame, pairs: DataFrame, max_rounds: int) -> DataFrame:
@@ -194,8 +206,7 @@ def resolve_overlaps(placements: DataFrame, fold_pairs: int = FOLD_PAIRS, max_ro
     if has_large:
         large = materialise(large)
         small_part, small_pairs = part.join(large, comp, "left_anti"), keyed.join(large, comp, "left_anti")
-    schema = "book_id string, page bigint, boxno bigint, pl bigint, pt bigint, pr bigint, pb bigint, adjusted boolean"
-    moved = small_part.groupBy(*comp).cogroup(small_pairs.groupBy(*comp)).applyInPandas(_cut_component, schema)
+    moved = _cut_fold(small_part, small_pairs, comp)
     if has_large:
         moved = moved.unionByName(_cut_rounds(part.join(large, comp, "left_semi"),
                                               keyed.join(large, comp, "left_semi").drop("label"), max_rounds))

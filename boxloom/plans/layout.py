@@ -121,9 +121,9 @@ def found_area(s):
 @query("point_sizes", """
     p AS (SELECT book_id, page, boxno, r - l AS w, b - t AS h, cast(600 + page % 4000 AS double) AS ph, CASE WHEN boxno % 3 = 0 THEN 2.0 WHEN boxno % 3 = 1 THEN 0.0 END AS sw,
         CASE WHEN boxno % 2 = 0 THEN 20.0 END AS lo, CASE WHEN boxno % 4 = 1 THEN 30.0 END AS hi FROM boxes),
-    q AS (SELECT *, greatest(coalesce(greatest(1.0, lo), 14.0), greatest(14.0, ph * 0.008)) AS mn FROM p)
+    q AS (SELECT *, greatest(coalesce(greatest(1.0, lo), 14.0), greatest(14.0, ph * cast(0.008 AS double))) AS mn FROM p)
     SELECT book_id, page, boxno, CASE WHEN coalesce(sw, 3.0) = 0 THEN 0.0 ELSE cast(greatest(coalesce(sw, 3.0), greatest(3.0, round_even(ph * 0.0012, 0))) AS double) END AS stroke,
-      cast(mn AS double) AS min_point, cast(greatest(mn, least(coalesce(hi, 1e9), greatest(mn, greatest(1.0, ph * 0.024)), greatest(mn, w * 0.24), greatest(mn, h * 0.30))) AS double) AS max_point FROM q""".replace("0.0 END AS sw", "0.0 END AS sw"), ("boxes",))
+      cast(mn AS double) AS min_point, cast(greatest(mn, least(coalesce(hi, 1e9), greatest(mn, greatest(1.0, ph * cast(0.024 AS double))), greatest(mn, w * cast(0.24 AS double)), greatest(mn, h * cast(0.3 AS double)))) AS double) AS max_point FROM q""", ("boxes",))
 def point_sizes(s):
     n, g = F.col("boxno"), geo.region()
     ph = (600 + F.col("page") % 4000).cast("double")
@@ -225,7 +225,7 @@ def combine_placements(s):
     th AS (SELECT book_id, page, boxno, round_even(t / 480 * 1000, 0) AS y0, round_even(l / 320 * 1000, 0) AS x0, round_even(b / 480 * 1000, 0) AS y1, round_even(r / 320 * 1000, 0) AS x1 FROM boxes JOIN good USING (book_id, page))
     SELECT book_id, page, boxno, CASE WHEN boxno % 2 = 0 THEN {rnd('x0 / 1000 * 320')} ELSE 32 END AS pl, CASE WHEN boxno % 2 = 0 THEN {rnd('y0 / 1000 * 480')} ELSE 48 END AS pt,
       CASE WHEN boxno % 2 = 0 THEN {rnd('x1 / 1000 * 320')} ELSE 96 END AS pr, CASE WHEN boxno % 2 = 0 THEN {rnd('y1 / 1000 * 480')} ELSE 144 END AS pb,
-      CASE WHEN boxno % 3 = 0 THEN 'NATION_3.ttf' END AS font, 'white' AS fill, CASE WHEN boxno % 3 = 1 THEN 2.5 END AS size_percent FROM th""", ("boxes",))
+      CASE WHEN boxno % 3 = 0 THEN 'NATION_3.ttf' END AS font, 'white' AS fill, CASE WHEN boxno % 3 = 1 THEN cast(2.5 AS double) END AS size_percent FROM th""", ("boxes",))
 def attach_placements(s):
     n = F.col("boxno")
     where = F.when(n % 2 == 0, F.concat(F.lit('"placementRegion":['), F.concat_ws(",", "l", "t", "r", "b"), F.lit('],"box_2d":[0,0,9,9]'))) \
