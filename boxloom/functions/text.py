@@ -316,11 +316,10 @@ def progress_phase(line: Column) -> Column:
 
 
 def progress_page(line: Column) -> Column:
-    page = F.lit(None).cast("bigint")
-    for pattern, _ in reversed(PROGRESS_PATTERNS):
-        if "(\\d+)" in pattern:
-            page = F.when(F.rlike(line, F.lit(pattern)), F.regexp_extract(line, pattern, 1).try_cast("bigint")).otherwise(page)
-    return page
+    """Page of a line that reports progress; the patterns differ only in what comes before it."""
+    page = [pattern for pattern, _ in PROGRESS_PATTERNS if "(\\d+)" in pattern]
+    heads = "|".join(pattern.replace("^", "").replace(r" (\d+)", "") for pattern in page)
+    return F.regexp_extract(line, rf"^(?:{heads}) (\d+)", 1).try_cast("bigint")
 
 
 def resume_target(resume_from: Column, page: Column) -> Column:

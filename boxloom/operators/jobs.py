@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions import text as tx
+from boxloom.functions.staging import staged
 from boxloom.operators.group import PAGE
 from boxloom.operators.ranking import position_block, split_row_number, split_running
 
@@ -273,8 +274,9 @@ def last_lines(lines: DataFrame, most: int = 1000) -> DataFrame:
 
 def progress(lines: DataFrame) -> DataFrame:
     """Phase, page and resume target of every line that reports progress."""
-    read = lines.select(*JOB, "seq", tx.progress_phase(F.col("line")).alias("phase"), tx.progress_page(F.col("line")).alias("page"))
-    return read.where(F.col("phase").isNotNull()).withColumn("target", tx.progress_target(F.col("phase"), F.col("page")))
+    read = staged(lines.select(*JOB, "seq", "line"), phase=tx.progress_phase(F.col("line")))
+    read = staged(read.where(F.col("phase").isNotNull()), page=tx.progress_page(F.col("line"))).drop("line")
+    return staged(read, target=tx.progress_target(F.col("phase"), F.col("page")))
 
 
 def latest_progress(lines: DataFrame, terminated: DataFrame | None = None) -> DataFrame:

@@ -53,13 +53,13 @@ def budget_batches(s):
 
 
 @query("rolling_context", """
-    rr AS (SELECT concat('b', conv_id % 4) AS book_id, cast(floor(conv_id / 20) AS bigint) AS batch, conv_id AS page, turn AS boxno, role FROM conversations),
+    rr AS (SELECT concat('b', conv_id % 4) AS book_id, cast(floor(conv_id / 6) AS bigint) AS batch, conv_id AS page, turn AS boxno, role FROM conversations),
     nn AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page, boxno) - 1 AS at_ FROM rr),
     st AS (SELECT book_id, batch, min(at_) AS s FROM nn GROUP BY ALL)
     SELECT st.book_id, st.batch, nn.page, nn.boxno, nn.role, nn.at_ - greatest(st.s - 24, 0) AS place FROM st JOIN nn ON nn.book_id = st.book_id AND nn.at_ >= st.s - 24 AND nn.at_ < st.s""")
 def rolling_context(s):
     c = F.col("conv_id")
-    rows = s.conversations.select(F.concat(F.lit("b"), c % 4).alias("book_id"), F.floor(c / 20).alias("batch"), c.alias("page"), F.col("turn").alias("boxno"), "role")
+    rows = s.conversations.select(F.concat(F.lit("b"), c % 4).alias("book_id"), F.floor(c / 6).alias("batch"), c.alias("page"), F.col("turn").alias("boxno"), "role")
     return batching.rolling_context(rows)
 
 
@@ -91,18 +91,23 @@ KEYED = """
     cov AS (SELECT series, arg_max(v, (v, c)) AS v, arg_max(c, (v, c)) AS c FROM ck WHERE seq <= 4 GROUP BY ALL)"""
 
 
-@query("series_gate", KEYED + """,
+GATE = """,
     pv AS (SELECT *, lag(v) OVER w AS pv, lag(c) OVER w AS pc, lag(label) OVER w AS plabel FROM ck WINDOW w AS (PARTITION BY series ORDER BY v, c)),
     op AS (SELECT series, arg_min(v, (v, c)) AS ov, arg_min(c, (v, c)) AS oc, arg_min(label, (v, c)) AS olabel, arg_min(status, (v, c)) AS ostate FROM ck WHERE status <> 'complete' GROUP BY ALL),
     g AS (SELECT p.series, p.job_id, CASE WHEN ov IS NOT NULL AND (ov < p.v OR (ov = p.v AND oc < p.c)) THEN concat('Waiting for ', olabel, ' (', ostate, ').')
         WHEN has_context THEN '' WHEN cov.v IS NOT NULL AND (cov.v > p.v OR (cov.v = p.v AND cov.c >= p.c)) THEN 'Series notes include this chapter or a later chapter. Publish earlier chapter notes first.'
         WHEN pc IS NOT NULL AND (cov.v IS NULL OR cov.v < pv OR (cov.v = pv AND cov.c < pc)) THEN concat('Waiting for series notes from ', plabel, '.') ELSE '' END AS reason
-      FROM pv p LEFT JOIN op USING (series) LEFT JOIN cov USING (series))
-    SELECT series, job_id, reason, reason = '' AS ready FROM g""", ("chapters",))
-def series_gate(s):
+      FROM pv p LEFT JOIN op USING (series) LEFT JOIN cov USING (series))"""
+
+
+def gate_tables(s):
     chapters = s.chapters.withColumn("skip_gate", F.lit(False))
-    covered = series.coverage_boundary(chapters.withColumn("covered", F.col("seq") <= 4))
-    return series.series_gate(chapters, covered)
+    return chapters, series.coverage_boundary(chapters.withColumn("covered", F.col("seq") <= 4))
+
+
+@query("series_gate", KEYED + GATE + " SELECT series, job_id, reason, reason = '' AS ready FROM g", ("chapters",))
+def series_gate(s):
+    return series.series_gate(*gate_tables(s))
 
 
 @query("coverage_boundary", KEYED + " SELECT series, arg_max(volume, (v, c)) AS volume, arg_max(chapter, (v, c)) AS chapter FROM ck WHERE seq <= 4 GROUP BY ALL", ("chapters",))
@@ -157,7 +162,7 @@ NATURAL = "[{{'t': regexp_extract(x, '^[^0-9]*'), 's': CASE WHEN regexp_extract(
 
 
 @query("batch_numbering", f"""
-    f AS (SELECT concat('u', floor(page_id / 50)) AS upload, regexp_replace(url, '^https?://[^/]*/', '') AS name, page_id AS pos FROM pages)
+    f AS (SELECT concat('u', cast(floor(page_id / 50) AS bigint)) AS upload, regexp_replace(url, '^https?://[^/]*/', '') AS name, page_id AS pos FROM pages)
     SELECT upload, name, regexp_replace(regexp_replace(cast(cast(2.5 AS decimal(20,1)) + row_number() OVER (PARTITION BY upload ORDER BY {NATURAL.format('name')}, pos) - 1 AS varchar), '0+$', ''), '[.]$', '') AS chapter FROM f""")
 def batch_numbering(s):
     files = s.pages.select(F.concat(F.lit("u"), F.floor(F.col("page_id") / 50)).alias("upload"), F.regexp_replace("url", "^https?://[^/]*/", "").alias("name"), F.col("page_id").alias("pos"))
@@ -166,7 +171,7 @@ def batch_numbering(s):
 
 @query("page_index", f"""
     m AS (SELECT concat('b', page_id % 3) AS book_id, concat(regexp_replace(url, '^https?://[^/]*/', ''), CASE WHEN page_id % 7 = 0 THEN '.txt' ELSE '.PNG' END) AS name FROM pages),
-    n AS (SELECT book_id, name, row_number() OVER (PARTITION BY book_id ORDER BY {NATURAL.format('name')}, name) - 1 AS page FROM m WHERE name LIKE '%.PNG')
+    n AS (SELECT book_id, name, row_number() OVER (PARTITION BY book_id ORDER BY {NATURAL.format('name')}, name) - 1 AS page FROM m WHERE name LIKE '%.PNG' AND regexp_extract(name, '[^/]*$') NOT LIKE '.%')
     SELECT book_id, page, name, concat('page_', lpad(cast(page AS varchar), 4, '0')) AS page_name FROM n""")
 def page_index(s):
     name = F.concat(F.regexp_replace("url", "^https?://[^/]*/", ""), F.when(F.col("page_id") % 7 == 0, ".txt").otherwise(".PNG"))
@@ -320,11 +325,11 @@ def classify_members(s):
 
 @query("pixel_policy", """
     z AS (SELECT concat('b', o_custkey % 30) AS book_id, o_orderkey AS page, 1000 + o_orderkey % 9000 AS width, 2000 + o_custkey AS height FROM orders)
-    SELECT book_id, page, 'page_too_large' AS code FROM z WHERE width * height > 20000000 UNION ALL SELECT book_id, NULL, 'book_too_large' FROM z GROUP BY book_id HAVING sum(width * height) > 500000000""")
+    SELECT book_id, page, 'page_too_large' AS code FROM z WHERE width * height > 15000000 UNION ALL SELECT book_id, NULL, 'book_too_large' FROM z GROUP BY book_id HAVING sum(width * height) > 400000000""")
 def pixel_policy(s):
     k = F.col("o_orderkey")
     rows = s.orders.select(F.concat(F.lit("b"), F.col("o_custkey") % 30).alias("book_id"), k.alias("page"), (1000 + k % 9000).alias("width"), (2000 + F.col("o_custkey")).alias("height"))
-    return jobs.pixel_policy(rows, 20_000_000, 500_000_000)
+    return jobs.pixel_policy(rows, 15_000_000, 400_000_000)
 
 
 @query("changed_inputs", """
@@ -410,12 +415,18 @@ RUNTIME = """
     sp AS (SELECT user_id, island, min(CASE WHEN event_type = 'view' THEN ts END) AS a, max(CASE WHEN event_type = 'click' THEN ts END) AS z FROM ev GROUP BY ALL)"""
 
 
-@query("active_runtime", RUNTIME + """
-    SELECT concat('j', user_id) AS job_id, cast(sum(CASE WHEN a IS NOT NULL AND z IS NOT NULL THEN greatest(0, epoch_us(z) - epoch_us(a)) ELSE 0 END) AS bigint) AS elapsed_micros, max(CASE WHEN z IS NULL THEN a END) AS running_since FROM sp GROUP BY ALL""")
-def active_runtime(s):
+RUNTIME_RESULT = """
+    SELECT concat('j', user_id) AS job_id, cast(sum(CASE WHEN a IS NOT NULL AND z IS NOT NULL THEN greatest(0, epoch_us(z) - epoch_us(a)) ELSE 0 END) AS bigint) AS elapsed_micros, max(CASE WHEN z IS NULL THEN a END) AS running_since FROM sp GROUP BY ALL"""
+
+
+def runtime_events(s):
     kind = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "click", "stop").otherwise("other")
-    events = s.events.select(F.concat(F.lit("j"), F.col("user_id")).alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"))
-    return jobs.active_runtime(events).withColumn("running_since", F.col("running_since").cast("timestamp_ntz"))
+    return s.events.select(F.concat(F.lit("j"), F.col("user_id")).alias("job_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+@query("active_runtime", RUNTIME + RUNTIME_RESULT)
+def active_runtime(s):
+    return jobs.active_runtime(runtime_events(s)).withColumn("running_since", F.col("running_since").cast("timestamp_ntz"))
 
 
 # logs ------------------------------------------------------------------------------------
@@ -475,23 +486,37 @@ def last_lines(s):
     return jobs.last_lines(made_log(s), 20).select("job_id", "seq")
 
 
-@query("failure_limiter", """
+LIMITER = """
     a AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'signup' AS ok, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS isl FROM events WHERE event_type IN ('error', 'signup')),
     w AS (SELECT user_id, event_id, us, count(CASE WHEN NOT ok THEN 1 END) OVER z AS failures, min(CASE WHEN NOT ok THEN us END) OVER z AS oldest FROM a
       WINDOW z AS (PARTITION BY user_id, isl ORDER BY us RANGE BETWEEN 259199999999 PRECEDING AND CURRENT ROW))
-    SELECT user_id AS client, event_id AS seq, failures, CASE WHEN failures >= 3 THEN greatest(1, cast(round_even(259200.0 - (us - oldest) / 1e6, 0) AS bigint)) ELSE 0 END AS retry_after FROM w""")
+    SELECT user_id AS client, event_id AS seq, failures, CASE WHEN failures >= 3 THEN greatest(1, cast(round_even(259200.0 - (us - oldest) / 1e6, 0) AS bigint)) ELSE 0 END AS retry_after FROM w"""
+
+
+def attempts(s):
+    return s.events.where(F.col("event_type").isin("error", "signup")).select(
+        F.col("user_id").alias("client"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("ok"))
+
+
+@query("failure_limiter", LIMITER)
 def failure_limiter(s):
-    tries = s.events.where(F.col("event_type").isin("error", "signup")).select(F.col("user_id").alias("client"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), (F.col("event_type") == "signup").alias("ok"))
-    return jobs.failure_limiter(tries, limit=3, window_seconds=259_200)
+    return jobs.failure_limiter(attempts(s), limit=3, window_seconds=259_200)
 
 
-@query("token_meter", """
+TOKENS = """
     SELECT user_id AS call, count(*) FILTER (event_type IN ('view', 'error')) AS reasoning_chunks, count(*) FILTER (event_type = 'click') AS answer_chunks,
-      coalesce(arg_max(CASE WHEN event_id % 97 = 0 THEN event_id END, CASE WHEN event_id % 97 = 0 THEN event_id END), count(*) FILTER (event_type IN ('view', 'error', 'click'))) AS tokens FROM events GROUP BY ALL""")
-def token_meter(s):
+      coalesce(arg_max(CASE WHEN event_id % 97 = 0 THEN event_id END, CASE WHEN event_id % 97 = 0 THEN event_id END), count(*) FILTER (event_type IN ('view', 'error', 'click'))) AS tokens FROM events GROUP BY ALL"""
+
+
+def token_chunks(s):
     kind = F.when(F.col("event_type").isin("view", "error"), "reasoning").when(F.col("event_type") == "click", "answer").otherwise("none")
     e = F.col("event_id")
-    return jobs.token_meter(s.events.select(F.col("user_id").alias("call"), e.alias("seq"), kind.alias("kind"), F.when(e % 97 == 0, e).alias("usage")))
+    return s.events.select(F.col("user_id").alias("call"), e.alias("seq"), kind.alias("kind"), F.when(e % 97 == 0, e).alias("usage"))
+
+
+@query("token_meter", TOKENS)
+def token_meter(s):
+    return jobs.token_meter(token_chunks(s))
 
 
 # text functions --------------------------------------------------------------------------
@@ -513,7 +538,7 @@ def squeezed_texts(s):
 
 @query("titles_and_names", r"""
     t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, url FROM pages)
-    SELECT page_id, nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, regexp_replace(url, '^.*/', '') AS job_name FROM t""")
+    SELECT page_id, nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, CASE WHEN url LIKE '%/' THEN '.cbz' ELSE regexp_replace(url, '^.*/', '') END AS job_name FROM t""")
 def titles_and_names(s):
     title = F.regexp_extract("html", "<title>([^<]*)", 1)
     quoted = F.concat(F.lit(' "'), title, F.lit('"\n'))
