@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as geo
+from boxloom.functions.staging import staged
 from boxloom.operators.graph import component_labels
 from boxloom.operators.ranking import split_row_number
 from boxloom.session import materialise
@@ -44,7 +45,7 @@ class MergeRules:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], match: Column,
-               reach_x: float = 0, reach_y: float = 0, cell: int = 256) -> DataFrame:
+               reach_x: float = 0, reach_y: float = 0, cell: int = 512) -> DataFrame:
     """Join regions of `left` (alias a) and `right` (alias b) that can be within reach.
 
     Both sides are spread over grid cells, so one page is split over many tasks. A pair is
@@ -53,8 +54,12 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], match: Co
     """
     half_x, half_y = reach_x / 2.0, reach_y / 2.0
 
+    def cell_of(value: Column) -> Column:
+        # everything left of or above the page belongs to the first cell
+        return F.floor(F.greatest(value, F.lit(0)) / cell)
+
     def cells(low: str, high: str, half: float) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(low) - half) / cell), F.floor((F.col(high) + half) / cell)))
+        return F.explode(F.sequence(cell_of(F.col(low) - half), cell_of(F.col(high) + half)))
 
     def spread(df: DataFrame, tag: str) -> DataFrame:
         usable = df.where((F.col("r") >= F.col("l")) & (F.col("b") >= F.col("t")))
@@ -64,60 +69,71 @@ def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], match: Co
     on = match
     for key in [*keys, "cell_x", "cell_y"]:
         on = on & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    home = ((F.floor((F.greatest("a.l", "b.l") - half_x) / cell) == F.col("a.cell_x"))
-            & (F.floor((F.greatest("a.t", "b.t") - half_y) / cell) == F.col("a.cell_y")))
+    home = ((cell_of(F.greatest("a.l", "b.l") - half_x) == F.col("a.cell_x"))
+            & (cell_of(F.greatest("a.t", "b.t") - half_y) == F.col("a.cell_y")))
     return spread(left, "a").join(spread(right, "b"), on & home, "inner")
 
 
-def merge_rule(a: geo.Region, b: geo.Region, rules: MergeRules = MergeRules()) -> dict[str, Column]:
-    """The three ways two regions belong together, as named boolean columns."""
-    wa, wb, ha, hb = geo.width(a), geo.width(b), geo.height(a), geo.height(b)
-    low_w, low_h = F.least(wa, wb), F.least(ha, hb)
+def pair_measures(a: geo.Region, b: geo.Region) -> dict[str, Column]:
+    """What the merge rules look at, for two regions."""
+    return {
+        "wa": geo.width(a), "wb": geo.width(b), "ha": geo.height(a), "hb": geo.height(b),
+        "share_x": geo.x_overlap(a, b), "share_y": geo.y_overlap(a, b), "gap_x": geo.x_gap(a, b), "gap_y": geo.y_gap(a, b),
+        "off_center": F.abs(geo.center_y(a) - geo.center_y(b)), "off_top": F.abs(a.t - b.t),
+        "span_x": F.greatest(a.r, b.r) - F.least(a.l, b.l),
+    }
+
+
+def merge_rule(m: dict[str, Column], rules: MergeRules = MergeRules()) -> dict[str, Column]:
+    """The three ways two regions belong together, as named boolean columns over pair measures.
+
+    Regions without extent belong to nothing.
+    """
+    low_w, low_h = F.least(m["wa"], m["wb"]), F.least(m["ha"], m["hb"])
     solid = (low_w > 0) & (low_h > 0)
-    share_x, share_y = geo.x_overlap(a, b), geo.y_overlap(a, b)
-    gap_x, gap_y = geo.x_gap(a, b), geo.y_gap(a, b)
-    off_center = F.abs(geo.center_y(a) - geo.center_y(b))
 
     def limit(low: float, high: float, by_width: float, by_height: float) -> Column:
         return geo.clip(F.greatest(low_w * F.lit(by_width), low_h * F.lit(by_height)), float(low), float(high))
 
-    def ratio_at_least(part: Column, whole: Column, ratio: float) -> Column:
-        return F.try_divide(part, whole) >= F.lit(ratio)
+    def ratio(part: Column, whole: Column) -> Column:
+        return part / F.greatest(whole, F.lit(1e-9))
 
-    side = (ratio_at_least(share_y, low_h, rules.side_overlap)
-            & (gap_x <= limit(rules.side_gap_min, rules.side_gap_max, rules.side_gap_width_ratio,
-                              rules.side_gap_height_ratio))
-            & (F.try_divide(F.greatest(ha, hb), low_h) <= rules.side_height_ratio)
-            & (off_center <= geo.clip(low_h * F.lit(rules.center_ratio), float(rules.center_min),
-                                      float(rules.center_max))))
+    side = ((ratio(m["share_y"], low_h) >= rules.side_overlap)
+            & (m["gap_x"] <= limit(rules.side_gap_min, rules.side_gap_max, rules.side_gap_width_ratio,
+                                   rules.side_gap_height_ratio))
+            & (ratio(F.greatest(m["ha"], m["hb"]), low_h) <= rules.side_height_ratio)
+            & (m["off_center"] <= geo.clip(low_h * F.lit(rules.center_ratio), float(rules.center_min),
+                                           float(rules.center_max))))
 
     def narrow(w: Column, h: Column) -> Column:
         return (w <= rules.vertical_width) & (h / F.greatest(F.lit(1), w) >= rules.vertical_aspect)
 
-    vertical = (narrow(wa, ha) & narrow(wb, hb)
-                & ratio_at_least(share_y, low_h, rules.vertical_overlap) & (gap_x <= rules.vertical_gap)
-                & (F.greatest(a.r, b.r) - F.least(a.l, b.l) <= rules.vertical_combined_width)
-                & (F.abs(a.t - b.t) <= rules.vertical_top_delta)
-                & (off_center <= F.greatest(F.lit(float(rules.center_min)),
-                                            low_h * F.lit(rules.vertical_center_ratio))))
-    stack = (ratio_at_least(share_x, low_w, rules.stack_overlap)
-             & (gap_y <= limit(rules.stack_gap_min, rules.stack_gap_max, rules.stack_gap_width_ratio,
-                               rules.stack_gap_height_ratio)))
-    off = F.lit(False)
-    return {"side": F.coalesce(solid & side, off), "vertical": F.coalesce(solid & vertical, off),
-            "stack": F.coalesce(solid & stack, off)}
+    vertical = (narrow(m["wa"], m["ha"]) & narrow(m["wb"], m["hb"])
+                & (ratio(m["share_y"], low_h) >= rules.vertical_overlap) & (m["gap_x"] <= rules.vertical_gap)
+                & (m["span_x"] <= rules.vertical_combined_width) & (m["off_top"] <= rules.vertical_top_delta)
+                & (m["off_center"] <= F.greatest(F.lit(float(rules.center_min)),
+                                                 low_h * F.lit(rules.vertical_center_ratio))))
+    stack = ((ratio(m["share_x"], low_w) >= rules.stack_overlap)
+             & (m["gap_y"] <= limit(rules.stack_gap_min, rules.stack_gap_max, rules.stack_gap_width_ratio,
+                                    rules.stack_gap_height_ratio)))
+    return {"side": solid & side, "vertical": solid & vertical, "stack": solid & stack}
 
 
 def merge_candidates(boxes: DataFrame, rules: MergeRules = MergeRules(), node: str = "boxno") -> DataFrame:
     """Pairs (u < v) of boxes of a page that belong together, with the rules that say so."""
     a, b = geo.region("a"), geo.region("b")
-    found = merge_rule(a, b, rules)
-    match = (F.col(f"a.{node}") < F.col(f"b.{node}")) & (found["side"] | found["vertical"] | found["stack"])
     slim = boxes.select(*PAGE, node, *SIDES)
-    reach_x = max(rules.side_gap_max, rules.vertical_gap)
-    pairs = near_pairs(slim, slim, PAGE, match, reach_x, rules.stack_gap_max)
-    return pairs.select(*[F.col(f"a.{k}").alias(k) for k in PAGE], F.col(f"a.{node}").alias("u"),
-                        F.col(f"b.{node}").alias("v"), *[c.alias(n) for n, c in found.items()])
+    reach_x, reach_y = max(rules.side_gap_max, rules.vertical_gap), rules.stack_gap_max
+    near = ((F.col(f"a.{node}") < F.col(f"b.{node}")) & (geo.x_gap(a, b) <= reach_x) & (geo.y_gap(a, b) <= reach_y))
+    pairs = near_pairs(slim, slim, PAGE, near, reach_x, reach_y).select(
+        *[F.col(f"a.{k}").alias(k) for k in PAGE], F.col(f"a.{node}").alias("u"), F.col(f"b.{node}").alias("v"),
+        *[F.col(f"{side}.{s}").alias(f"{side}{s}") for side in "ab" for s in SIDES])
+    # the measures are taken once per pair; the rules then only compare them
+    measured = staged(pairs, **pair_measures(geo.region(prefix="a"), geo.region(prefix="b")))
+    names = pair_measures(geo.region(prefix="a"), geo.region(prefix="b"))
+    found = merge_rule({n: F.col(n) for n in names}, rules)
+    return (measured.select(*PAGE, "u", "v", *[c.alias(n) for n, c in found.items()])
+            .where(F.col("side") | F.col("vertical") | F.col("stack")))
 
 
 def _distinct_regions(boxes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from boxloom.plans.inputs import INPUTS, TABLES, needed
+from boxloom.session import materialise
 
 
 class Source:
@@ -26,7 +27,11 @@ class Source:
             if any(table in INPUTS[c] for c in ctes):
                 getattr(self, table).createOrReplaceTempView(table)
         body = ",\n".join(f"{c} AS ({INPUTS[c]})" for c in ctes)
-        return self.spark.sql(f"WITH {body}\nSELECT * FROM {name}")
+        rows = self.spark.sql(f"WITH {body}\nSELECT * FROM {name}")
+        # queries read a derived input several times: number its rows once and write it
+        made = materialise(rows) if name == "boxes" else rows
+        self.__dict__[name] = made
+        return made
 
 
 @dataclass(frozen=True)
