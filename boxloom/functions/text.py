@@ -248,7 +248,7 @@ def chapter_number(value: Column) -> Column:
     exact = wide.try_cast("decimal(38,18)")
     vanished = (wide == 0) & F.rlike(F.regexp_replace(word, "[eE].*$", ""), F.lit("[1-9]"))
     plain = _plain_decimal(exact)
-    ok = shaped & (wide >= 0) & (wide <= 1_000_000) & (wide == exact) & ~vanished & (F.length(plain) <= 20)
+    ok = shaped & (wide >= 0) & (wide <= 1_000_000) & (wide == exact.try_cast("decimal(38,30)")) & ~vanished & (F.length(plain) <= 20)
     return F.when(ok, plain)
 
 

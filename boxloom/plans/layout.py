@@ -345,13 +345,13 @@ def samples(s):
 TONES = SAMPLES + """,
     st AS (SELECT book_id, page, list_sort(list(value)) AS vs, list_sort(list(value) FILTER (value >= 180)) AS br, list_sort(list(value) FILTER (value <= 90)) AS dk, count(*) AS n,
         count(*) FILTER (value >= 180) / count(*) AS b, count(*) FILTER (value <= 90) / count(*) AS d FROM smp GROUP BY ALL),
-    tn AS (SELECT book_id, page, CASE WHEN b >= 0.20 AND b >= d * 0.75 THEN br[cast(round_even((len(br) - 1) * 0.7, 0) AS bigint) + 1]
-        WHEN d >= 0.20 AND d > b THEN dk[cast(round_even((len(dk) - 1) * 0.3, 0) AS bigint) + 1] END AS dominant, vs[cast(round_even((n - 1) * 0.5, 0) AS bigint) + 1] AS median FROM st)"""
+    tn AS (SELECT book_id, page, CASE WHEN b >= 0.20 AND b >= d * 0.75 THEN br[cast(round_even((len(br) - 1) * cast(0.7 AS double), 0) AS bigint) + 1]
+        WHEN d >= 0.20 AND d > b THEN dk[cast(round_even((len(dk) - 1) * cast(0.3 AS double), 0) AS bigint) + 1] END AS dominant, vs[cast(round_even((n - 1) * 0.5, 0) AS bigint) + 1] AS median FROM st)"""
 
 
 @query("rank_percentile", """
     q AS (SELECT l_partkey, list_sort(list(l_extendedprice)) AS v, count(*) AS n FROM lineitem GROUP BY ALL)
-    SELECT l_partkey, v[cast(round_even((n - 1) * 0.7, 0) AS bigint) + 1] AS price FROM q""")
+    SELECT l_partkey, v[cast(round_even((n - 1) * cast(0.7 AS double), 0) AS bigint) + 1] AS price FROM q""")
 def rank_percentile(s):
     return layout.rank_percentile(s.lineitem, ["l_partkey"], "l_extendedprice", 0.7, "price")
 
