@@ -55,26 +55,26 @@ def plain_dedupe(rows):
     return [s[2] for s in slots]
 
 
-@pytest.mark.parametrize("fold_rows", [2000, 8])
+@pytest.mark.parametrize("fold_rows", [2000, 3])
 def test_dedupe_matches_a_plain_walk(spark, fold_rows):
-    rows = random_boxes(pages=3, per_page=25, seed=5)
+    rows = random_boxes(pages=2, per_page=9, seed=5)
     out = detect.dedupe_detections(spark.createDataFrame(rows, BOX), fold_rows=fold_rows).select("page", "boxno", "source_boxno").collect()
-    for page in range(3):
+    for page in range(2):
         got = [r.source_boxno for r in sorted((r for r in out if r.page == page), key=lambda r: r.boxno)]
         assert got == plain_dedupe([r for r in rows if r[1] == page])
 
 
 def test_many_copies_need_few_rounds(spark):
-    rows = [("b", 0, n, 0, 0, 50, 50, 0.9 if n == 700 else 0.5, "same", False) for n in range(1000)]
+    rows = [("b", 0, n, 0, 0, 50, 50, 0.9 if n == 200 else 0.5, "same", False) for n in range(300)]
     out = detect.dedupe_detections(spark.createDataFrame(rows, BOX), fold_rows=10, max_rounds=5).collect()
-    assert [(r.boxno, r.source_boxno) for r in out] == [(0, 700)]
+    assert [(r.boxno, r.source_boxno) for r in out] == [(0, 200)]
 
 
 @pytest.mark.parametrize("fold_edges", [256, 0])
 def test_components(spark, fold_edges):
     rng = random.Random(3)
-    edges = [("b", p, a, c) for p in range(3) for a, c in {tuple(sorted(rng.sample(range(40), 2))) for _ in range(30)}]
-    edges += [("b", 9, n, n + 1) for n in range(60)]
+    edges = [("b", p, a, c) for p in range(2) for a, c in {tuple(sorted(rng.sample(range(20), 2))) for _ in range(12)}]
+    edges += [("b", 9, n, n + 1) for n in range(20)]
     pairs = spark.createDataFrame(edges, "book_id string, page bigint, u bigint, v bigint")
     got = {(r.page, r.node): r.label for r in graph.component_labels(pairs, ["book_id", "page"], fold_edges=fold_edges).collect()}
     parent = {}
@@ -95,18 +95,18 @@ def test_components(spark, fold_edges):
 def test_overlaps_are_cut_in_pair_order(spark, fold_pairs):
     rng = random.Random(11)
     rows = []
-    for page in range(4):
-        for n in range(9):
-            l, t = rng.randrange(0, 120), rng.randrange(0, 120)
+    for page in range(2):
+        for n in range(5):
+            l, t = rng.randrange(0, 70), rng.randrange(0, 70)
             w, h = rng.randrange(5, 25), rng.randrange(5, 25)
             rows.append(("b", page, n, l, t, l + w, t + h, max(0, l - 20), max(0, t - 20), l + w + 20, t + h + 20))
     schema = "book_id string, page bigint, boxno bigint, sl bigint, st bigint, sr bigint, sb bigint, pl bigint, pt bigint, pr bigint, pb bigint"
     got = {(r.page, r.boxno): (r.pl, r.pt, r.pr, r.pb) for r in layout.resolve_overlaps(spark.createDataFrame(rows, schema), fold_pairs=fold_pairs).collect()}
     want = {(r[1], r[2]): list(r[7:]) for r in rows}
     source = {(r[1], r[2]): r[3:7] for r in rows}
-    for page in range(4):
-        for i in range(9):
-            for j in range(i + 1, 9):
+    for page in range(2):
+        for i in range(5):
+            for j in range(i + 1, 5):
                 a, c, s, z = want[page, i], want[page, j], source[page, i], source[page, j]
                 if min(a[2], c[2]) <= max(a[0], c[0]) or min(a[3], c[3]) <= max(a[1], c[1]):
                     continue
@@ -123,7 +123,7 @@ def test_overlaps_are_cut_in_pair_order(spark, fold_pairs):
 @pytest.mark.parametrize("block", [4096, 12])
 def test_batches_match_a_plain_walk(spark, block):
     rng = random.Random(2)
-    costs = [(f"b{k}", p * 3, rng.randrange(1, 8), rng.randrange(10, 90)) for k in range(2) for p in range(150)]
+    costs = [(f"b{k}", p * 3, rng.randrange(1, 8), rng.randrange(10, 90)) for k in range(2) for p in range(40)]
     frame = spark.createDataFrame(costs, "book_id string, page bigint, records bigint, chars bigint")
     got = {(r.book_id, r.page): r.batch for r in batching.budget_batches(frame, 6, 100, block=block).collect()}
     want = {}
