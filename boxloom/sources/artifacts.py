@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import answer_json as aj
 from boxloom.operators import jobs, merge, series
+from boxloom.operators.ranking import position_block
 
 PAGE_NAME = r"page_([0-9]+)\.json$"
 TRACE_SCHEMA = ("phase string, scope string, model string, elapsedSeconds double, generatedTokens bigint, completionTokens bigint, "
@@ -79,6 +80,9 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACE_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
 
 
-def write_collection(chapters: DataFrame, path: str, by_volume: bool = True) -> None:
-    """Page lists of the completed chapters, one folder per output group."""
-    series.collection_pages(chapters, by_volume).write.mode("overwrite").partitionBy("series", "group_key").parquet(path)
+def write_collection(chapters: DataFrame, path: str, by_volume: bool = True, folders: bool = True) -> None:
+    """Page lists of the completed chapters, in one folder per output group or as one table."""
+    pages = series.collection_pages(chapters, by_volume)
+    # one task writes a group, or a block of pages of a large one, so folders hold few files
+    writer = pages.repartition("series", "group_key", position_block(F.col("out_page"), 1 << 20)).write.mode("overwrite")
+    (writer.partitionBy("series", "group_key") if folders else writer).parquet(path)
