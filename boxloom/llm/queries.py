@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import ann, decontam, langid, pieces, sharding, simhash, tokens, warc
+from boxloom.llm import ann, decontam, katz, langid, pieces, sharding, simhash, tokens, warc
 from boxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_digest(table(spark, folder, "pages"))
 
 
+@query("op6_katz")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = katz.held_out(F.col("doc_id"))
+    return katz.katz_scores(docs, held).withColumn("held_out", held)
+
+
 @query("op7_string_kernel")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
