@@ -194,5 +194,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
     roots = roots.join(nodes, roots["node"] == nodes["fp"])
     smallest = roots.groupBy("root").agg(F.min("first").alias("smallest"))
     linked = roots.join(smallest, "root").select("fp", "smallest")
-    labels = nodes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # written, so that the last join has a plain exchange on both sides and its hot rows can be split
+    labels = stored(nodes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")), "labels")
     return fps.join(labels, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
