@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -302,43 +303,40 @@ def finish(words: Words, pairs: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, words: DataFrame, least: int, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every whole text; null texts are empty.
 
-    Rows of equal key and text are scored together and returned as often as they occur.
+    A chunk is what a task reads for one set of blocks. Its texts are numbered, the sums of every
+    bucket come back as one packed row per chunk, and they are added up chunk by chunk.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     buckets = model.words.buckets
-    field = docs.schema[key]
-    sent = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.BinaryType()), T.StructField("row", T.LongType()),
-                         T.StructField("key", field.dataType), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
-                         T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    sent_arrow = to_arrow_schema(sent)
+    fields = [("bucket", T.IntegerType()), ("chunk", T.LongType()), ("block", T.BinaryType()), ("row", T.LongType()), ("key", docs.schema[key].dataType),
+              ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    sent = T.StructType([T.StructField(*f) for f in fields])
+    got, out = T.StructType(sent.fields[1:]), T.StructType([T.StructField(key, fields[4][1]), *sent.fields[5:]])
+    sent_arrow, got_arrow, out_arrow = (to_arrow_schema(x) for x in (sent, got, out))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         w = m.words
         log_base = np.log10(w.base)
         coder = _Coder(w)
-        rows: list[int] = []
+        chunk, size = TaskContext.get().partitionId() << 32, 0
         kept: list[np.ndarray] = []
         rare: list[np.ndarray] = []
-        size = 0
 
         def blocks() -> Iterator[pa.RecordBatch]:
-            ids = np.array(rows, np.int64)
-            doc = np.repeat(np.arange(len(rows)), [len(p) for p in kept])
-            rare_doc = np.repeat(np.arange(len(rows)), [len(p) for p in rare])
+            doc = np.repeat(np.arange(len(kept)), [len(p) for p in kept])
+            rare_doc = np.repeat(np.arange(len(kept)), [len(p) for p in rare])
             parts = [_deal(np.concatenate(kept), doc, w.bucket), _deal(np.concatenate(rare).view(np.uint64), rare_doc, lambda x: (_mix(x) % np.uint64(buckets)).astype(np.int64))]
             nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             for b in sorted({*parts[0], *parts[1]}):
                 (k, n, d), (rk, rn, rd) = (p.get(b, nothing) for p in parts)
-                used, at = np.unique(np.concatenate([d, rd]), return_inverse=True)
-                block = pack(np.diff(k, prepend=np.uint64(0)), n.astype("<u4"), np.diff(rk, prepend=np.uint64(0)), rn.astype("<u4"), at.astype("<u4"), ids[used])
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([b, block, *[None] * 6], sent_arrow.types)], sent.names)
+                block = pack(np.diff(k, prepend=np.uint64(0)), n.astype("<u4"), np.diff(rk, prepend=np.uint64(0)), rn.astype("<u4"), np.concatenate([d, rd]).astype("<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([b, chunk, block, *[None] * 6], sent_arrow.types)], sent.names)
 
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
-            batch_rows = batch.column(2).to_pylist()
-            for value, row in zip(batch.column(1), batch_rows):
+            columns: list[list] = [[] for _ in range(6)]
+            for value in batch.column(1):
                 classes, hashes = coder.codes(value.as_py())
                 every = _pairs(classes, w.start)
                 other = classes == w.rest
@@ -346,77 +344,77 @@ def score(docs: DataFrame, model: Model, words: DataFrame, least: int, pairs: Da
                 at[at == len(m.heavy)] = 0
                 heavy = m.heavy[at] == every if len(m.heavy) else np.zeros(len(every), bool)
                 here = m.log_probability(every[heavy], m.heavy_counts[at[heavy]]).sum() if heavy.any() else 0.0
-                columns[0].append(len(every))
-                columns[1].append(int((~other).sum()))
-                columns[2].append(float(log_base[classes[~other]].sum()))
-                columns[3].append(float(here))
-                rows.append(row)
+                for column, x in zip(columns, (chunk, len(kept), len(every), int((~other).sum()), float(log_base[classes[~other]].sum()), float(here))):
+                    column.append(x)
                 kept.append(every[~heavy])
                 rare.append(hashes[other])
                 size += len(every)
                 if size > BLOCK_TOKENS:
                     yield from blocks()
-                    rows, kept, rare, size = [], [], [], 0
+                    chunk, size, kept, rare = chunk + 1, 0, [], []
             n = len(batch)
-            home = (_mix(np.array(batch_rows, np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(home), pa.nulls(n, pa.binary()), batch.column(2), batch.column(0),
-                                              *[pa.array(c, t) for c, t in zip(columns, sent_arrow.types[4:])]], sent.names)
-        if rows:
+            home = (_mix(np.array(columns[0], np.uint64) + np.array(columns[1], np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(columns[0], pa.int64()), pa.nulls(n, pa.binary()), pa.array(columns[1], pa.int64()), batch.column(0),
+                                              *[pa.array(c, t) for c, t in zip(columns[2:], sent_arrow.types[5:])]], sent.names)
+        if kept:
             yield from blocks()
 
-    got = T.StructType([T.StructField("row", T.LongType()), *sent.fields[3:], T.StructField("texts", T.LongType())])
-    got_arrow = to_arrow_schema(got)
-
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):
+            return got_arrow.empty_table()
         m = shared.value
         w = m.words
-        table = right.filter(pc.is_valid(right["words"])) if len(right) else right
-        others = right.filter(pc.is_null(right["words"])) if len(right) else right
-        if len(table):
-            lists = table["words"].combine_chunks()
-            sizes = np.diff(lists.offsets.to_numpy())
-            keys = (np.repeat(table["history"].to_numpy(), sizes).astype(np.uint64) << np.uint64(32)) | lists.flatten().to_numpy().astype(np.uint64)
-            counts = table["counts"].combine_chunks().flatten().to_numpy()
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-        else:
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        hashes = others["history"].to_numpy().view(np.uint64) if len(others) else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        hashes, hash_counts = hashes[order], (others["total"].to_numpy()[order] if len(others) else np.zeros(0, np.int64))
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        hashes, hash_counts = keys, counts
+        if len(right):
+            table, others = right.filter(pc.is_valid(right["words"])), right.filter(pc.is_null(right["words"]))
+            if len(table):
+                lists = table["words"].combine_chunks()
+                sizes = np.diff(lists.offsets.to_numpy())
+                keys = (np.repeat(table["history"].to_numpy(), sizes).astype(np.uint64) << np.uint64(32)) | lists.flatten().to_numpy().astype(np.uint64)
+                order = np.argsort(keys)
+                keys, counts = keys[order], table["counts"].combine_chunks().flatten().to_numpy()[order]
+            if len(others):
+                hashes = others["history"].to_numpy().view(np.uint64)
+                order = np.argsort(hashes)
+                hashes, hash_counts = hashes[order], others["total"].to_numpy()[order]
         inside = np.log10(w.base[w.rest])
-        docs_part = left.filter(pc.is_null(left["block"])) if len(left) else left
-        out = [docs_part.select(got.names[:-1]).append_column("texts", pa.array(np.ones(len(docs_part), np.int64))).cast(got_arrow)] if len(docs_part) else []
-        for block in left["block"] if len(left) else []:
-            if not block.is_valid:
-                continue
-            k, n, rk, rn, at, ids = unpack(block.as_py(), "<u8", "<u4", "<u8", "<u4", "<u4", "<i8")
+        chunks, sums = [], []
+        texts = left.filter(pc.is_null(left["block"]))
+        blocks = left.filter(pc.is_valid(left["block"]))
+        for chunk, block in zip(blocks["chunk"].to_pylist(), blocks["block"]):
+            k, n, rk, rn, at = unpack(block.as_py(), "<u8", "<u4", "<u8", "<u4", "<u4")
             k, rk = np.cumsum(k, dtype=np.uint64), np.cumsum(rk, dtype=np.uint64)
             logs = m.log_probability(k, _find(keys, counts, k))
             c = _find(hashes, hash_counts, rk)
             base = np.log10((c + 0.5) / w.scale)
-            split = int(n.sum())
-            total = np.bincount(at[:split], np.repeat(logs, n), len(ids)) + np.bincount(at[split:], np.repeat(base - inside, rn), len(ids))
-            known = np.bincount(at[split:], np.repeat((c > 0).astype(float), rn), len(ids))
-            bases = np.bincount(at[split:], np.repeat(base, rn), len(ids))
-            zero = np.zeros(len(ids), np.int64)
-            out.append(pa.table([pa.array(ids), pa.nulls(len(ids), got_arrow.types[1]), pa.array(zero), pa.array(known.astype(np.int64)), pa.array(bases), pa.array(total), pa.array(zero)], schema=got_arrow))
-        return pa.concat_tables(out) if out else got_arrow.empty_table()
-
-    rows = docs.select(F.col(key), F.col(text), F.xxhash64(F.col(key), F.col(text)).alias("__row"))
-    left = arrow(rows, run, sent)
-    rare = words.where(F.col("count") < least)
-    rare = arrow(rare.select("hash", "count"), _home(buckets), "bucket int, history bigint, total bigint")
+            size, split = int(at.max()) + 1, int(n.sum())
+            add = lambda where, values, times: np.bincount(where, np.repeat(values, times), size)  # noqa: B023, E731
+            total = add(at[:split], logs, n) + add(at[split:], base - inside, rn)
+            known, bases = add(at[split:], (c > 0).astype(float), rn), add(at[split:], base, rn)
+            used = np.unique(at)
+            chunks.append(chunk)
+            sums.append(pack(used, known[used].astype("<u4"), bases[used], total[used]))
+        nulls = [pa.nulls(len(sums), t) for t in got_arrow.types[2:]]
+        packed = pa.table([pa.array(chunks, pa.int64()), pa.array(sums, pa.binary()), *nulls], schema=got_arrow)
+        return pa.concat_tables([texts.select(got.names).cast(got_arrow), packed])
+
+    def add_up(chunk: pa.Table) -> pa.Table:
+        texts = chunk.filter(pc.is_null(chunk["block"])).sort_by("row")
+        known, base, total = (texts[c].to_numpy().astype(float) for c in ("n_known", "base_score", "score"))
+        for block in chunk.filter(pc.is_valid(chunk["block"]))["block"]:
+            used, k, b, t = unpack(block.as_py(), "<u4", "<u4", "<f8", "<f8")
+            known[used] += k
+            base[used] += b
+            total[used] += t
+        return pa.table([texts["key"], texts["n_tokens"], pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)], schema=out_arrow)
+
+    left = arrow(docs.select(key, text), run, sent)
+    rare = arrow(words.where(F.col("count") < least).select("hash", "count"), _home(buckets), "bucket int, history bigint, total bigint")
     nothing = F.lit(None)
     right = pairs.select("bucket", "history", "words", "counts", "total").union(
         rare.select("bucket", "history", nothing.cast("array<int>"), nothing.cast("array<bigint>"), "total"))
-    parts = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(meet, got)
-    summed = parts.groupBy("row").agg(F.sum("texts").alias("m"), F.max("key").alias("key"), F.sum("n_tokens").alias("t"), F.sum("n_known").alias("k"),
-                                      F.sum("base").alias("b"), F.sum("score").alias("s"))
-    each = summed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    m = F.col("m")
-    return each.select(F.col("key").alias(key), (F.col("t") / m).cast("bigint").alias("n_tokens"), (F.col("k") / m).cast("bigint").alias("n_known"),
-                       (F.col("b") / m).alias("base_score"), (F.col("s") / m).alias("score"))
+    return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(meet, got).groupBy("chunk").applyInArrow(add_up, out)
 
 
 def _home(buckets: int):
