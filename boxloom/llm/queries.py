@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import ann, decontam, katz, langid, pieces, sharding, simhash, tokens, warc
+from boxloom.llm import ann, decontam, html, katz, langid, pieces, sharding, simhash, tokens, warc
 from boxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+@query("op3_template_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_texts(table(spark, folder, "pages"))
+
+
 @query("op4_minimax_shards")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.byte_shards(table(spark, folder, "documents"))
