@@ -112,32 +112,49 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
 
 class UnitIds:
-    """Token ids of text units, each distinct unit encoded once per task and kept while there is room.
+    """Token ids of text units, each distinct unit encoded once while it is remembered.
 
-    `encode` gets a list of new distinct units and returns one list of ids for each. At most
-    `limit` units are kept; beyond that the store starts anew, so memory stays bounded.
+    `encode` gets a list of new distinct units and returns one list of ids for each. Units are kept
+    in two generations of at most about `limit` units: when the young one is full it becomes the old
+    one, and units of the old one that are met again move to the young one without being encoded.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 500_000):
         self.encode, self.limit = encode, limit
-        self.place: dict = {}
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
+        self.young, self.old = _Generation(), _Generation()
 
     def ids(self, docs: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents in a row, ids per document)."""
-        place = self.place
-        new = [u for u in set().union(*docs) if u not in place]
-        if len(place) + len(new) > self.limit and place:
-            self.__init__(self.encode, self.limit)
-            place, new = self.place, list(set().union(*docs))
-        for unit, ids in zip(new, self.encode(new) if new else []):
-            place[unit] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.sizes.append(len(ids))
-            self.flat.extend(ids)
+        if len(self.young.place) > self.limit:
+            self.young, self.old = _Generation(), self.young
+        place, old = self.young.place, self.old.place
+        missing = [u for u in set().union(*docs) if u not in place]
+        known = [u for u in missing if u in old]
+        for unit in known:
+            self.young.add(unit, self.old.ids(unit))
+        new = [u for u in missing if u not in old] if known else missing
+        if new:
+            for unit, ids in zip(new, self.encode(new)):
+                self.young.add(unit, ids)
         at = np.fromiter((place[u] for units in docs for u in units), np.int64, sum(map(len, docs)))
-        sizes = np.array(self.sizes, np.int64)[at]
-        ids = np.array(self.flat, np.int32)[spread(sizes, np.array(self.starts, np.int64)[at])]
+        sizes = np.array(self.young.sizes, np.int64)[at]
+        ids = np.array(self.young.flat, np.int32)[spread(sizes, np.array(self.young.starts, np.int64)[at])]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.cumsum([len(units) for units in docs])
         return ids, np.diff(np.concatenate([[0], upto[ends]]))
+
+
+class _Generation:
+    def __init__(self):
+        self.place: dict = {}
+        self.starts, self.sizes, self.flat = array("i"), array("i"), array("i")
+
+    def add(self, unit, ids) -> None:
+        self.place[unit] = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+
+    def ids(self, unit) -> array:
+        at = self.place[unit]
+        return self.flat[self.starts[at]:self.starts[at] + self.sizes[at]]
