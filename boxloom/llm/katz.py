@@ -41,7 +41,7 @@ from boxloom.llm.common import arrow, spread, stored
 VOCABULARY = 1 << 18
 KNOWN_TO = 5  # counts up to this one are discounted
 BUCKET_TOKENS = 4_000_000
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_500_000
 HEAVY_PAIRS = 4096
 END = b"\n"  # no word holds it
 
