@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -114,12 +115,13 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 class UnitIds:
     """Token ids of text units, each distinct unit encoded once while it is remembered.
 
-    `encode` gets a list of new distinct units and returns one list of ids for each. Units are kept
-    in two generations of at most about `limit` units: when the young one is full it becomes the old
-    one, and units of the old one that are met again move to the young one without being encoded.
+    `encode` gets a list of new distinct units and returns all their ids in a row and the number of
+    ids of each. Units are kept in two generations of at most about `limit` units: when the young one
+    is full it becomes the old one, and units of the old one that are met again move to the young one
+    without being encoded.
     """
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, encode, limit: int = 700_000):
         self.encode, self.limit = encode, limit
         self.young, self.old = _Generation(), _Generation()
 
@@ -127,18 +129,20 @@ class UnitIds:
         """(ids of all documents in a row, ids per document)."""
         if len(self.young.place) > self.limit:
             self.young, self.old = _Generation(), self.young
-        place, old = self.young.place, self.old.place
-        missing = [u for u in set().union(*docs) if u not in place]
-        known = [u for u in missing if u in old]
-        for unit in known:
-            self.young.add(unit, self.old.ids(unit))
-        new = [u for u in missing if u not in old] if known else missing
-        if new:
-            for unit, ids in zip(new, self.encode(new)):
-                self.young.add(unit, ids)
-        at = np.fromiter((place[u] for units in docs for u in units), np.int64, sum(map(len, docs)))
-        sizes = np.array(self.young.sizes, np.int64)[at]
-        ids = np.array(self.young.flat, np.int32)[spread(sizes, np.array(self.young.starts, np.int64)[at])]
+        place = self.young.place
+        flat = list(chain.from_iterable(docs))
+        at = np.fromiter(map(place.get, flat, repeat(-1)), np.int64, len(flat))
+        absent = np.flatnonzero(at < 0)
+        if len(absent):
+            missing = list(dict.fromkeys([flat[i] for i in absent]))
+            known = [u for u in missing if u in self.old.place]
+            if known:
+                self.young.add(known, *self.old.ids([self.old.place[u] for u in known]))
+                missing = [u for u in missing if u not in self.old.place]
+            if missing:
+                self.young.add(missing, *self.encode(missing))
+            at[absent] = np.fromiter((place[flat[i]] for i in absent), np.int64, len(absent))
+        ids, sizes = self.young.ids(at)
         upto = np.concatenate([[0], np.cumsum(sizes)])
         ends = np.cumsum([len(units) for units in docs])
         return ids, np.diff(np.concatenate([[0], upto[ends]]))
@@ -147,14 +151,18 @@ class UnitIds:
 class _Generation:
     def __init__(self):
         self.place: dict = {}
-        self.starts, self.sizes, self.flat = array("i"), array("i"), array("i")
-
-    def add(self, unit, ids) -> None:
-        self.place[unit] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.extend(ids)
-
-    def ids(self, unit) -> array:
-        at = self.place[unit]
-        return self.flat[self.starts[at]:self.starts[at] + self.sizes[at]]
+        self.starts, self.sizes, self.flat = array("q"), array("i"), array("i")
+
+    def add(self, units: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.starts)
+        self.place.update(zip(units, range(first, first + len(units))))
+        sizes = np.asarray(sizes, np.int32)
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes).tobytes())
+        self.sizes.frombytes(sizes.tobytes())
+        self.flat.frombytes(np.asarray(ids, np.int32).tobytes())
+
+    def ids(self, at) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.frombuffer(self.sizes, np.int32)[at].astype(np.int64) if len(self.sizes) else np.zeros(0, np.int64)
+        starts = np.frombuffer(self.starts, np.int64)[at] if len(self.starts) else sizes
+        flat = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
+        return flat[spread(sizes, starts)], sizes

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with one forward pass over a trie of marked words.
 
 A text is marked (spaces become U+2581, one is put in front) and cut into units: a run of marks
-with the word behind it, or a character that no longer piece holds. No piece crosses the end of
-a unit, so units are encoded on their own. The distinct units of a block of documents are sorted
+with the word behind it, and before signs that no piece joins to what stands before. No piece
+crosses the end of a unit, so units are encoded on their own. The distinct units of a block of documents are sorted
 and walked depth-first as a trie: forward values of a common prefix are computed once and reused
 by every unit below it.
 
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from boxloom.llm.common import UnitIds, arrow, text_chunks
 
 MARK = "▁"
+_LETTERS = "a-zA-ZÀ-ÖØ-öø-ʯ"  # of the scripts whose words carry signs at their end
+_LETTER = re.compile(f"[{_LETTERS}]")
 UNKNOWN_PENALTY = 10.0  # a character without a piece scores this much less than the worst piece
 
 
@@ -56,7 +58,11 @@ class Vocabulary:
         self.bytes_of = [table.get(i, b"") for i in range(max([self.unknown, *table], default=0) + 1)]
         if not self.byte_ids:
             self.bytes_of[self.unknown] = " ⁇ ".encode()
-        self.cut = re.compile(f"{MARK}+[^{MARK}\\n]*|[^{MARK}\\n]+|\\n" if "\n" not in self.joined else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        # signs that no piece holds right behind a letter: a unit ends between the two
+        joined = {b for p in self.ids for a, b in zip(p, p[1:]) if _LETTER.match(a)}
+        s = re.escape("".join(sorted({c for c in self.joined | set(".,;:!?\n") if not c.isalnum() and c != MARK} - joined)))
+        a = _LETTERS
+        self.cut = re.compile(f"{MARK}*[^{MARK}{a}]*(?:[{a}]+(?:[^{MARK}{a}{s}][^{MARK}{a}]*)?)*")
 
     # merging
 
@@ -136,9 +142,21 @@ class Vocabulary:
             out[unit] = path[::-1]
         return out
 
-    def encode_units(self, units: list[str]) -> list[list[int]]:
-        found = self.segment(units)
-        return [[i for p in found[u] for i in self._piece_ids(p)] for u in units]
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in a row, and the number of ids of each."""
+        found, get = self.segment(units), self.ids.get
+        out: list[int] = []
+        sizes: list[int] = []
+        for unit in units:
+            before = len(out)
+            for piece in found[unit]:
+                known = get(piece)
+                if known is None:
+                    out += self._piece_ids(piece)
+                else:
+                    out.append(known)
+            sizes.append(len(out) - before)
+        return np.array(out, np.int32), np.array(sizes, np.int32)
 
     def _piece_ids(self, piece: str) -> list[int]:
         known = self.ids.get(piece)
@@ -152,7 +170,8 @@ class Vocabulary:
         """Units of a text; joined they are the marked text."""
         if not text:
             return []
-        return self.cut.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+        found = self.cut.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+        return found[:-1] if not found[-1] else found
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of a row of ids. A literal U+2581 in the text comes back as a space."""

@@ -106,6 +106,9 @@ _OPEN: dict[str, UnitIds] = {}
 def _encoder(path: str) -> UnitIds:
     """Ids of words between ASCII white space. The pattern of the tokenizer ends every token at
     white space and its normaliser works inside words, so whole texts give the same ids.
+
+    New words are encoded in one text, with a sign between them that none of them holds and that is
+    one token; where there is no such sign, the offset of a token tells its word.
     """
     if path not in _OPEN:
         import os
@@ -114,10 +117,21 @@ def _encoder(path: str) -> UnitIds:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        marks = {c: e.ids[0] for c in "|^~`\\{}_<>=+*&%#@$" if len((e := tokenizer.encode(c, add_special_tokens=False)).ids) == 1}
 
-        def encode(words: list[bytes]) -> list[list[int]]:
+        def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             texts = [w.decode("utf-8", "replace") for w in words]
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            joined = "".join(texts)
+            for sign, mark in marks.items():
+                if sign not in joined:
+                    ids = np.array(tokenizer.encode_batch_fast([f" {sign} ".join(texts)], add_special_tokens=False)[0].ids, np.int32)
+                    ends = np.flatnonzero(ids == mark)
+                    if len(ends) == len(words) - 1:
+                        return np.delete(ids, ends), np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+            found = tokenizer.encode("\n".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            word = np.searchsorted(starts, [o[0] for o in found.offsets], "right") - 1
+            return np.array(found.ids, np.int32), np.bincount(word, minlength=len(words))
 
         _OPEN[path] = UnitIds(encode)
     return _OPEN[path]
@@ -188,8 +202,9 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
             for row in range(len(batch)):
                 segment = Segment(batch.column(3)[row].as_py())
                 sizes = np.diff(segment.firsts)
-                crcs = [zlib.crc32(segment.document(d).astype("<u4").tobytes()) for d in range(len(sizes))]
                 n = len(sizes)
+                ids = segment.at(np.arange(segment.size)).astype("<u4")
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(segment.firsts[:-1], segment.firsts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(0)[row].as_py()] * n, pa.int32()), pa.array([batch.column(1)[row].as_py()] * n, pa.int32()),
                      batch.column(2)[row].values, pa.array(segment.firsts[:-1]), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())],
