@@ -96,6 +96,20 @@ class Segment:
                 break
         return out
 
+    def all(self) -> np.ndarray:
+        """Every id in order, level by level."""
+        out = np.zeros(self.size, np.uint32)
+        where: np.ndarray | None = None
+        for level, (chunks, bitmap, _) in enumerate(self.levels):
+            part = chunks.astype(np.uint32) << np.uint32(8 * level)
+            if where is None:
+                out, where = part, np.arange(self.size)
+            else:
+                out[where] |= part
+            more = np.unpackbits(bitmap.view(np.uint8), count=len(chunks), bitorder="little").view(bool)
+            where = where[more]
+        return out
+
     def document(self, number: int) -> np.ndarray:
         return self.at(np.arange(self.firsts[number], self.firsts[number + 1]))
 
@@ -137,6 +151,16 @@ def _encoder(path: str) -> UnitIds:
     return _OPEN[path]
 
 
+def _words(text: str) -> list[bytes]:
+    """Words between ASCII white space. A-Z become lower case, as the tokenizer makes them, unless a
+    combining mark (U+0300 to U+036F) could join a letter, or a special token could be spelt out.
+    """
+    data = text.encode("utf-8", "surrogatepass")
+    if b"\xcc" not in data and b"\xcd" not in data and b"<|" not in data:
+        data = data.lower()
+    return data.split()
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text",
                  segment_ids: int = SEGMENT_IDS, partitions: int | None = None) -> None:
     """Write the ids of every whole text, each followed by `end_id`, in ascending order of the key.
@@ -165,7 +189,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, key: s
                  pa.array([keys], pa.list_(key_type)), pa.array([content], pa.binary())], ["part", "segment", "n_ids", "keys", "content"])
 
         for names, texts in text_chunks(batches):
-            ids, sizes = store.ids([t.encode("utf-8", "surrogatepass").split() for t in texts])
+            ids, sizes = store.ids([_words(t) for t in texts])
             ends = np.cumsum(sizes)
             held_ids.append(np.insert(ids, ends, end_id))
             held_sizes.append(sizes + 1)
@@ -203,7 +227,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
                 segment = Segment(batch.column(3)[row].as_py())
                 sizes = np.diff(segment.firsts)
                 n = len(sizes)
-                ids = segment.at(np.arange(segment.size)).astype("<u4")
+                ids = segment.all().astype("<u4", copy=False)
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(segment.firsts[:-1], segment.firsts[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([batch.column(0)[row].as_py()] * n, pa.int32()), pa.array([batch.column(1)[row].as_py()] * n, pa.int32()),
