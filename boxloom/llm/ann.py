@@ -165,7 +165,7 @@ def _exhaustive(queries: DataFrame, rows: DataFrame, k: int, block: int) -> Data
     blocks = max(1, -(-int(asked) // block))
     pieces = max(1, -(-int(rows.count()) // PIECE))
     q = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("p"))
-    r = rows.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("b"), F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int").alias("p"))
+    r = rows.select("id", "vec", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("b"), F.pmod(F.xxhash64("id"), F.lit(pieces)).cast("int").alias("p"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}

@@ -6,7 +6,8 @@
 d is the Good-Turing discount of counts up to 5 (1 above), P(w) the additive base distribution
 (c(w) + 1/2) / (N + (V + 1) / 2), where all unknown words are one more word. alpha(h) is what the
 discounts leave, over the base probability of the words not seen after h, so every P(. | h) sums
-to one. A history whose counts are not discounted counts one event more.
+to one. A history whose counts are not discounted counts one event more; one that every class
+follows is not backed off, and its discounted counts are divided by their own sum.
 
 Histories and words are the most frequent training words, at most `vocabulary` of them (the words
 of the lowest count that no longer fits are left out together). Every other word is of one class,
@@ -277,8 +278,9 @@ class Model:
     def log_probability(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
         history, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         d = np.where(counts > KNOWN_TO, 1.0, self.discount[np.minimum(counts, KNOWN_TO)])
-        seen = d * counts / np.maximum(self.total[history], 1)
-        return np.log10(np.where(counts > 0, seen, self.alpha[history] * self.words.base[word]))
+        seen = d * counts / np.where(self.total[history] > 0, self.total[history], 1)
+        with np.errstate(divide="ignore"):
+            return np.log10(np.where(counts > 0, seen, self.alpha[history] * self.words.base[word]))
 
 
 def finish(words: Words, pairs: DataFrame) -> Model:
@@ -291,7 +293,9 @@ def finish(words: Words, pairs: DataFrame) -> Model:
     total, alpha = np.zeros(size), np.ones(size)
     h, t, k, s = (rows[c].to_numpy() for c in ("history", "total", "kept", "seen"))
     grown = np.where(t - k < 1e-9 * t, t + 1.0, t)
-    total[h], alpha[h] = grown, (1 - k / grown) / np.maximum(1 - s, 0.5 / words.scale)
+    every = 1 - s < 1e-12  # no class is left to back off to: what is seen shares all
+    grown = np.where(every, k, grown)
+    total[h], alpha[h] = grown, np.where(every, 0, (1 - k / grown) / np.maximum(1 - s, 1e-12))
     often = max(1, words.total // HEAVY_PAIRS)
     top = pairs.where(F.col("total") > often).select("history", F.explode(F.arrays_zip("words", "counts")).alias("p")).where(F.col("p.counts") > often)
     top = top.select("history", "p.words", "p.counts").toArrow()

@@ -135,20 +135,21 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit([np.frombuffer(c, "<i4") for _, _, c in got], [x for _, x, _ in got], landmarks) if got else None
 
 
-def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """(key, lang_pred, score 0 to 1) of every row, or with `keep` all columns of the row and these.
+def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: bool = False,
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(key, lang_pred, score 0 to 1) of every row, or with `keep` all columns of the row and these two.
 
     Texts that are null or have no letter get `und` and score 0; so does every text if there was
-    nothing to learn from. Equal scores go to the first language by name. With `keep`, columns of
-    the same names are replaced.
+    nothing to learn from. Equal scores go to the first language by name. `names` are the names of
+    the two result columns; columns of `docs` that have them are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.drop("lang_pred", "score").select("*") if keep else docs.select(key, text)
+    rows = docs.drop(*names) if keep else docs.select(key, text)
     if keep and text not in rows.columns:
         raise ValueError(f"{text} cannot be one of the result columns")
-    place, names = rows.columns.index(text), rows.columns
-    carried = [i for i in range(len(names)) if keep or i != place]
-    schema = T.StructType([*[rows.schema.fields[i] for i in carried], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    place = rows.columns.index(text)
+    carried = [i for i in range(len(rows.columns)) if keep or i != place]
+    schema = T.StructType([*[rows.schema.fields[i] for i in carried], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -96,7 +96,7 @@ class Vocabulary:
         """Whether two neighbouring pieces stay as they are when their text is merged alone."""
         known = self._apart.get((left, right))
         if known is None:
-            if len(self._apart) > 500_000:
+            if len(self._apart) > 250_000:
                 self._apart.clear()
             known = self._apart[left, right] = self.merge(left + right) == ([left, right] if left else [right])
         return known
@@ -200,7 +200,7 @@ def load(path: str, kind: str = "bpe") -> Vocabulary:
 def _opened(path: str) -> tuple[Vocabulary, UnitIds]:
     if path not in _OPEN:
         vocabulary = load(path)
-        _OPEN[path] = (vocabulary, UnitIds(vocabulary.encode_units))
+        _OPEN[path] = (vocabulary, UnitIds(vocabulary.encode_units, 350_000))
     return _OPEN[path]
 
 
