@@ -16,8 +16,8 @@ from boxloom.llm.queries import tokenizer_path
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a known language. Texts that are null or have no letter go."""
-    found = langid.identify(docs, langid.train(docs), keep=True)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    found = langid.identify(docs, langid.train(docs), keep=True, names=("__lang", "__score"))
+    return found.where(F.col("__lang") != "und").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
