@@ -77,9 +77,9 @@ def first_error(errors: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
     return errors.groupBy(*keys).agg(F.min_by("code", place).alias("code"), F.count(F.lit(1)).alias("errors"))
 
 
-def first_valid_attempt(attempts: DataFrame, errors: DataFrame, keys: Sequence[str], most: int = 3) -> DataFrame:
+def first_valid_attempt(attempts: DataFrame, errors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per page the first attempt without an error, with the error of the attempt before it."""
-    tried = attempts.where(F.col("attempt") <= most).select(*keys, "attempt").distinct()
+    tried = attempts.select(*keys, "attempt").distinct()
     verdict = tried.join(first_error(errors, [*keys, "attempt"]), [*keys, "attempt"], "left")
     ok = F.when(F.col("code").isNull(), F.col("attempt"))
     chosen = verdict.groupBy(*keys).agg(F.min(ok).alias("attempt"), F.max("attempt").alias("last"))

@@ -214,7 +214,7 @@ def _fold(members: DataFrame, comp: list[str]) -> DataFrame:
             .select(*PAGE, "s.slot", F.col("s.holder").alias("kept")))
 
 
-def _rounds(rows: DataFrame, near: DataFrame, max_rounds: int) -> DataFrame:
+def _rounds(rows: DataFrame, near: DataFrame) -> DataFrame:
     """The same walk for components of any size, one change of state per component and round.
 
     A box that joins a slot without replacing its holder changes nothing, so each round looks
@@ -227,7 +227,7 @@ def _rounds(rows: DataFrame, near: DataFrame, max_rounds: int) -> DataFrame:
     done = rows.select(*comp).distinct().withColumn("upto", F.lit(-1).cast("bigint"))
     classes = rows.select(*comp, "cls").distinct()
     reach = materialise(classes.withColumn("other", F.col("cls")).unionByName(near.select(*comp, "cls", "other")))
-    for _ in range(max_rounds):
+    while True:
         old = holders.select(*comp, "slot", F.col("cls").alias("other"), F.col("score").alias("o_score"),
                              F.col("edge").alias("o_edge"), F.col("size").alias("o_size"))
         first = reach.join(old, [*comp, "other"]).groupBy(*comp, "cls").agg(
@@ -244,11 +244,10 @@ def _rounds(rows: DataFrame, near: DataFrame, max_rounds: int) -> DataFrame:
         stay = holders.join(event.select(*comp, "slot"), [*comp, "slot"], "left_anti")
         holders = materialise(stay.unionByName(event.select(*holders.columns)))
         done = materialise(event.select(*comp, F.col("holder").alias("upto")))
-    raise RuntimeError("duplicates did not settle")
 
 
 def dedupe_detections(boxes: DataFrame, iou: float = 0.55, containment: float = 0.88,
-                      fold_rows: int = FOLD_ROWS, max_rounds: int = 100_000) -> DataFrame:
+                      fold_rows: int = FOLD_ROWS) -> DataFrame:
     """Drop duplicate boxes, keeping the better record in the place of the first.
 
     Boxes with equal region and text form one class; pairs and components are found between
@@ -282,7 +281,7 @@ def dedupe_detections(boxes: DataFrame, iou: float = 0.55, containment: float =
                    .withColumn("near", F.coalesce("near", F.array().cast("array<bigint>"))), comp)
     if has_large:
         folded = folded.unionByName(_rounds(materialise(members.join(large, comp, "left_semi")),
-                                            near.join(large, comp, "left_semi"), max_rounds))
+                                            near.join(large, comp, "left_semi")))
     in_component = members.select(*PAGE, "boxno", F.lit(True).alias("__member"))
     alone = boxes.join(in_component, [*PAGE, "boxno"], "left_anti").withColumn("__slot", F.col("boxno"))
     kept = boxes.join(folded.select(*PAGE, F.col("kept").alias("boxno"), F.col("slot").alias("__slot")), [*PAGE, "boxno"])

@@ -36,10 +36,10 @@ def _fold_labels(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
             .select(*keys, F.col("z.node").alias("node"), F.col("z.label").alias("label")))
 
 
-def _star_labels(pairs: DataFrame, keys: Sequence[str], max_rounds: int) -> DataFrame:
+def _star_labels(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     edges = materialise(pairs.select(*keys, "u", "v").where("u <> v").distinct())
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.join(low, [*keys, "u"]).where("v > u")
@@ -54,14 +54,12 @@ def _star_labels(pairs: DataFrame, keys: Sequence[str], max_rounds: int) -> Data
         edges = after
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(*keys, F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return edges.select(*keys, F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
 def component_labels(pairs: DataFrame, keys: Sequence[str], fold_edges: int = FOLD_EDGES,
-                     max_rounds: int = 200, stored: bool = False) -> DataFrame:
+                     stored: bool = False) -> DataFrame:
     """(keys, node, label): smallest node of the component, for every node in a pair.
 
     `pairs` has the keys and node columns `u`, `v` (u <> v). Nodes without a pair are absent.
@@ -76,4 +74,4 @@ def component_labels(pairs: DataFrame, keys: Sequence[str], fold_edges: int = FO
     large = materialise(large)
     regular = pairs.join(large, list(keys), "left_anti")
     hot = pairs.join(large, list(keys), "left_semi")
-    return _fold_labels(regular, keys).unionByName(_star_labels(hot, keys, max_rounds))
+    return _fold_labels(regular, keys).unionByName(_star_labels(hot, keys))

@@ -207,12 +207,12 @@ def group_detections(boxes: DataFrame, page_width: Column, page_height: Column,
     return page_order(groups, right_to_left)
 
 
-def bbox_closure(boxes: DataFrame, keys: Sequence[str] = PAGE, max_rounds: int = 100) -> DataFrame:
-    """Merge touching boxes into their bounding boxes until no two touch."""
+def bbox_closure(boxes: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
+    """Merge touching boxes into their bounding boxes until no two touch. Every round leaves fewer boxes."""
     current = materialise(boxes.where((F.col("r") > F.col("l")) & (F.col("b") > F.col("t")))
                           .select(*keys, *SIDES).distinct())
     a, b = geo.region("a"), geo.region("b")
-    for _ in range(max_rounds):
+    while True:
         # a region is its own name: distinct rows, so the four sides identify it on a page
         named = current.withColumn("node", F.struct(*SIDES))
         match = (F.col("a.node") < F.col("b.node")) & geo.touches(a, b)
@@ -228,7 +228,6 @@ def bbox_closure(boxes: DataFrame, keys: Sequence[str] = PAGE, max_rounds: int =
             .groupBy(*keys, "label")
             .agg(F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
             .drop("label").distinct())
-    raise RuntimeError("boxes did not settle")
 
 
 def rebuild_groups(groups: DataFrame, detections: DataFrame) -> DataFrame:

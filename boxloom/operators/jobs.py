@@ -69,10 +69,10 @@ def page_selection(requests: DataFrame, most: int = MOST_PAGES) -> tuple[DataFra
     return pages.join(many.select("request_id"), "request_id", "left_anti"), wrong.unionByName(empty).unionByName(many)
 
 
-def missing_artifacts(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Pages without a row of an artifact that every page must have (`artifacts`: book_id, page, artifact)."""
-    kinds = artifacts.select("book_id", "artifact").distinct()
-    return pages.select(*PAGE).distinct().join(kinds, "book_id").join(artifacts.select(*PAGE, "artifact").distinct(), [*PAGE, "artifact"], "left_anti")
+def missing_artifacts(pages: DataFrame, artifacts: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Pages without a row of one of the `kinds` of artifact that every page must have (`artifacts`: book_id, page, artifact)."""
+    wanted = F.explode(F.array(*[F.lit(k) for k in kinds])).alias("artifact")
+    return pages.select(*PAGE).distinct().select(*PAGE, wanted).join(artifacts.select(*PAGE, "artifact").distinct(), [*PAGE, "artifact"], "left_anti")
 
 
 def resume_page(requests: DataFrame, pages: DataFrame, done: DataFrame) -> DataFrame:
@@ -206,7 +206,9 @@ def status_counts(jobs: DataFrame) -> DataFrame:
 
 
 def newest_first(jobs: DataFrame) -> DataFrame:
-    return jobs.orderBy(F.col("created").desc_nulls_last(), F.col("job_id"))
+    """Jobs with their place in the category, the newest first; days are numbered apart and carried on."""
+    return split_row_number(jobs, ["category"], [F.col("created").desc_nulls_last(), F.col("job_id")],
+                            -F.coalesce(F.unix_date(F.col("created").cast("date")), F.lit(-(1 << 30))), "place", start=1)
 
 
 # reports ---------------------------------------------------------------------------------
@@ -262,7 +264,7 @@ def job_times(jobs: DataFrame, now: Column) -> DataFrame:
 
 def log_lines(logs: DataFrame) -> DataFrame:
     """Trimmed non-empty lines without live progress. `logs`: job_id, body (text of any size)."""
-    rows = logs.select(*JOB, F.posexplode(F.split("body", r"[\r\n]")).alias("seq", "line")).withColumn("line", tx.strip(F.col("line")))
+    rows = logs.select(*JOB, F.posexplode(tx.lines(F.col("body"))).alias("seq", "line")).withColumn("line", tx.strip(F.col("line")))
     return rows.where((F.col("line") != "") & ~F.rlike("line", F.lit(tx.LIVE_PROGRESS)))
 
 
@@ -313,10 +315,13 @@ def failure_limiter(attempts: DataFrame, limit: int = 5, window_seconds: int = 6
     rows = attempts.withColumn("us", F.unix_micros(F.col("at").cast("timestamp"))).withColumn("part", F.floor(F.col("us") / span))
     cleared = split_running(rows, ("client",), [F.col("us"), F.col("seq")], F.date_trunc("day", F.col("at")), sums={"cleared": F.col("ok").cast("bigint")})
     halo = cleared.withColumn("p", F.explode(F.array(F.col("part"), F.col("part") + 1)))
-    recent = Window.partitionBy("client", "cleared", "p").orderBy("us").rangeBetween(-(span - 1), 0)
     failed = ~F.col("ok")
-    counted = (halo.withColumn("failures", F.count_if(failed).over(recent)).withColumn("oldest", F.min(F.when(failed, F.col("us"))).over(recent))
-               .where("p = part"))
+    # attempts of the same time count in the order of seq: the later ones of the range are taken off again
+    part = Window.partitionBy("client", "cleared", "p")
+    recent, same = part.orderBy("us").rangeBetween(-(span - 1), 0), Window.partitionBy("client", "cleared", "p", "us")
+    after = F.count_if(failed).over(same) - F.count_if(failed).over(same.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    counted = (halo.withColumn("failures", F.count_if(failed).over(recent) - after)
+               .withColumn("oldest", F.when(F.col("failures") > 0, F.min(F.when(failed, F.col("us"))).over(recent))).where("p = part"))
     wait = F.greatest(F.lit(1).cast("bigint"), F.bround(F.lit(float(window_seconds)) - (F.col("us") - F.col("oldest")) / 1e6, 0).cast("bigint"))
     return counted.select("client", "seq", F.col("failures"), F.when(F.col("failures") >= limit, wait).otherwise(F.lit(0)).alias("retry_after"))
 

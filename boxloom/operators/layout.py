@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxloom.functions import answer_json as aj
 from boxloom.functions import geometry as geo
@@ -156,13 +157,13 @@ def _cut_fold(part: DataFrame, pairs: DataFrame, comp: list[str]) -> DataFrame:
             .select(*PAGE, "e.boxno", *[F.col(f"e.{n}").alias(n) for n in PLACED], "e.adjusted"))
 
 
-def _cut_rounds(regions: DataFrame, pairs: DataFrame, max_rounds: int) -> DataFrame:
+def _cut_rounds(regions: DataFrame, pairs: DataFrame) -> DataFrame:
     """The same cuts for components of any size: a round applies every pair that is the first
     open one of both its boxes, and drops pairs that no longer overlap (cuts only shrink)."""
     regions = materialise(regions.select(*PAGE, "boxno", *PLACED).withColumn("adjusted", F.lit(False)))
     pairs = materialise(pairs)
     rank = F.struct("u", "v")
-    for _ in range(max_rounds):
+    while True:
         here = regions.select(*PAGE, "boxno", F.struct(*PLACED).alias("g"))
         live = (pairs.join(here.select(*PAGE, F.col("boxno").alias("u"), F.col("g").alias("ga")), [*PAGE, "u"])
                 .join(here.select(*PAGE, F.col("boxno").alias("v"), F.col("g").alias("gb")), [*PAGE, "v"]))
@@ -189,10 +190,9 @@ def _cut_rounds(regions: DataFrame, pairs: DataFrame, max_rounds: int) -> DataFr
             F.when(F.col("lead") & up, F.least("pb", "cut")).otherwise(F.col("pb")).alias("pb"),
             (F.col("adjusted") | F.col("cut").isNotNull()).alias("adjusted")))
         pairs = live.join(ready.select(*PAGE, "u", "v"), [*PAGE, "u", "v"], "left_anti")
-    raise RuntimeError("overlaps did not settle")
 
 
-def resolve_overlaps(placements: DataFrame, fold_pairs: int = FOLD_PAIRS, max_rounds: int = 100_000) -> DataFrame:
+def resolve_overlaps(placements: DataFrame, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
     """Split overlapping placements between separate source boxes, in pair order."""
     pairs = materialise(overlap_pairs(placements))
     labels = materialise(component_labels(pairs.select(*PAGE, "u", "v"), PAGE, stored=True))
@@ -209,7 +209,7 @@ def resolve_overlaps(placements: DataFrame, fold_pairs: int = FOLD_PAIRS, max_ro
     moved = _cut_fold(small_part, small_pairs, comp)
     if has_large:
         moved = moved.unionByName(_cut_rounds(part.join(large, comp, "left_semi"),
-                                              keyed.join(large, comp, "left_semi").drop("label"), max_rounds))
+                                              keyed.join(large, comp, "left_semi").drop("label")))
     fresh = moved.select(*PAGE, "boxno", *[F.col(n).alias(f"n_{n}") for n in PLACED], "adjusted")
     return placements.join(fresh, [*PAGE, "boxno"], "left").select(
         *[c for c in placements.columns if c not in PLACED],
@@ -376,18 +376,28 @@ def rank_percentile(values: DataFrame, keys: Sequence[str], value: str, ratio: f
     return ranked.where(F.col("upto") > target).groupBy(*keys).agg(F.min(value).alias(name))
 
 
+def _size(levels: str) -> Column:
+    return F.aggregate(levels, F.lit(0).cast("bigint"), lambda n, x: n + x["__c"])
+
+
+def _level(levels: str, ratio: float, kind: T.DataType) -> Column:
+    """The value at a rank of sorted (value, count) levels: the last one that starts at or before it."""
+    target = F.bround((_size(levels) - 1) * F.lit(ratio), 0)
+    walked = F.aggregate(levels, F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast(kind).alias("at")), lambda done, x: F.struct(
+        (done["upto"] + x["__c"]).alias("upto"), F.when(done["upto"] <= target, x["__v"]).otherwise(done["at"]).alias("at")))
+    return walked["at"]
+
+
 def tone(samples: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Dominant brightness of each group of 0..255 samples: (keys.., dominant, median)."""
     v = F.col(value)
-    shares = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(v >= 180).alias("bright"),
-                                        F.count_if(v <= 90).alias("dark"))
-    bright = rank_percentile(samples.where(v >= 180), keys, value, 0.70, "p_bright")
-    dark = rank_percentile(samples.where(v <= 90), keys, value, 0.30, "p_dark")
-    middle = rank_percentile(samples, keys, value, 0.50, "median")
-    joined = shares.join(bright, list(keys), "left").join(dark, list(keys), "left").join(middle, list(keys))
-    b, d = F.col("bright") / F.col("n"), F.col("dark") / F.col("n")
-    dominant = (F.when((b >= 0.20) & (b >= d * 0.75), F.col("p_bright")).when((d >= 0.20) & (d > b), F.col("p_dark")))
-    return joined.select(*keys, dominant.alias("dominant"), "median")
+    kind = samples.schema[value].dataType
+    counts = samples.where(v.isNotNull()).groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    levels = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__v", "__c"))).alias("all"))  # a level is a row of it
+    parts = levels.withColumns({"bright": F.filter("all", lambda x: x["__v"] >= 180), "dark": F.filter("all", lambda x: x["__v"] <= 90)})
+    b, d = _size("bright") / _size("all"), _size("dark") / _size("all")
+    dominant = (F.when((b >= 0.20) & (b >= d * 0.75), _level("bright", 0.70, kind)).when((d >= 0.20) & (d > b), _level("dark", 0.30, kind)))
+    return parts.select(*keys, dominant.alias("dominant"), _level("all", 0.50, kind).alias("median"))
 
 
 def recommended_fill(samples: DataFrame, keys: Sequence[str], fills: DataFrame, value: str = "value") -> DataFrame:

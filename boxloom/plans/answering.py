@@ -105,18 +105,18 @@ def validate_keys(s):
 
 @query("first_valid_attempt", """
     err AS (SELECT book_id, page, 1 AS attempt FROM boxes WHERE page % 4 <> 0
-            UNION SELECT book_id, page, 2 FROM boxes WHERE page % 8 > 4 UNION SELECT book_id, page, 3 FROM boxes WHERE page % 16 = 7),
+            UNION SELECT book_id, page, 2 FROM boxes WHERE page % 8 > 4 UNION SELECT book_id, page, 3 FROM boxes WHERE page % 16 = 7 UNION SELECT book_id, page, 4 FROM boxes WHERE page % 32 = 7),
     tried AS (SELECT DISTINCT book_id, page, cast(i AS integer) AS attempt FROM boxes, (VALUES (1), (2), (3), (4)) n(i)),
-    ok AS (SELECT book_id, page, min(attempt) AS attempt FROM tried t WHERE attempt <= 3 AND NOT EXISTS
+    ok AS (SELECT book_id, page, min(attempt) AS attempt FROM tried t WHERE NOT EXISTS
              (SELECT 1 FROM err e WHERE e.book_id = t.book_id AND e.page = t.page AND e.attempt = t.attempt) GROUP BY ALL)
     SELECT p.book_id, p.page, ok.attempt, ok.attempt IS NULL AS failed,
-      CASE WHEN coalesce(ok.attempt, 4) > 1 THEN concat('missing ', coalesce(ok.attempt, 4) - 1) END AS previous_error
+      CASE WHEN coalesce(ok.attempt, 5) > 1 THEN concat('missing ', coalesce(ok.attempt, 5) - 1) END AS previous_error
     FROM (SELECT DISTINCT book_id, page FROM boxes) p LEFT JOIN ok USING (book_id, page)""", ("boxes",))
 def first_valid_attempt(s):
     pages = s.boxes.select(*PAGE).distinct()
     tried = pages.select(*PAGE, F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])).alias("attempt"))
     p, a = F.col("page"), F.col("attempt")
-    failing = ((a == 1) & (p % 4 != 0)) | ((a == 2) & (p % 8 > 4)) | ((a == 3) & (p % 16 == 7))
+    failing = ((a == 1) & (p % 4 != 0)) | ((a == 2) & (p % 8 > 4)) | ((a == 3) & (p % 16 == 7)) | ((a == 4) & (p % 32 == 7))
     errors = tried.where(failing).select(*PAGE, "attempt", F.concat(F.lit("missing "), a).alias("code"),
                                          F.lit(0).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("pos"))
     return ans.first_valid_attempt(tried, errors, PAGE)

@@ -240,11 +240,11 @@ MADE = """
 
 
 @query("missing_artifacts", MADE + """
-    SELECT book_id, page, 'ocr_raw' AS artifact FROM pg WHERE page % 7 = 0 UNION ALL SELECT book_id, page, 'placements' FROM pg WHERE page % 5 = 0""", ("boxes",))
+    SELECT book_id, page, 'ocr_raw' AS artifact FROM pg WHERE page % 7 = 0 OR book_id = 'b3' UNION ALL SELECT book_id, page, 'placements' FROM pg WHERE page % 5 = 0""", ("boxes",))
 def missing_artifacts(s):
     pages = s.boxes.select(*PAGE).distinct()
-    made = pages.where("page % 7 <> 0").withColumn("artifact", F.lit("ocr_raw")).unionByName(pages.where("page % 5 <> 0").withColumn("artifact", F.lit("placements")))
-    return jobs.missing_artifacts(pages, made)
+    made = pages.where("page % 7 <> 0 AND book_id <> 'b3'").withColumn("artifact", F.lit("ocr_raw")).unionByName(pages.where("page % 5 <> 0").withColumn("artifact", F.lit("placements")))
+    return jobs.missing_artifacts(pages, made, ("ocr_raw", "placements"))
 
 
 @query("resume_page", MADE + """,
@@ -365,11 +365,9 @@ def status_counts(s):
     return jobs.status_counts(s.jobs)
 
 
-@query("newest_first", "SELECT job_id, row_number() OVER (PARTITION BY category ORDER BY created DESC, job_id) AS place FROM jobs WHERE category = 'c7'", ("jobs",))
+@query("newest_first", "SELECT job_id, row_number() OVER (PARTITION BY category ORDER BY created DESC, job_id) AS place FROM jobs", ("jobs",))
 def newest_first(s):
-    rows = jobs.job_summary(s.jobs, ["category", "job_id", "created"], category="c7")
-    return split_row_number(rows, ["category"], [F.col("created").desc(), F.col("job_id")],
-                            -F.unix_date(F.col("created").cast("date")), "place", start=1).select("job_id", "place")
+    return jobs.newest_first(s.jobs).select("job_id", "place")
 
 
 @query("title_choice", """
@@ -583,12 +581,12 @@ def time_texts(s):
 
 
 @query("size_texts", """
-    SELECT doc_id, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN concat(cast(n / 1024 AS bigint), '.0 KB') ELSE concat(cast(n / 1048576 AS bigint), '.0 MB') END AS size
-    FROM (SELECT doc_id, n_chars * (CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1048576 END) AS n FROM documents WHERE n_chars < 1000) x""")
+    SELECT doc_id, CASE WHEN n < 1024 THEN concat(n, ' B') WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size
+    FROM (SELECT doc_id, n_chars * (CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1024 ELSE 1048576 END) AS n FROM documents) x""")
 def size_texts(s):
     k = F.col("doc_id") % 3
     n = F.col("n_chars") * F.when(k == 0, 1).when(k == 1, 1024).otherwise(1048576)
-    return s.documents.where("n_chars < 1000").select("doc_id", tx.size_text(n).alias("size"))
+    return s.documents.select("doc_id", tx.size_text(n).alias("size"))
 
 
 @query("marked_notes", """

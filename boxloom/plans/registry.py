@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from boxloom.plans.inputs import INPUTS, TABLES, needed
-from boxloom.session import materialise
 
 
 class Source:
@@ -22,14 +22,15 @@ class Source:
             return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name not in INPUTS:
             raise AttributeError(name)
-        ctes = needed([name])
-        for table in TABLES:
-            if any(table in INPUTS[c] for c in ctes):
-                getattr(self, table).createOrReplaceTempView(table)
-        body = ",\n".join(f"{c} AS ({INPUTS[c]})" for c in ctes)
-        rows = self.spark.sql(f"WITH {body}\nSELECT * FROM {name}")
-        # queries read a derived input several times: number its rows once and write it
-        made = materialise(rows) if name == "boxes" else rows
+        body = ",\n".join(f"{c} AS ({INPUTS[c]})" for c in needed([name]))
+        used: set[str] = set()
+
+        def table(match: re.Match) -> str:
+            used.add(match[2])
+            return f"{match[1]} {{{match[2]}}}"
+
+        body = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b", table, body)
+        made = self.spark.sql(f"WITH {body}\nSELECT * FROM {name}", **{t: getattr(self, t) for t in used})
         self.__dict__[name] = made
         return made
 

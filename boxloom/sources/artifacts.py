@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def artifact_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of per-page JSON arrays with book and page from the file name and their place in the file."""
-    rows = (spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
-            .withColumn("__file", F.col("_metadata.file_path")).drop("page"))
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("__file"))
+    rows = files.select("__file", F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("pos", "item")).select("__file", "pos", "item.*").drop("page")
     return rows.select(F.element_at(F.split("__file", "/"), -3).alias("book_id"),
                        F.regexp_extract("__file", PAGE_NAME, 1).cast("bigint").alias("page"), *[c for c in rows.columns if c != "__file"])
 
@@ -50,8 +51,8 @@ def read_master(spark: SparkSession, path: str, schema: str, allow_missing: bool
     """The master table; a missing path is an empty table only when that is allowed."""
     try:
         return spark.read.schema(f"{schema}, book_id string").json(path)
-    except Exception:
-        if not allow_missing:
+    except AnalysisException as error:
+        if not allow_missing or error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], f"{schema}, book_id string")
 

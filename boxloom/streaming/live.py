@@ -15,7 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from boxloom.operators import jobs, series
 
 LIMIT_OUT = "client bigint, seq bigint, failures bigint, retry_after bigint"
-RUNTIME_OUT = "job_id string, elapsed_micros bigint, running_since timestamp"
+RUNTIME_OUT = "job_id string, elapsed_micros bigint, running_micros bigint"
 
 
 def log_tail(spark: SparkSession, path: str) -> DataFrame:
@@ -76,11 +76,12 @@ def runtime_state(events: DataFrame) -> DataFrame:
                 elapsed, since = elapsed + (max(0, int(us) - since) if since is not None else 0), None
         state.update((elapsed, since))
         yield pd.DataFrame({"job_id": [key[0]], "elapsed_micros": [elapsed],
-                            "running_since": [None if since is None else pd.Timestamp(since, unit="us")]})
+                            "running_micros": pd.array([since], dtype="Int64")})
 
     timed = events.where(F.col("kind").isin("start", "stop")).withColumn("us", F.unix_micros(F.col("at").cast("timestamp")))
-    return timed.groupBy("job_id").applyInPandasWithState(
+    rows = timed.groupBy("job_id").applyInPandasWithState(
         step, RUNTIME_OUT, "elapsed bigint, since bigint", "update", GroupStateTimeout.NoTimeout)
+    return rows.select("job_id", "elapsed_micros", F.timestamp_micros("running_micros").alias("running_since"))
 
 
 def chapter_release(changes: DataFrame, chapters: Callable[[], DataFrame], coverage: Callable[[], DataFrame],

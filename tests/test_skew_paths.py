@@ -66,7 +66,7 @@ def test_dedupe_matches_a_plain_walk(spark, fold_rows):
 
 def test_many_copies_need_few_rounds(spark):
     rows = [("b", 0, n, 0, 0, 50, 50, 0.9 if n == 200 else 0.5, "same", False) for n in range(300)]
-    out = detect.dedupe_detections(spark.createDataFrame(rows, BOX), fold_rows=10, max_rounds=5).collect()
+    out = detect.dedupe_detections(spark.createDataFrame(rows, BOX), fold_rows=10).collect()
     assert [(r.boxno, r.source_boxno) for r in out] == [(0, 200)]
 
 
