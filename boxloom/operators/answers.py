@@ -60,15 +60,21 @@ def validate_keys(expected: DataFrame, items: DataFrame, keys: Sequence[str] = P
     wrong = (F.col("item_page") != F.col("page")) if "item_page" in cols else F.lit(False)
     items = items.withColumn("__bad", F.coalesce(bad, F.when(wrong, F.lit("wrong_page"))))
     own = items.where(F.col("__bad").isNotNull()).select(*keys, *_error(F.col("__bad"), F.col(key), F.col("pos")))
-    good = items.where(F.col("__bad").isNull()).select(*keys, key, "pos")
-    wanted = expected.select(*keys, key).distinct()
-    unknown = good.join(wanted, [*keys, key], "left_anti").select(*keys, *_error("unknown", F.col(key), F.col("pos")))
-    first = good.groupBy(*keys, key).agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = first.where("n > 1").join(wanted, [*keys, key], "left_semi")
-    duplicate = (good.join(repeated, [*keys, key]).where(F.col("pos") > F.col("first"))
-                 .select(*keys, *_error("duplicate", F.col(key), F.col("pos"))))
-    missing = wanted.join(first, [*keys, key], "left_anti").select(*keys, *_error("missing", F.col(key)))
-    return own.unionByName(unknown).unionByName(duplicate).unionByName(missing)
+    good = items.where(F.col("__bad").isNull()).select(*keys, key, F.lit(False).alias("wanted"), F.col("pos").cast("bigint").alias("pos"))
+    wanted = expected.select(*keys, key, F.lit(True).alias("wanted"), F.lit(None).cast("bigint").alias("pos"))
+    # one shuffle for all verdicts; the positions of a key are no more than the items of one answer
+    met = good.unionByName(wanted).groupBy(*keys, key).agg(F.bool_or("wanted").alias("wanted"), F.sort_array(F.collect_list("pos")).alias("at"))
+    at, none = F.col("at"), F.array().cast("array<struct<code:string,pos:bigint>>")
+
+    def each(positions: Column, code: str) -> Column:
+        return F.transform(positions, lambda p: F.struct(F.lit(code).alias("code"), p.alias("pos")))
+
+    missing = F.array(F.struct(F.lit("missing").alias("code"), F.lit(None).cast("bigint").alias("pos")))
+    again = F.filter(at, lambda p: p > F.array_min(at))
+    found = (F.when(F.col(key).isNull(), F.concat(each(at, "unknown"), F.when(F.col("wanted"), missing).otherwise(none)))
+             .when(~F.col("wanted"), each(at, "unknown")).when(F.size(at) == 0, missing).otherwise(each(again, "duplicate")))
+    rest = met.select(*keys, key, F.explode(found).alias("e")).select(*keys, *_error(F.col("e.code"), F.col(key), F.col("e.pos")))
+    return own.unionByName(rest)
 
 
 def first_error(errors: DataFrame, keys: Sequence[str] = PAGE) -> DataFrame:
