@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from boxloom.functions import answer_json as aj
@@ -150,3 +151,33 @@ def test_volume_pages_follow_chapter_order(spark):
 def test_missing_duration_is_blank(spark):
     assert one(spark, tx.duration_text(F.lit(None).cast("double"))) == "" and one(spark, tx.age_text(F.lit(None).cast("double"))) == ""
     assert one(spark, tx.duration_text(F.lit(59.96))) == "60.0s" and one(spark, tx.duration_text(F.lit(3725))) == "1h 2m"
+
+
+def test_a_book_without_any_artifact_is_reported(spark):
+    from boxloom.operators import jobs
+
+    pages = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "book_id string, page long")
+    made = spark.createDataFrame([("a", 0, "ocr_raw")], "book_id string, page long, artifact string")
+    got = {(r.book_id, r.page, r.artifact) for r in jobs.missing_artifacts(pages, made, ("ocr_raw", "placements")).collect()}
+    assert got == {("a", 1, "ocr_raw"), ("b", 0, "ocr_raw"), ("a", 0, "placements"), ("a", 1, "placements"), ("b", 0, "placements")}
+
+
+def test_failures_of_the_same_time_count_in_order(spark):
+    from boxloom.operators import jobs
+
+    rows = spark.sql("SELECT * FROM VALUES (1L, 1L, timestamp'2024-01-01 00:00:00', false), (1L, 2L, timestamp'2024-01-01 00:00:00', false), "
+                     "(1L, 3L, timestamp'2024-01-01 00:00:30', false) t(client, seq, at, ok)")
+    assert {(r.seq, r.failures) for r in jobs.failure_limiter(rows).collect()} == {(1, 1), (2, 2), (3, 3)}
+
+
+def test_artifact_items_keep_their_place(spark, tmp_path):
+    from boxloom.sources import artifacts
+
+    folder = tmp_path / "book" / "ocr"
+    folder.mkdir(parents=True)
+    (folder / "page_0003.json").write_text('[{"boxno": 5}, {"boxno": 2}, {"boxno": 9}]')
+    rows = artifacts.read_artifact(spark, str(tmp_path), "boxno bigint").collect()
+    assert sorted((r.book_id, r.page, r.pos, r.boxno) for r in rows) == [("book", 3, 0, 5), ("book", 3, 1, 2), ("book", 3, 2, 9)]
+    assert artifacts.read_master(spark, str(tmp_path / "none"), "boxno bigint", allow_missing=True).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        artifacts.read_master(spark, str(tmp_path / "none"), "boxno bigint")
