@@ -261,6 +261,9 @@ def blockers_in_search(boxes: DataFrame, search: DataFrame) -> DataFrame:
 
 # render rows -----------------------------------------------------------------------------
 
+PASSED_STYLES = ("rotation", "skew_x", "skew_y", "line_spacing", "font_size_width_percent")
+
+
 def opposite_fill(fill: Column) -> Column:
     return F.when(F.lower(tx.strip(fill)) == "black", F.lit("white")).otherwise(F.lit("black"))
 
@@ -268,12 +271,14 @@ def opposite_fill(fill: Column) -> Column:
 def render_rows(records: DataFrame, font: str = "default", fill: str = "black", gravity: str = "center",
                 stroke_width: float = 3.0) -> DataFrame:
     """One drawing row per record: manual line breaks before the translation, the placement
-    before the source region, the record's style before the default."""
+    before the source region, the record's style before the default. Turns, spacing and size
+    are passed on where the records have them; blank manual line breaks are none."""
     chosen = F.coalesce("fill", F.lit(fill))
     manual = F.when(tx.strip(F.col("manual_line_breaks")) != "", F.col("manual_line_breaks"))
     placed = F.col("pl").isNotNull()
+    passed = [F.col(c).cast("double").alias(c) for c in PASSED_STYLES if c in records.columns]
     return records.select(
-        *PAGE, "boxno", *[F.when(placed, F.col(p)).otherwise(F.col(s)).alias(s) for p, s in zip(PLACED, SIDES)],
+        *PAGE, "boxno", *passed, manual.alias("manual_line_breaks"), *[F.when(placed, F.col(p)).otherwise(F.col(s)).alias(s) for p, s in zip(PLACED, SIDES)],
         F.coalesce(manual, F.col("english_text")).alias("text"),
         F.coalesce(F.nullif(tx.strip(F.col("font")), F.lit("")), F.lit(font)).alias("font"), chosen.alias("fill"),
         F.coalesce("stroke", opposite_fill(chosen)).alias("stroke"),

@@ -8,6 +8,7 @@ Records are tables keyed by (book_id, page, record_id) with a position column `p
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -40,6 +41,23 @@ EDITABLE = {
 }
 
 
+# Names of fields that a table holds under another name
+COLUMNS_OF = {"region": SIDES, "placementRegion": ("pl", "pt", "pr", "pb"), "safeToEraseOriginal": ("safe_to_erase",),
+              "altPlacementReason": ("reason",)}
+# artifacts in the order in which a saved number is looked for
+SAVED_IN = ("placements", "translations", "alt_placement")
+
+
+def editable_columns(stage: str, artifact: str, columns: Sequence[str]) -> list[str]:
+    """Those of `columns` that a stage may edit in an artifact; all of them where no rule is given."""
+    if (stage, artifact) not in EDITABLE:
+        return list(columns)
+    allowed: set[str] = set()
+    for name in EDITABLE[stage, artifact]:
+        allowed |= set(COLUMNS_OF.get(name, ())) | {name, re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name).lower()}
+    return [c for c in columns if c in allowed]
+
+
 def stage_rank(stage: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage)
 
@@ -102,18 +120,27 @@ def tombstone_antijoin(records: DataFrame, deleted: DataFrame, by_region: bool,
     return kept.join(gone, list(ID), "left_anti")
 
 
-def overlay_fields(records: DataFrame, edits: DataFrame, fields: Sequence[str], protected_only: bool = False) -> DataFrame:
-    """Set edited fields; an edit to null sets null (for fontSizeWidthPercent: removes it)."""
-    live = edits.where("kind = 'field'")
-    live = live.where("protected") if protected_only else live
-    picked = live.groupBy(*ID).agg(*[c for f in fields for c in (
-        F.max(F.when(F.col("field") == f, F.lit(True))).alias(f"has_{f}"),
-        F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"new_{f}"))])
-    joined = records.join(picked, list(ID), "left")
-    kinds = dict(records.dtypes)
+def written_value(value: Column, kind: str) -> Column:
+    """A field as the text of an edit: arrays and structs as JSON, other values as they print."""
+    return F.to_json(value) if kind.startswith(("array", "struct", "map")) else value.cast("string")
+
+
+def read_value(text: Column, kind: str) -> Column:
+    """The text of an edit as a value of a column; null if it is none of that type."""
+    if kind.startswith(("array", "struct", "map")):
+        return F.try_variant_get(F.try_parse_json(text), "$", kind)
+    return text.try_cast(kind)
+
+
+def unreadable_edits(base: DataFrame, edits: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Field edits that name another field than `fields`, or whose value is none of the type of the field."""
+    types = dict(base.dtypes)
+    known = F.col("field").isin(*fields)
+    bad = F.lit(False)
     for f in fields:
-        joined = joined.withColumn(f, F.when(F.col(f"has_{f}"), F.col(f"new_{f}").try_cast(kinds[f])).otherwise(F.col(f)))
-    return joined.drop(*[f"{p}_{f}" for f in fields for p in ("has", "new")])
+        bad = bad | ((F.col("field") == f) & F.col("value").isNotNull() & read_value(F.col("value"), types[f]).isNull())
+    code = F.when(~F.coalesce(known, F.lit(False)), "unknown_field").when(bad, "bad_value")
+    return edits.where("kind = 'field'").select(*ID, "field", "value", code.alias("code")).where(F.col("code").isNotNull())
 
 
 def saved_order(records: DataFrame, order: DataFrame, bucket: int = 4096) -> DataFrame:
@@ -136,7 +163,9 @@ def apply_overrides(base: DataFrame, edits: DataFrame, artifact: str, fields: Se
 
     `edits` holds one stage and artifact; added and frozen records are in the struct column
     `record`, whose fields are the columns of `base` without the page key. The edits of a
-    record are folded to one row first, so records and edits meet in a single join.
+    record are folded to one row first, so records and edits meet in a single join. Array and
+    struct fields are edited with JSON values; `unreadable_edits` names values that become null.
+    A freeze without a record id freezes a page with no records.
     """
     own = [c for c in base.columns if c not in PAGE]
     values = [c for c in own if c not in ("record_id", "pos")]
@@ -162,7 +191,7 @@ def apply_overrides(base: DataFrame, edits: DataFrame, artifact: str, fields: Se
     def value(name: str) -> Column:
         plain = F.col(name)
         if name in fields:
-            plain = F.when(F.col(f"has_{name}"), F.col(f"new_{name}").try_cast(types[name])).otherwise(plain)
+            plain = F.when(F.col(f"has_{name}"), read_value(F.col(f"new_{name}"), types[name])).otherwise(plain)
         return F.when(frozen, F.col(f"e_frozen.{name}")).when(added, F.col(f"e_added.{name}")).otherwise(plain).alias(name)
 
     listed = ~frozen & F.col("e_place").isNotNull()
@@ -187,20 +216,26 @@ def effective_records(base: DataFrame, edits: DataFrame, artifact: str, fields_b
     return reduce(one, _stages_of(artifact, through_stage), base)
 
 
-def diff_overrides(base: DataFrame, submitted: DataFrame, old: DataFrame, fields: Sequence[str]) -> DataFrame:
+def diff_overrides(base: DataFrame, submitted: DataFrame, old: DataFrame, fields: Sequence[str],
+                   stage: str = "", artifact: str = "") -> DataFrame:
     """Edits that lead from `base` to `submitted`: (book_id, page, kind, record_id, field, value, protected, l..b).
 
+    Of `fields`, only those that `stage` may edit in `artifact` give field edits; added records carry them all.
+
     A value that was unprotected and did not change stays unprotected; everything else is
     protected. Deleted ids that no longer occur anywhere are kept from `old`.
     """
+    types = dict(base.dtypes)
+
     def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*ID, F.col("pos").alias(f"{tag}_pos"), F.struct(*[F.col(f).cast("string").alias(f) for f in fields]).alias(tag),
+        return df.select(*ID, F.col("pos").alias(f"{tag}_pos"), F.struct(*[written_value(F.col(f), types[f]).alias(f) for f in fields]).alias(tag),
                          F.struct(*SIDES, "source").alias(f"{tag}_at"))
 
     both = side(base, "x").join(side(submitted, "y"), list(ID), "full_outer")
     both = materialise(both)  # read by every branch below
     in_base, in_new = F.col("x").isNotNull(), F.col("y").isNotNull()
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"x.{f}").alias("was"), F.col(f"y.{f}").alias("value")) for f in fields])
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"x.{f}").alias("was"), F.col(f"y.{f}").alias("value"))
+                      for f in editable_columns(stage, artifact, fields)])
     changed = (both.where(in_base & in_new).select(*ID, F.explode(pairs).alias("c"))
                .select(*ID, "c.field", "c.was", "c.value").where(~F.col("was").eqNullSafe(F.col("value"))))
     prior = old.where("kind = 'field'").groupBy(*ID, "field").agg(F.max("value").alias("o_value"), F.max("protected").alias("o_protected"))
@@ -332,10 +367,12 @@ def pending_descendants(groups: DataFrame, raw: DataFrame, structured: DataFrame
                         rejected_sources: DataFrame, reserved: DataFrame) -> DataFrame:
     """Placeholder records for groups with sources that no structured record holds yet.
 
-    `saved`: book_id, page, boxno, source_boxnos of later artifacts, whose number is used
-    again for the same set of sources. Otherwise a group keeps its number when it is free
-    and gets the next free one when not. `reserved`: book_id, page, boxno. Groups of a page
-    must not share sources.
+    Groups of a page take their numbers in the order of `boxno`: the number that a later artifact
+    saved for the same set of sources, unless a structured record or an earlier group has it; else
+    their own, if it is neither reserved nor given away; else the one after the largest number so
+    far. `saved`: book_id, page, boxno, source_boxnos, and artifact if more than one artifact can
+    hold a set. `reserved`: book_id, page, boxno; numbers of `saved` are always reserved. Groups
+    of a page must not share sources.
     """
     held = _sources(structured).unionByName(rejected_sources.select(*PAGE, "source")).distinct()
     listed = groups.select(*PAGE, F.col("boxno").alias("g"), F.posexplode("source_boxnos").alias("i", "source"))
@@ -352,21 +389,25 @@ def pending_descendants(groups: DataFrame, raw: DataFrame, structured: DataFrame
         *PAGE, "g", "sources", F.when(partly, F.array_join(texts, "")).otherwise(F.col("text")).alias("text"),
         *[F.when(partly & F.col(f"u_{s}").isNotNull(), F.col(f"u_{s}")).otherwise(F.col(s)).alias(s) for s in SIDES],
         F.array_sort(F.array_distinct("sources")).alias("lineage"))
+    place = F.array_position(F.array(*[F.lit(x) for x in SAVED_IN]), F.col("artifact")) if "artifact" in saved.columns else F.lit(0)
     lineage = saved.where(F.size("source_boxnos") > 0).groupBy(*PAGE, F.array_sort(F.array_distinct("source_boxnos")).alias("lineage")).agg(
-        F.min("boxno").alias("saved_no"))
-    taken = structured.select(*PAGE, F.col("boxno").alias("saved_no")).distinct().withColumn("used", F.lit(True))
-    asked = shaped.join(lineage, [*PAGE, "lineage"], "left").join(taken, [*PAGE, "saved_no"], "left")
-    free_saved = F.col("saved_no").isNotNull() & F.col("used").isNull()
-    blocked = reserved.select(*PAGE, F.col("boxno").alias("g")).distinct().withColumn("blocked", F.lit(True))
-    asked = asked.join(blocked, [*PAGE, "g"], "left").withColumn(
-        "boxno", F.when(free_saved, F.col("saved_no")).when(F.col("blocked").isNull(), F.col("g")))
-    asked = materialise(asked)
-    named = asked.where(F.col("boxno").isNotNull())
-    used = reserved.select(*PAGE, "boxno").unionByName(named.select(*PAGE, "boxno"))
-    fresh = allocate_numbers(used, asked.where(F.col("boxno").isNull()).drop("boxno"), "g")
-    cols = [*PAGE, "boxno", F.col("sources").alias("source_boxnos"), "text", *SIDES]
-    return named.select(*cols).unionByName(fresh.select(*cols)).withColumns({
-        "sfx": F.lit(False), "open_lettering": F.lit(False), "safe_to_erase": F.lit(True), "reason": F.lit("unclear")})
+        F.min_by("boxno", F.struct(place, F.col("boxno"))).alias("saved_no"))
+    taken = structured.select(*PAGE, F.col("boxno").alias("saved_no")).distinct()
+    wanted = lineage.join(taken, [*PAGE, "saved_no"], "left_anti")
+    asked = shaped.join(wanted, [*PAGE, "lineage"], "left")
+    claims = asked.where(F.col("saved_no").isNotNull()).groupBy(*PAGE, "saved_no").agg(F.min("g").alias("winner"))
+    blocked = reserved.select(*PAGE, F.col("boxno").alias("g")).unionByName(saved.select(*PAGE, F.col("boxno").alias("g"))).distinct()
+    top = blocked.groupBy(*PAGE).agg(F.max("g").alias("top"))
+    asked = (asked.join(claims, [*PAGE, "saved_no"], "left").join(blocked.withColumn("blocked", F.lit(True)), [*PAGE, "g"], "left")
+             .join(top, list(PAGE), "left").withColumn("top", F.coalesce("top", F.lit(-1))))
+    won = F.coalesce(F.col("winner") == F.col("g"), F.lit(False))
+    # blocked numbers are at most `top` and come first; every group from there on is pushed up by those before it
+    moves = ~won & (F.col("blocked").isNotNull() | (F.col("g") > F.col("top")))
+    line = split_row_number(asked.withColumn("moves", moves), [*PAGE, "moves"], [F.col("g")], position_block(F.col("g")), "k")
+    number = F.when(won, F.col("saved_no")).when(F.col("moves"), F.greatest("g", F.col("top") + 1 + F.col("k"))).otherwise(F.col("g"))
+    return line.select(
+        *PAGE, number.cast("bigint").alias("boxno"), F.col("sources").alias("source_boxnos"), "text", *SIDES,
+        F.lit(False).alias("sfx"), F.lit(False).alias("open_lettering"), F.lit(True).alias("safe_to_erase"), F.lit("unclear").alias("reason"))
 
 
 def placeholder_rows(structured: DataFrame, existing: DataFrame, artifact: str) -> DataFrame:
@@ -428,6 +469,30 @@ def remove_edits(edits: DataFrame, targets: DataFrame, on: Sequence[str]) -> Dat
     return others.select(*edits.columns).unionByName(orders.select(*edits.columns)).unionByName(freezes)
 
 
+def freeze_stage(edits: DataFrame, pages: DataFrame, stage: str, records: dict[str, DataFrame]) -> DataFrame:
+    """Freeze or release a stage on pages: the snapshots of its artifacts replace those it had.
+
+    `pages`: book_id, page, frozen (one row per page). `records`: effective records by artifact; their
+    columns are the fields of `edits.record`. A snapshot is protected, and one row of it without a
+    record id marks the page, so a page without records can be frozen as well. Other edits stay.
+    """
+    own = (F.col("stage") == stage) & (F.col("kind") == "freeze") & F.col("artifact").isin(*STAGE_ARTIFACTS[stage])
+    touched = pages.select(*PAGE).distinct()
+    kept = edits.where(~own).unionByName(edits.where(own).join(touched, list(PAGE), "left_anti").select(*edits.columns))
+    frozen = pages.where("frozen").select(*PAGE).distinct()
+    shape = edits.schema["record"].dataType
+    out = [kept]
+    for artifact in STAGE_ARTIFACTS[stage]:
+        marks = frozen.select(*PAGE, F.lit(None).cast("string").alias("record_id"), F.lit(None).cast(shape).alias("record"))
+        if artifact in records:
+            body = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in shape.fields])
+            marks = marks.unionByName(records[artifact].join(frozen, list(PAGE), "left_semi").select(*PAGE, "record_id", body.alias("record")))
+        given = {"stage": F.lit(stage), "artifact": F.lit(artifact), "kind": F.lit("freeze"), "protected": F.lit(True)}
+        out.append(marks.select(*[c if c in (*PAGE, "record_id", "record") else given.get(c, F.lit(None)).cast(edits.schema[c].dataType).alias(c)
+                                  for c in edits.columns]))
+    return reduce(DataFrame.unionByName, out)
+
+
 def protection_summary(edits: DataFrame) -> DataFrame:
     """Per stage and record: protected and unprotected fields, and the state of the record."""
     keys = [*PAGE, "stage", "record_id"]

@@ -245,7 +245,8 @@ def attach_placements(s):
 @query("render_rows", """
     SELECT book_id, page, boxno, CASE WHEN boxno % 3 = 0 THEN l + 5 ELSE l END AS l, t, r, b, CASE WHEN boxno % 4 = 1 THEN concat(text, chr(10), 'x') WHEN boxno % 5 <> 2 THEN text END AS text,
       CASE WHEN boxno % 2 = 0 THEN 'f.ttf' ELSE 'default' END AS font, CASE WHEN boxno % 3 = 1 THEN 'White' ELSE 'black' END AS fill,
-      CASE WHEN boxno % 6 = 5 THEN 'red' WHEN boxno % 3 = 1 THEN 'black' ELSE 'white' END AS stroke, CASE WHEN boxno % 2 = 1 THEN 1.5 ELSE 3.0 END AS stroke_width, 'center' AS gravity, boxno % 5 <> 2 AS translated FROM boxes""".replace("1.5 ELSE 3.0", "cast(1.5 AS double) ELSE cast(3.0 AS double)"), ("boxes",))
+      CASE WHEN boxno % 6 = 5 THEN 'red' WHEN boxno % 3 = 1 THEN 'black' ELSE 'white' END AS stroke, CASE WHEN boxno % 2 = 1 THEN 1.5 ELSE 3.0 END AS stroke_width, 'center' AS gravity, boxno % 5 <> 2 AS translated,
+      CASE WHEN boxno % 4 = 1 THEN concat(text, chr(10), 'x') END AS manual_line_breaks, CASE WHEN boxno % 3 = 2 THEN cast(boxno AS double) END AS rotation, cast(boxno + 1 AS double) AS line_spacing FROM boxes""".replace("1.5 ELSE 3.0", "cast(1.5 AS double) ELSE cast(3.0 AS double)"), ("boxes",))
 def render_rows(s):
     n = F.col("boxno")
     records = s.boxes.select(
@@ -253,7 +254,8 @@ def render_rows(s):
         F.when(n % 5 != 2, F.col("text")).alias("english_text"),
         F.when(n % 4 == 1, F.concat("text", F.lit("\nx"))).when(n % 4 == 2, "  ").alias("manual_line_breaks"),
         F.when(n % 2 == 0, "f.ttf").otherwise(" ").alias("font"), F.when(n % 3 == 1, "White").alias("fill"), F.when(n % 6 == 5, "red").alias("stroke"),
-        F.when(n % 2 == 1, 1.5).alias("stroke_width"), F.lit(None).cast("string").alias("gravity"))
+        F.when(n % 2 == 1, 1.5).alias("stroke_width"), F.lit(None).cast("string").alias("gravity"),
+        F.when(n % 3 == 2, n).alias("rotation"), (n + 1).alias("line_spacing"))
     return layout.render_rows(records)
 
 

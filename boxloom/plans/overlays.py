@@ -76,6 +76,40 @@ def apply_overrides_protected_only(s):
     return flat(overlay.apply_overrides(base, edit_table(base), "ocr_structured", ["text"], protected_only=True))
 
 
+def array_edits(base: DataFrame) -> DataFrame:
+    """Edits of an array and a region field as JSON, some of them unreadable."""
+    n, null = F.col("boxno"), F.lit(None)
+    made = F.array_compact(F.array(
+        F.when(n % 2 == 0, F.struct(F.lit("source_boxnos").alias("field"), F.when(n % 6 == 4, "oops").otherwise(F.concat(F.lit("[7, "), n, F.lit("]"))).alias("value"))),
+        F.when(n % 3 == 1, F.struct(F.lit("region").alias("field"), F.when(n == 1, F.lit('{"l": 1, "t": 2, "r": 3, "b": 4}')).alias("value"))),
+        F.when(n == 3, F.struct(F.lit("colour").alias("field"), F.lit("red").alias("value")))))
+    record = base.drop(*PAGE).schema.simpleString()
+    return base.select(*PAGE, "record_id", F.explode(made).alias("e")).select(
+        *PAGE, F.lit("field").alias("kind"), "record_id", "e.field", "e.value", F.lit(True).alias("protected"),
+        null.cast("bigint").alias("ordinal"), null.cast(record).alias("record"))
+
+
+def nested_records(s) -> DataFrame:
+    return records(s).select(*PAGE, "record_id", "pos", "boxno", F.array("boxno", F.col("boxno") + 1).alias("source_boxnos"), F.struct("l", "t", "r", "b").alias("region"))
+
+
+@query("apply_overrides_arrays", BASE + """
+    SELECT book_id, page, record_id, pos, CASE WHEN boxno % 6 = 4 THEN NULL WHEN boxno % 2 = 0 THEN concat('7,', boxno) ELSE concat(boxno, ',', boxno + 1) END AS sources,
+      CASE WHEN boxno = 1 THEN 1 WHEN boxno % 3 <> 1 THEN l END AS l, CASE WHEN boxno = 1 THEN 4 WHEN boxno % 3 <> 1 THEN b END AS b FROM base""", ("boxes",))
+def apply_overrides_arrays(s):
+    base = nested_records(s)
+    made = overlay.apply_overrides(base, array_edits(base), "ocr_structured", ["source_boxnos", "region"])
+    return made.select(*PAGE, "record_id", "pos", F.array_join("source_boxnos", ",").alias("sources"), "region.l", "region.b")
+
+
+@query("unreadable_edits", BASE + """
+    SELECT book_id, page, record_id, 'source_boxnos' AS field, 'oops' AS value, 'bad_value' AS code FROM base WHERE boxno % 6 = 4
+    UNION ALL SELECT book_id, page, record_id, 'colour', 'red', 'unknown_field' FROM base WHERE boxno = 3""", ("boxes",))
+def unreadable_edits(s):
+    base = nested_records(s)
+    return overlay.unreadable_edits(base, array_edits(base), ["source_boxnos", "region"])
+
+
 @query("effective_records", edited_sql(False) + """
     SELECT book_id, page, record_id, pos, boxno, CASE WHEN boxno % 3 = 1 AND page % 2 = 0 AND record_id <> 'new' THEN concat('erase ', boxno) ELSE text END AS text FROM res""", ("boxes",))
 def effective_records(s):
@@ -141,6 +175,16 @@ def diff_overrides(s):
     return overlay.diff_overrides(base, sub.unionByName(extra), old, ["text"]).select(*PAGE, "kind", "record_id", "field", "value", "protected", "l")
 
 
+@query("diff_overrides_editable", BASE + """
+    SELECT book_id, page, 'field' AS kind, record_id, 'text' AS field, concat(text, '!') AS value FROM base WHERE boxno % 2 = 1""", ("boxes",))
+def diff_overrides_editable(s):
+    base = records(s).withColumn("source", F.lit(None).cast("string"))
+    odd = F.col("boxno") % 2 == 1
+    changed = base.withColumns({"text": F.when(odd, F.concat("text", F.lit("!"))).otherwise(F.col("text")), "boxno": F.col("boxno") + 100})
+    old = edit_table(base).where("false")
+    return overlay.diff_overrides(base, changed, old, ["text", "boxno"], "structure", "ocr_structured").select(*PAGE, "kind", "record_id", "field", "value")
+
+
 # lineage: groups of two boxes, structured records one per group ---------------------------
 
 LINEAGE = """
@@ -215,19 +259,50 @@ def complete_groups(s):
     return overlay.complete_groups(groups, raw, deleted).select(*PAGE, "boxno", "record_id", F.array_join("source_boxnos", ",").alias("sources"))
 
 
-@query("pending_descendants")
+PENDING = """
+    tot AS (SELECT book_id, page, cast(floor(boxno / 2) AS bigint) AS g, count(*) AS n FROM boxes GROUP BY ALL),
+    o AS (SELECT *, cast(floor(boxno / 2) AS bigint) AS g FROM boxes WHERE boxno <> 5 AND NOT (page % 2 = 0 AND boxno % 6 = 0)),
+    p AS (SELECT book_id, page, g, count(*) AS n, string_agg(cast(boxno AS varchar), ',' ORDER BY boxno) AS sources, string_agg(text, '' ORDER BY boxno) AS text,
+        min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM o GROUP BY book_id, page, g),
+    sv AS (SELECT book_id, page, g, cast(9 AS bigint) AS no FROM tot WHERE (g = 1 AND page % 3 = 0) OR (g = 3 AND page % 15 = 0)),
+    ordered AS (SELECT p.*, sv.no AS want, row_number() OVER (PARTITION BY p.book_id, p.page ORDER BY p.g) AS i
+      FROM p JOIN tot USING (book_id, page, g) LEFT JOIN sv ON sv.book_id = p.book_id AND sv.page = p.page AND sv.g = p.g AND tot.n = p.n),
+    st AS (SELECT book_id, page, g AS no FROM tot WHERE g % 3 = 0 AND page % 2 = 0),
+    lists AS (SELECT t.book_id, t.page, coalesce((SELECT list(no) FROM (SELECT no FROM st WHERE st.book_id = t.book_id AND st.page = t.page UNION SELECT no FROM sv WHERE sv.book_id = t.book_id AND sv.page = t.page) z), []) AS reserved,
+        coalesce((SELECT list(no) FROM st WHERE st.book_id = t.book_id AND st.page = t.page), []) AS structured FROM (SELECT DISTINCT book_id, page FROM tot) t),
+    walk AS (SELECT book_id, page, cast(0 AS bigint) AS i, cast(NULL AS bigint) AS no, reserved, structured FROM lists
+      UNION ALL SELECT book_id, page, i, no, list_append(reserved, no), list_append(structured, no)
+      FROM (SELECT o.book_id, o.page, o.i, w.reserved, w.structured, CASE WHEN o.want IS NOT NULL AND NOT list_contains(w.structured, o.want) THEN o.want
+          WHEN list_contains(w.reserved, o.g) THEN coalesce(list_max(w.reserved), -1) + 1 ELSE o.g END AS no
+        FROM walk w JOIN ordered o ON o.book_id = w.book_id AND o.page = w.page AND o.i = w.i + 1) x)"""
+
+
+@query("pending_descendants", PENDING + """
+    SELECT book_id, page, w.no AS boxno, sources, text, l, t, r, b, 'unclear' AS reason FROM walk w JOIN ordered USING (book_id, page, i)""", ("boxes",))
 def pending_descendants(s):
     boxes, groups, _, _ = lineage_tables(s)
     n, p = F.col("boxno"), F.col("page")
     shape = [*PAGE, "boxno", "source_boxnos"]
     structured = groups.where((n % 3 == 0) & (p % 2 == 0)).select(*PAGE, "boxno", F.slice("source_boxnos", 1, 1).alias("source_boxnos"))
-    saved = groups.where(n == 1).select(*PAGE, (n + 20).alias("boxno"), "source_boxnos")
-    reserved = structured.select(*PAGE, "boxno").unionByName(saved.select(*PAGE, "boxno"))
+    saved = groups.where(((n == 1) & (p % 3 == 0)) | ((n == 3) & (p % 15 == 0))).select(
+        *PAGE, F.lit(9).cast("bigint").alias("boxno"), "source_boxnos", F.lit("translations").alias("artifact"))
+    reserved = structured.select(*PAGE, "boxno")
     rejected = boxes.where(n == 5).select(*PAGE, F.col("boxno").alias("source"))
     made = overlay.pending_descendants(groups.select(*shape, "text", "l", "t", "r", "b"), boxes, structured, saved, rejected, reserved)
     return made.select(*PAGE, "boxno", F.array_join("source_boxnos", ",").alias("sources"), "text", "l", "t", "r", "b", "reason")
 
 
+@query("placeholder_rows", """
+    SELECT book_id, page, 'translations' AS artifact, cast(floor(boxno / 2) AS bigint) AS boxno, string_agg(cast(boxno AS varchar), ',' ORDER BY boxno) AS sources
+    FROM boxes WHERE NOT (page % 4 = 1) AND cast(floor(boxno / 2) AS bigint) % 2 = 1 GROUP BY book_id, page, cast(floor(boxno / 2) AS bigint)
+    UNION ALL SELECT book_id, page, 'translations', cast(floor(boxno / 2) AS bigint), string_agg(cast(boxno AS varchar), ',' ORDER BY boxno)
+    FROM boxes WHERE page % 4 = 1 GROUP BY book_id, page, cast(floor(boxno / 2) AS bigint)""", ("boxes",))
+def placeholder_rows(s):
+    groups = lineage_tables(s)[1]
+    existing = groups.where((F.col("boxno") % 2 == 0) & (F.col("page") % 4 != 1))
+    return overlay.placeholder_rows(groups, existing, "translations").select(*PAGE, "artifact", "boxno", F.array_join("source_boxnos", ",").alias("sources"))
+
+
 @query("visible_merge", BASE + """,
     hid AS (SELECT * FROM base WHERE boxno % 3 = 2),
     sent AS (SELECT book_id, page, record_id, row_number() OVER (PARTITION BY book_id, page ORDER BY boxno DESC) - 1 AS k FROM base WHERE boxno % 3 <> 2 AND boxno <> 4),
@@ -282,6 +357,23 @@ def remove_edits(s):
     return flat_edits(overlay.remove_edits(edit_table(base), base.where("page % 4 = 0 AND boxno = 0").select(*PAGE, "record_id"), [*PAGE, "record_id"]))
 
 
+@query("freeze_stage", FLAT_EDITS + ED.format("protected") + """ WHERE NOT (kind = 'freeze' AND (page % 2 = 0 OR page % 3 = 0))
+    UNION ALL SELECT book_id, page, 'freeze', record_id, true FROM base WHERE page % 2 = 0
+    UNION ALL SELECT DISTINCT book_id, page, 'freeze', cast(NULL AS varchar), true FROM base WHERE page % 2 = 0""", ("boxes",))
+def freeze_stage(s):
+    base, p = records(s), F.col("page")
+    pages = base.select(*PAGE).distinct().where((p % 2 == 0) | (p % 3 == 0)).withColumn("frozen", p % 2 == 0)
+    return flat_edits(overlay.freeze_stage(edit_table(base), pages, "structure", {"ocr_structured": base}))
+
+
+@query("frozen_records", BASE + " SELECT book_id, page, record_id, pos, boxno, text FROM base WHERE page % 4 <> 0", ("boxes",))
+def frozen_records(s):
+    base = records(s)
+    pages = base.select(*PAGE).distinct().withColumn("frozen", F.lit(True))
+    edits = overlay.freeze_stage(edit_table(base), pages, "structure", {"ocr_structured": base.where(F.col("page") % 4 != 0)})
+    return flat(overlay.apply_overrides(base, edits, "ocr_structured", ["text"]))
+
+
 @query("protection_summary", FLAT_EDITS + """
     SELECT book_id, page, record_id, count(*) FILTER (kind = 'field' AND protected) AS protected_fields, count(*) FILTER (kind = 'field' AND NOT protected) AS open_fields,
       max(CASE WHEN kind <> 'field' THEN kind END) AS state, max(CASE WHEN kind <> 'field' THEN protected END) AS state_protected FROM ed WHERE kind IN ('field', 'added', 'deleted') GROUP BY ALL""", ("boxes",))
