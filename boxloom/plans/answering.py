@@ -298,6 +298,20 @@ def open_and_other_records(s):
     return boxes.where("open_lettering").unionByName(boxes.where("NOT open_lettering"))
 
 
+@query("drop_untranslatable", """
+    SELECT book_id, page, row_number() OVER (PARTITION BY book_id, page ORDER BY boxno) - 1 AS boxno, text FROM (SELECT book_id, page, boxno, CASE WHEN boxno % 3 = 0 THEN chr(12395) ELSE concat(text, chr(12395)) END AS text FROM boxes WHERE boxno % 3 < 2) x""", ("boxes",))
+def drop_untranslatable(s):
+    n = F.col("boxno")
+    kana = F.lit("\u306b")
+    rows = s.boxes.select(*PAGE, "boxno", F.when(n % 3 == 0, kana).when(n % 3 == 1, F.concat("text", kana)).otherwise(F.concat(n, F.lit(" !"))).alias("text"))
+    return ans.drop_untranslatable(rows, "jp")
+
+
+@query("default_erase", "SELECT book_id, page, boxno, true AS safe_to_erase, false AS open_lettering, 'disabled' AS reason FROM boxes", ("boxes",))
+def default_erase(s):
+    return ans.default_erase(s.boxes)
+
+
 @query("needs_translation", """
     SELECT doc_id, cast(i AS integer) AS line, regexp_matches(parts[i], '\\p{L}') AND regexp_matches(parts[i], '[^\\p{Latin}\\P{L}]') AS foreign_text,
       FALSE AS korean_script

@@ -558,6 +558,27 @@ def languages(s):
     return s.documents.select("doc_id", code.alias("code"), tx.reads_right_to_left(code).alias("rtl"))
 
 
+@query("target_languages", """
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'de' THEN 'en' END AS code FROM documents""")
+def target_languages(s):
+    name = F.when(F.col("lang") == "en", " English ").when(F.col("lang") == "fr", "elvish").when(F.col("lang") == "de", F.lit(None)).otherwise("?")
+    return s.documents.select("doc_id", tx.target_language(name).alias("code"))
+
+
+@query("job_times", """
+    z AS (SELECT job_id, CASE WHEN n % 77 <> 0 THEN epoch(cast('2030-01-01 01:00:00' AS timestamp)) - epoch(cast(created AS timestamp)) END AS age,
+        CASE WHEN n % 7 <> 0 OR n % 3 = 0 THEN CASE WHEN n % 7 = 0 THEN 0.0 ELSE n % 5000 + 0.5 END + CASE WHEN n % 3 = 0 THEN 3600 ELSE 0 END END AS el FROM jobs),
+    y AS (SELECT *, cast(floor(el / 60) AS bigint) AS m, cast(floor(age / 60) AS bigint) AS am FROM z)
+    SELECT job_id, cast(age AS double) AS age_seconds, cast(el AS double) AS elapsed_seconds,
+      CASE WHEN age IS NULL THEN '' ELSE concat(am // 1440, 'd ', (am // 60) % 24, 'h') END AS age,
+      CASE WHEN el IS NULL THEN '' WHEN el < 60 THEN printf('%.1fs', cast(el AS double)) WHEN m < 60 THEN concat(m, 'm ', cast(round_even(cast(el - m * 60 AS double), 0) AS bigint), 's') ELSE concat(m // 60, 'h ', m % 60, 'm') END AS elapsed FROM y""", ("jobs",))
+def job_times(s):
+    n, null, day = F.col("n"), F.lit(None).cast("string"), F.date_format("created", "yyyy-MM-dd")
+    rows = s.jobs.select("job_id", F.when(n % 11 != 0, day).alias("created_at"), null.alias("updated_at"), F.when(n % 7 != 0, day).alias("started_at"), null.alias("finished_at"),
+                         F.when(n % 3 == 0, "2030-01-01T01:00:00+01:00").alias("active_started_at"), F.when(n % 7 == 0, "-3").otherwise((n % 5000 + 0.5).cast("string")).alias("elapsed_seconds"))
+    return jobs.job_times(rows, F.timestamp_micros(F.unix_micros(tx.iso_timestamp(F.lit("2030-01-01T01:00:00Z")))))
+
+
 @query("lenient_values", """
     SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS idx, CASE o_orderkey % 3 WHEN 0 THEN cast(o_orderkey % 200 AS double) / 100 WHEN 1 THEN cast(o_orderkey % 5 AS double) END AS ratio,
       CASE o_orderkey % 3 WHEN 0 THEN least(1.0, cast(o_orderkey % 200 AS double) / 100) WHEN 1 THEN least(1.0, cast(o_orderkey % 5 AS double)) END AS part FROM orders""")

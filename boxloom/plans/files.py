@@ -46,6 +46,60 @@ def metadata_titles(s):
     return s.documents.select("doc_id", archives.xml_title(xml).alias("title"))
 
 
+def _log_folder(s) -> str:
+    """One log file per job, in the folder of the job, lines in order."""
+    path = scratch(s.spark, "logs")
+    e = F.col("event_id")
+    rows = s.events.select(F.concat(F.lit("j"), F.col("user_id") % 16).alias("job_id"), e,
+                           F.when(e % 7 == 0, "").otherwise(F.concat(F.lit(" note "), e)).alias("line"))
+    rows.repartition("job_id").sortWithinPartitions("job_id", "event_id").select("job_id", "line").write.partitionBy("job_id").text(path)
+    return path
+
+
+LOG_FILES = """
+    l AS (SELECT concat('job_id=j', user_id % 16) AS job_id, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1 AS seq,
+        CASE WHEN event_id % 7 = 0 THEN '' ELSE concat(' note ', event_id) END AS line, count(*) OVER (PARTITION BY user_id % 16) AS n FROM events)"""
+
+
+@query("read_logs", LOG_FILES + " SELECT job_id, cast(seq AS integer) AS seq, trim(line) AS line FROM l WHERE line <> ''")
+def read_logs(s):
+    return artifacts.read_logs(s.spark, _log_folder(s))
+
+
+@query("log_tail", LOG_FILES + " SELECT job_id, seq, line FROM l WHERE seq >= 10 AND seq < n - 1")
+def log_tail(s):
+    path = _log_folder(s)
+    files = s.spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file")).distinct()
+    cursor = files.select("file", F.lit(1).cast("bigint").alias("bytes"), F.lit(10).cast("bigint").alias("lines"))
+    return artifacts.read_log_tail(s.spark, path, cursor)[0].drop("file")
+
+
+@query("read_jobs", """
+    SELECT concat('c', s_nationkey) AS category, concat('j', s_suppkey) AS job_id, CASE WHEN s_suppkey % 3 = 0 THEN 'failed' END AS status FROM supplier WHERE s_suppkey % 5 <> 0""")
+def read_jobs(s):
+    path, n = scratch(s.spark, "jobs"), F.col("s_suppkey")
+    doc = F.to_json(F.struct(F.concat(F.lit("c"), "s_nationkey").alias("category"), F.concat(F.lit("j"), n).alias("jobId"), F.when(n % 3 == 0, "failed").alias("status")), {"pretty": "true"})
+    made = s.supplier.select(F.when(n % 10 == 0, "[1]").when(n % 10 == 5, '{"jobId": ').otherwise(doc).alias("value"))
+    made.write.option("maxRecordsPerFile", 1).text(path)
+    return artifacts.read_jobs(s.spark, path).select("category", F.col("jobId").alias("job_id"), "status")
+
+
+@query("read_traces", "SELECT concat('p', s_suppkey % 4) AS phase, cast(s_suppkey AS bigint) AS tokens, s_suppkey % 2 = 0 AS failed FROM supplier")
+def read_traces(s):
+    path, n = scratch(s.spark, "traces"), F.col("s_suppkey")
+    s.supplier.select(F.concat(F.lit("p"), n % 4).alias("phase"), n.alias("generatedTokens"), (n % 2 == 0).alias("failed"), F.lit(1).alias("other")) \
+        .write.option("maxRecordsPerFile", 1).json(path)
+    return artifacts.read_traces(s.spark, path).select("phase", F.col("generatedTokens").alias("tokens"), "failed")
+
+
+@query("metadata_xml", """
+    SELECT cast(s_nationkey AS bigint) AS nation, concat('<ComicInfo>', string_agg(concat('<T', s_suppkey, '>a &lt;&amp; ', s_suppkey, '</T', s_suppkey, '>'), '' ORDER BY concat('T', s_suppkey)), '</ComicInfo>') AS xml
+    FROM supplier GROUP BY s_nationkey""")
+def metadata_xml(s):
+    n = F.col("s_suppkey")
+    return archives.metadata_xml(s.supplier.select(F.col("s_nationkey").cast("bigint").alias("nation"), F.concat(F.lit("T"), n).alias("tag"), F.concat(F.lit("a <& "), n).alias("value")), ["nation"])
+
+
 def _stream(df: DataFrame, name: str) -> DataFrame:
     """The table as a file stream."""
     spark = df.sparkSession

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.functions import answer_json as aj
 from boxloom.operators import jobs, merge, series
-from boxloom.operators.ranking import position_block
+from boxloom.operators.ranking import position_block, split_row_number
+from boxloom.session import materialise
 
 PAGE_NAME = r"page_([0-9]+)\.json$"
+CURSOR_SCHEMA = "file string, bytes bigint, lines bigint"
 TRACE_SCHEMA = ("phase string, scope string, model string, elapsedSeconds double, generatedTokens bigint, completionTokens bigint, "
                 "reasoningChunks bigint, outputChunks bigint, attempt int, maxAttempts int, failed boolean, error string, output string")
 
@@ -22,23 +24,30 @@ def artifact_pages(spark: SparkSession, path: str) -> DataFrame:
         F.element_at(F.split("path", "/"), -3).alias("book_id"), F.regexp_extract("path", PAGE_NAME, 1).cast("bigint").alias("page"))
 
 
+def _fault(text: Column) -> Column:
+    """Why the text of an artifact file cannot be read; null if it can."""
+    v = F.try_parse_json(text)
+    return (F.when(v.isNull(), "invalid_json").when(~aj.is_array(v), "not_an_array")
+            .when(~F.forall(aj.values(v), aj.is_object), "item_not_an_object"))
+
+
 def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of per-page JSON arrays with book and page from the file name and their place in the file."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("__file"))
-    rows = files.select("__file", F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("pos", "item")).select("__file", "pos", "item.*").drop("page")
+    """Rows of per-page JSON arrays with book and page from the file name and their place in the file.
+
+    Files that are no array of objects give no rows; `broken_artifacts` names them.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("__file"))
+    rows = files.where(_fault(F.col("value")).isNull()).select("__file", F.posexplode(F.from_json("value", f"array<struct<{schema}>>")).alias("pos", "item")).select("__file", "pos", "item.*").drop("page")
     return rows.select(F.element_at(F.split("__file", "/"), -3).alias("book_id"),
                        F.regexp_extract("__file", PAGE_NAME, 1).cast("bigint").alias("page"), *[c for c in rows.columns if c != "__file"])
 
 
 def broken_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """Files whose root is not an array of objects: (book_id, page, code)."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("file"))
-    v = F.try_parse_json("value")
-    code = (F.when(v.isNull(), "invalid_json").when(~aj.is_array(v), "not_an_array")
-            .when(~F.forall(aj.values(v), aj.is_object), "item_not_an_object"))
     return files.select(F.element_at(F.split("file", "/"), -3).alias("book_id"), F.regexp_extract("file", PAGE_NAME, 1).cast("bigint").alias("page"),
-                        code.alias("code")).where(F.col("code").isNotNull())
+                        _fault(F.col("value")).alias("code")).where(F.col("code").isNotNull())
 
 
 def write_master(rows: DataFrame, path: str) -> None:
@@ -65,7 +74,7 @@ def check_master(rows: DataFrame) -> DataFrame:
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """Open-schema job documents as VARIANT; files that are not an object are left out."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     docs = files.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
     return docs.where(aj.is_object(F.col("doc"))).select(
         "file", *[F.try_variant_get("doc", f"$.{n}", "string").alias(n) for n in ("category", "jobId", "status", "phase", "createdAt")], "doc")
@@ -73,10 +82,37 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """Log files to lines: (job_id, seq, line). The job is the name of the folder of the file."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return jobs.log_lines(files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("job_id"), F.col("value").alias("body")))
 
 
+def read_log_tail(spark: SparkSession, path: str, cursor: DataFrame | None = None, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines of growing log files that a cursor has not seen, and the cursor after them.
+
+    Lines: job_id (folder of the file), file, seq (place in the file), line. The cursor holds file, bytes
+    and lines; without one everything is new. The last line of a file may still be growing, so it is only
+    given when another line follows it, or when the logs are `closed`. A file that got shorter starts
+    again; files that kept their size are not read again. One poll is one consistent reading: it is
+    written to the shared folder, as files may grow between two readers of it.
+    """
+    if cursor is None:
+        cursor = spark.createDataFrame([], CURSOR_SCHEMA)
+    meta = {"file": "file_path", "bytes": "file_size", "at": "file_block_start"}
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        *[F.col(f"_metadata.{m}").alias(n) for n, m in meta.items()], F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
+    seen = cursor.select("file", F.col("bytes").alias("was"), F.col("lines").alias("had"))
+    fresh = lines.join(seen, "file", "left")
+    if not closed:
+        fresh = fresh.where(~F.col("bytes").eqNullSafe(F.col("was")))
+    had = F.when(F.col("bytes") >= F.col("was"), F.col("had")).otherwise(0)
+    numbered = materialise(split_row_number(fresh, ["file"], [F.col("at"), F.col("mid")], F.struct("at", position_block(F.col("mid"))), "seq")
+                           .select("file", "bytes", "seq", had.cast("bigint").alias("had"), "line"))
+    ends = numbered.groupBy("file").agg(F.max("bytes").alias("bytes"), (F.max("seq") + (1 if closed else 0)).alias("lines"))
+    given = numbered.join(ends.select("file", "lines"), "file").where("seq >= had AND seq < lines").select(
+        F.element_at(F.split("file", "/"), -2).alias("job_id"), "file", "seq", "line")
+    return given, ends.unionByName(cursor.join(ends, "file", "left_anti").select("file", "bytes", "lines"))
+
+
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACE_SCHEMA).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
 

@@ -19,8 +19,9 @@ RUNTIME_OUT = "job_id string, elapsed_micros bigint, running_micros bigint"
 
 
 def log_tail(spark: SparkSession, path: str) -> DataFrame:
-    """New lines of log files: (job_id, line). The checkpoint of the query takes the place of a cursor:
-    every file is read once, and a new file in place of an old one is a new input."""
+    """Lines of finished log segments: (job_id, line). The checkpoint of the query takes the place of a cursor:
+    every file is read once, and a new file in place of an old one is a new input. A log that grows
+    in place is polled with `artifacts.read_log_tail`."""
     lines = spark.readStream.schema("value string").option("recursiveFileLookup", "true").text(path)
     return lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("job_id"), F.col("value").alias("line"))
 
