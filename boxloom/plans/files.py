@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from boxloom.plans import books
 from boxloom.plans.registry import query
@@ -100,24 +102,38 @@ def metadata_xml(s):
     return archives.metadata_xml(s.supplier.select(F.col("s_nationkey").cast("bigint").alias("nation"), F.concat(F.lit("T"), n).alias("tag"), F.concat(F.lit("a <& "), n).alias("value")), ["nation"])
 
 
-def _stream(df: DataFrame, name: str) -> DataFrame:
-    """The table as a file stream."""
+PARTS = 3  # runs of a stream query, each with new files
+
+
+def _parts(df: DataFrame, order: str | None) -> list[DataFrame]:
+    """The table in parts that arrive one after another: by a time column, else at random."""
+    if order is None:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(PARTS))
+        return [df.where(part == i) for i in range(PARTS)]
+    cuts = df.agg(F.percentile_approx(order, [i / PARTS for i in range(1, PARTS)])).first()[0] or []
+    edges = [None, *cuts, None]
+    return [df.where((F.lit(True) if low is None else F.col(order) > F.lit(low)) & (F.lit(True) if high is None else F.col(order) <= F.lit(high)))
+            for low, high in zip(edges, edges[1:])]
+
+
+def _streamed(df: DataFrame, order: str | None, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Run a stream over the table as it arrives: every part is a run of its own from the state of the one before."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    path = scratch(spark, "stream-in")
+    for part in _parts(df, order):
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(df.schema).parquet(path)).trigger(availableNow=True).start().awaitTermination()
 
 
-def _drained(df: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over everything there is and give back what it wrote."""
+def _drained(df: DataFrame, operator: Callable[[DataFrame], DataFrame], mode: str, order: str | None = None) -> DataFrame:
+    """What an operator gave out over all parts, with the number of the batch."""
     spark = df.sparkSession
     out, marks = scratch(spark, "stream-out"), scratch(spark, "stream-marks")
 
     def keep(rows: DataFrame, number: int) -> None:
         rows.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/part={number}")
 
-    run = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks).trigger(availableNow=True).start()
-    run.awaitTermination()
+    _streamed(df, order, lambda rows: operator(rows).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", marks))
     return spark.read.option("basePath", out).parquet(f"{out}/part=*").drop("part")
 
 
@@ -131,22 +147,22 @@ def _latest(df: DataFrame, key: str) -> DataFrame:
     SELECT job_id, arg_max(phase, seq) AS phase, CASE WHEN arg_max(phase, seq) <> 'Proofreading' THEN arg_max(coalesce(page, -1), seq) END AS page, arg_max(target, seq) AS resume_from, arg_max(target_page, seq) AS resume_page
     FROM pl GROUP BY ALL""")
 def live_progress(s):
-    return _latest(_drained(live.live_progress(_stream(books.made_log(s), "log")), "update"), "job_id")
+    return _latest(_drained(books.made_log(s), live.live_progress, "update"), "job_id")
 
 
 @query("token_meter_stream", books.TOKENS)
 def token_meter_stream(s):
-    return _latest(_drained(live.token_meter(_stream(books.token_chunks(s), "chunks")), "update"), "call")
+    return _latest(_drained(books.token_chunks(s), live.token_meter, "update"), "call")
 
 
 @query("failure_limiter_stream", books.LIMITER)
 def failure_limiter_stream(s):
-    return _drained(live.failure_limiter(_stream(books.attempts(s), "attempts"), 3, 259_200, "1 day"), "append").drop("batch")
+    return _drained(books.attempts(s), lambda rows: live.failure_limiter(rows, 3, 259_200, "1 day"), "append", "at").drop("batch")
 
 
 @query("runtime_state_stream", books.RUNTIME + books.RUNTIME_RESULT)
 def runtime_state_stream(s):
-    done = _latest(_drained(live.runtime_state(_stream(books.runtime_events(s), "runtime")), "update"), "job_id")
+    done = _latest(_drained(books.runtime_events(s), live.runtime_state, "update", "at"), "job_id")
     return done.withColumn("running_since", F.col("running_since").cast("timestamp_ntz"))
 
 
@@ -158,6 +174,5 @@ def chapter_release(s):
     def publish(rows: DataFrame, number: int) -> None:
         rows.select("series", "job_id").write.mode("overwrite").parquet(f"{out}/part={number}")
 
-    changes = _stream(chapters.select("series").distinct(), "changes")
-    live.chapter_release(changes, lambda: chapters, lambda: covered, publish, marks).trigger(availableNow=True).start().awaitTermination()
+    _streamed(chapters.select("series").distinct(), None, lambda rows: live.chapter_release(rows, lambda: chapters, lambda: covered, publish, marks))
     return s.spark.read.schema("series string, job_id string").option("basePath", out).parquet(f"{out}/part=*").select("series", "job_id").distinct()

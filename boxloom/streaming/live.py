@@ -5,6 +5,7 @@ Each has a batch twin in `boxloom.operators`; both give the same values on the s
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -40,7 +41,9 @@ def failure_limiter(attempts: DataFrame, limit: int = 5, window_seconds: int = 6
     """Failures still counted at each attempt and the seconds to wait.
 
     `attempts`: client, seq, at (timestamp), ok. The state of a client is the times of its
-    failures inside one window; it goes when the watermark has passed them.
+    failures inside one window; it goes when the watermark has passed them. Rows that come more than
+    `lateness` behind the newest one are dropped by the watermark (the batch twin counts them); the
+    progress of the query reports their number.
     """
     span = window_seconds * 1_000_000
 
@@ -51,12 +54,17 @@ def failure_limiter(attempts: DataFrame, limit: int = 5, window_seconds: int = 6
         times = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["us", "seq"])
         out = []
+        live = deque(times)
         for seq, us, ok in zip(rows["seq"], rows["us"], rows["ok"]):
-            times = [] if ok else [*[t for t in times if t > us - span], int(us)]
-            live = [t for t in times if t > us - span]
+            if ok:
+                live.clear()
+            else:
+                live.append(int(us))
+            while live and live[0] <= us - span:
+                live.popleft()
             wait = max(1, round(window_seconds - (us - live[0]) / 1e6)) if len(live) >= limit else 0
             out.append((key[0], seq, len(live), wait))
-        state.update((times,))
+        state.update((list(live),))
         last_ms = int(rows["us"].max()) // 1000 + window_seconds * 1000
         state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["client", "seq", "failures", "retry_after"])
