@@ -452,3 +452,8 @@ def test_fm_index_against_a_scan():
         for p, a, b in zip(phrases, low, high):
             want = [i for i in range(n - 2) if (text[i:i + 3] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_names_about_the_page_mark_no_part():
+    page = '<html class="cookie"><body class="has-sidebar"><div class="page with-menu"><p>a  b</p></div><div class="sidebar">x</div></body></html>'
+    assert html.main_text(page) == "a b"
