@@ -18,7 +18,6 @@ JOB = ("job_id",)
 RERUN_ALIASES = {"ocr_merge": "ocr_structured", "ocr_raw": "ocr_raw", "ocr_merged": "ocr_structured",
                  "ocr_structured": "ocr_structured", "alt_placement": "alt_placement", "translations": "translations",
                  "placements": "placements", "render": "render"}
-RERUN_ORDER = ("ocr_merge", "ocr_structured", "alt_placement", "translations", "placements", "render")
 TERMINAL = ("complete", "failed", "cancelled")
 MOST_PAGES = 10_000
 
