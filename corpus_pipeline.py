@@ -20,24 +20,31 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(F.col("__lang") != "und").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a number of its own for every row, written so that all readers see the same one, and the name of that column."""
+    name = "__at"
+    while name in docs.columns:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component: the one with the smallest doc_id, once.
+    """One row of every component: one with the smallest doc_id, with a null doc_id only if none has an id.
 
-    Documents with a null doc_id have no representative by id; all of a component go if another
-    document of it has an id, and one of every equal row stays if none has.
+    Rows are told apart by a number, not by doc_id, so ids may be null or repeated.
     """
-    found = stored(simhash.near_duplicates(docs), "components")
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-    once, more = (chosen.where(c).select(F.col("doc_id").alias("__id")) for c in ("__n = 1", "__n > 1"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    return docs.join(once, same, "left_semi").unionByName(docs.join(more, same, "left_semi").dropDuplicates(["doc_id"]))
+    rows, at = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(at).alias("at"))
+    found = simhash.near_duplicates(rows.select(key.alias("key"), "text"), key="key")
+    chosen = found.where(F.col("key.at") == F.col("component_id.at")).select(F.col("key.at").alias(at))
+    return rows.join(chosen, at, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which fewer than a twentieth of the words lie in benchmark windows."""
-    found = decontam.verdicts(decontam.contamination(docs, table(spark, sf_dir, "benchmark")))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Documents of which fewer than a twentieth of the words lie in benchmark windows, decided row by row."""
+    rows, at = _numbered(docs)
+    found = decontam.verdicts(decontam.contamination(rows, table(spark, sf_dir, "benchmark"), key=at), key=at)
+    return rows.join(found.where("contaminated").select(at), at, "left_anti").select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

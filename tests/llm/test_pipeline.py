@@ -41,3 +41,17 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs_table(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids(spark, tmp_path):
+    """Texts that differ stay though their ids are null or equal; near copies and contaminated rows go one by one."""
+    words = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(None, words("a"), "en"), (None, words("b"), "en"), (None, words("c"), "en"), (None, words("a"), "en"), (7, words("d"), "en"), (7, words("e"), "en"),
+            (None, words("d"), "en"), (3, words("e"), "en")]
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs_table(spark, rows), str(tmp_path)).collect())
+    assert got == collections.Counter([(None, words("a")), (None, words("b")), (None, words("c")), (7, words("d")), (3, words("e"))])
+
+    spark.createDataFrame([(1, words("b"))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, words("a"), "en"), (None, words("b"), "en"), (5, words("b"), "en"), (5, words("c"), "en")]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs_table(spark, rows), str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, words("a")), (5, words("c"))], key=str)
