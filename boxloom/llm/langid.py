@@ -111,6 +111,11 @@ def fit(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ri
     return Model(column, (base.T.astype(np.float64) @ (to_features @ solved)).astype(np.float32), names)
 
 
+def blank() -> Model:
+    """A model of one unnamed language, fitted on nothing: it only tells texts with letters from others."""
+    return Model(np.full(SIZE, -1, np.int32), np.zeros((0, 1), np.float32), [""])
+
+
 def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1
 

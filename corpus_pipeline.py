@@ -15,8 +15,8 @@ from boxloom.llm.queries import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language. Texts that are null or have no letter go."""
-    found = langid.identify(docs, langid.train(docs), keep=True, names=("__lang", "__score"))
+    """Documents with a known language. Texts that are null or have no letter go, and no others if there was nothing to learn from."""
+    found = langid.identify(docs, langid.train(docs) or langid.blank(), keep=True, names=("__lang", "__score"))
     return found.where(F.col("__lang") != "und").select(*docs.columns)
 
 

@@ -55,3 +55,10 @@ def test_rows_of_null_and_repeated_ids(spark, tmp_path):
     rows = [(None, words("a"), "en"), (None, words("b"), "en"), (5, words("b"), "en"), (5, words("c"), "en")]
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_contaminated(spark, docs_table(spark, rows), str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([(None, words("a")), (5, words("c"))], key=str)
+
+
+def test_language_stage_without_labels(spark, tmp_path):
+    rows = [(d, t, None) for d, t, _ in corpus()]
+    got = corpus_pipeline.identify_language(spark, docs_table(spark, rows), str(tmp_path)).collect()
+    want = [(d, t) for d, t, _ in rows if t and any(c.isalpha() for c in t)]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in got) == collections.Counter(want)
