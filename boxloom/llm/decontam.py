@@ -249,8 +249,8 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
     The benchmark is measured first. It is sent to the executors in parts of about `phrase_bytes`
     by the hash of the item; with more than one part the spans of a row are merged afterwards.
     Null or empty documents have no words and no spans; items without words or with a null id
-    have no window; an empty benchmark gives no spans. Repeated rows give repeated result rows
-    (with more than one part, equal rows of one id give one).
+    have no window; an empty benchmark gives no spans. Repeated rows give repeated result rows: every
+    part finds the same in equal rows, so they are merged as one, counted, and given out that often.
     """
     items = bench.select(F.col(item).alias("i"), F.col(item_text).alias("t")).where("t is not null")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -261,7 +261,7 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
         one = _scan(docs, key, text, Phrases.of(((r["i"], r["t"]) for r in rows), window))
         out = one if out is None else out.union(one)
     if parts > 1:
-        apart = F.array_sort(F.flatten(F.collect_list("spans")))
+        apart = F.array_sort(F.flatten(F.collect_set("spans")))
 
         def join(done, span):
             last = F.element_at(done, -1)
@@ -269,9 +269,11 @@ def contamination(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text:
             grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], span["last"]).alias("last"))))
             return F.when(F.size(done) == 0, F.array(span)).when(touches, grown).otherwise(F.concat(done, F.array(span)))
 
-        out = out.groupBy(key, "__row").agg(F.max("n_words").alias("n_words"), apart.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = out.groupBy(key, "__row").agg(F.max("n_words").alias("n_words"), apart.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+                                         (F.count(F.lit(1)) / parts).cast("bigint").alias("__copies"))
         empty = F.array().cast("array<struct<first:bigint,last:bigint>>")
         out = out.withColumn("spans", F.when(F.size("spans") == 0, empty).otherwise(F.aggregate(F.slice("spans", 2, F.greatest(F.size("spans"), F.lit(1))), F.slice("spans", 1, 1), join)))
+        out = out.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))).drop("__copies")
     return out.drop("__row")
 
 

@@ -442,6 +442,16 @@ def test_contamination(spark, phrase_bytes):
     assert empty.where("size(spans) > 0").count() == 0 and empty.count() == len(rows)
 
 
+@pytest.mark.parametrize("phrase_bytes", [1 << 24, 40])
+def test_contamination_of_repeated_rows(spark, phrase_bytes):
+    """Equal rows give one result row each, however many parts the benchmark has."""
+    items = [(1, BASE), (2, "Water, green."), (7, BASE + " tail words here"), (8, "water green")]
+    rows = [(60, BASE, "en")] * 3 + [(60, "other text", "en"), (None, "no words of it", "en"), (None, "no words of it", "en"), (None, BASE, "en")]
+    found = decontam.verdicts(decontam.contamination(docs_table(spark, rows), spark.createDataFrame(items, "item_id long, text string"), phrase_bytes=phrase_bytes)).collect()
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in found)
+    assert got == brute_contamination(rows, items)
+
+
 def test_fm_index_against_a_scan():
     rng = np.random.default_rng(7)
     for size, n in ((3, 400), (40, 3000), (2, 1)):
