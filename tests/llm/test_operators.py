@@ -269,6 +269,20 @@ def test_katz(spark, most):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_katz_keeps_every_word(spark):
+    """Words that do not fit the table of the executors count like all others, alone or next to each other."""
+    rng = random.Random(8)
+    rows = [(d, t, lang) for d, t, lang in corpus() if d is not None and d != 67]
+    rows += [(500 + i, " ".join(f"r{int(rng.paretovariate(0.6)) % 60}" for _ in range(30)), "en") for i in range(40)]
+    df = docs_table(spark, rows)
+    held = katz.held_out(F.col("doc_id"))
+    read = lambda **kw: sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in katz.katz_scores(df, held, **kw).collect())
+    whole = read()
+    for limits in ({"frequent": 0}, {"frequent": 4}, {"frequent": 20}, {"most": 1 << 18}):
+        for a, b in zip(read(**limits), whole, strict=True):
+            assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
+
+
 def test_katz_without_training(spark):
     df = docs_table(spark, [(1, "a b", "en"), (None, None, None)])
     got = katz.katz_scores(df, F.lit(True)).collect()
