@@ -521,7 +521,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, least: int, pairs: Da
                 heavy[at_rare] = True  # they go apart
                 kept.append(every[~heavy])
                 rare.append(hashes[other] if pooled else hashes[:0])
-                size += len(every)
+                size += len(every) + 4 * len(at_rare)  # what is held of a rare one takes five times the room
                 if size > BLOCK_TOKENS:
                     yield from blocks()
                     chunk, size, kept, rare, apart = chunk + 1, 0, [], [], []
