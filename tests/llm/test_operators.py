@@ -149,6 +149,16 @@ def test_main_text(spark):
     assert html.main_texts(df.limit(0)).count() == 0
 
 
+def test_template_outlives_odd_pages(spark):
+    """Empty, cut and error pages leave the template of a host, and constant blocks go though a word of them is said twice."""
+    notice = "<p>the shop and the site and the offer</p>"
+    rows = [(i, f"http://d.example/{i}", f"<html><body><div class='top'>Host of the host</div><div class='c1'><p>text {i} and the more{i}</p>{notice}<p>the end {i}</p></div></body></html>") for i in range(30)]
+    rows += [(100, "http://d.example/e", "<html><body><p>Error 404 of the page"), (101, "http://d.example/n", None), (102, "http://d.example/m", ""), (103, "http://d.example/c", "<html><body><div class='top'>Host of")]
+    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: got[i] for i in range(30)} == {i: f"text {i} and the more{i} the end {i}" for i in range(30)}
+    assert (got[100], got[101], got[102]) == ("Error 404 of the page", "", "")
+
+
 # 4
 
 def test_shards(spark):
