@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import ann, decontam, html, katz, langid, pieces, sharding, simhash, tokens, warc
+from boxloom.llm import ann, decontam, dialogue, html, katz, langid, pieces, sharding, simhash, tokens, warc
 from boxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_fm_index")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.verdicts(decontam.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query("op11_dialogue_repair")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.damaged_repairs(table(spark, folder, "conversations"))
