@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from boxloom.llm.common import arrow, stored
 
-SEGMENT = 256  # rows that are searched at once
+SEGMENT = 128  # rows that are searched at once
 FAN = 256  # segments, or groups of segments, that are chained at once
 SPACES = " \t\n\x0b\x0c\r"  # fixed: [\x20\x09-\x0D]
 
@@ -64,23 +64,36 @@ def cheapest(rows: str, entry: int = START, end: int = END) -> tuple[int, str] |
     n = len(rows)
     kinds = [(ord(c) - FIRST_CODE) % 4 for c in rows]
     faults = [(ord(c) - FIRST_CODE) // 4 for c in rows]
-    # what the rest costs at least: its deletions, its truncated rows, and one for every pair of neighbours
-    # that cannot stay as they are; an edit of cost 2 mends two pairs at most
+    # What the rest costs at least: its deletions, its truncated rows, and two for every two of a chain of
+    # neighbours that cannot stay as they are. An edit mends two neighbourhoods only if both are of the row
+    # it changes, and none makes the sum over the chains smaller by more than two. Behind the last row
+    # stands the end, if it must be reached.
     after = [-1] * (n + 1)  # next row that may stay
-    pairs = [0] * (n + 1)
     fixed = [0] * (n + 1)
+    chain, rest = [0] * (n + 1), [0] * (n + 1)  # wrong neighbourhoods in a row from here on, and what those behind them cost
     for i in range(n - 1, -1, -1):
         gone = faults[i] >= BLANK
         after[i] = after[i + 1] if gone else i
         fixed[i] = fixed[i + 1] + (3 if gone else faults[i])
         behind = after[i + 1]
-        pairs[i] = pairs[i + 1] if gone else (pairs[behind] + ((kinds[i], kinds[behind]) not in _LEGAL) if behind >= 0 else 0)
+        if not gone and (end == END and kinds[i] != 2 if behind < 0 else (kinds[i], kinds[behind]) not in _LEGAL):
+            chain[i], rest[i] = 1 + chain[behind], rest[behind]
+        elif not gone:
+            rest[i] = rest[behind] + (chain[behind] + 1) // 2 * 2
+
+    system = [UNREACHED] * (n + 1)  # all rows from here on deleted but one system row
+    for i in range(n - 1, -1, -1):
+        system[i] = min(3 + system[i + 1], faults[i] + 3 * (n - i - 1) if kinds[i] == 0 and faults[i] < BLANK else UNREACHED)
 
     def least(i: int, state: int) -> int:
+        if end <= SYSTEM and state != START:  # before a user row there is nothing or a system row, so the rest goes
+            return 3 * (n - i) if state == end else UNREACHED
+        if end <= SYSTEM:
+            return 3 * (n - i) if end == START else system[i]
         j = after[i]
         if j < 0:
-            return fixed[i] + (end == END and state in (SYSTEM, USER))
-        return fixed[i] + pairs[j] + ((state, kinds[j]) not in _KEEP)
+            return fixed[i] + 2 * (end == END and state in (SYSTEM, USER))
+        return fixed[i] + rest[j] + (chain[j] + ((state, kinds[j]) not in _KEEP) + 1) // 2 * 2
 
     def moves(i: int, state: int):
         """(edit, cost, next row, next state) in ASCII order of D, I, K, R."""
@@ -104,10 +117,10 @@ def cheapest(rows: str, entry: int = START, end: int = END) -> tuple[int, str] |
         script: list[str] = []
         path = [(0, entry, bound, moves(0, entry))]
         while path:
-            i, state, budget, rest = path[-1]
+            i, state, budget, edits = path[-1]
             if i == n and (state == end or end == END and state in (START, ASSISTANT)):
                 return bound - budget, "".join(script)
-            for edit, cost, j, to in rest:
+            for edit, cost, j, to in edits:
                 left = budget - cost
                 need = least(j, to)
                 if left < need:
