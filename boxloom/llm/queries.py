@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import ann, decontam, dialogue, html, katz, langid, pieces, sharding, simhash, tokens, warc
+from boxloom.llm import ann, decontam, dialogue, html, katz, langid, lexical, pieces, sharding, simhash, tokens, warc
 from boxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,24 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_dialogue_repair")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return dialogue.damaged_repairs(table(spark, folder, "conversations"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SPELT = f"translate(unnest(regexp_extract_all(text, '{_TERM}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+RANKED_SQL = f"""
+WITH words AS (SELECT doc_id, row_number() OVER () AS d, text FROM documents),
+terms AS (SELECT d, doc_id, {_SPELT} AS term FROM words),
+tf AS (SELECT d, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT d, count(*) AS n FROM terms GROUP BY d),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+items AS (SELECT DISTINCT i, item_id, term FROM (SELECT i, item_id, {_SPELT} AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark))),
+scores AS (SELECT i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (d), whole GROUP BY ALL),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50"""
+
+
+@query("op12_blocked_ranking", RANKED_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
