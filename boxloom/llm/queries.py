@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm import ann, decontam, dialogue, html, katz, langid, lexical, pieces, sharding, simhash, tokens, warc
+from boxloom.llm import ann, decontam, dialogue, html, katz, langid, lexical, pieces, quality, sharding, simhash, tokens, warc
 from boxloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,10 @@ SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50"""
 @query("op12_blocked_ranking", RANKED_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_neighbour_quality")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = quality.scored(docs, quality.train(docs, table(spark, folder, "labels")))
+    return found.select("doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
