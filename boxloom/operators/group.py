@@ -12,7 +12,7 @@ from boxloom.functions import geometry as geo
 from boxloom.functions.staging import staged
 from boxloom.operators.graph import component_labels
 from boxloom.operators.ranking import split_row_number
-from boxloom.session import materialise
+from boxloom.session import materialise, stored
 
 PAGE = ("book_id", "page")
 SIDES = ("l", "t", "r", "b")
@@ -44,34 +44,101 @@ class MergeRules:
     vertical_top_delta: float = 32
 
 
-def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], match: Column,
-               reach_x: float = 0, reach_y: float = 0, cell: int = 512) -> DataFrame:
-    """Join regions of `left` (alias a) and `right` (alias b) that can be within reach.
+CROWDED = 1024  # boxes of both sides of a page from which on its pairs are searched through cells
+BLOCK = 256  # boxes of a side that meet in one join key
 
-    Both sides are spread over grid cells, so one page is split over many tasks. A pair is
-    kept only in the cell that holds the corner of its common area, hence exactly once.
-    `match` must be false for regions further apart than the reach.
-    """
-    half_x, half_y = reach_x / 2.0, reach_y / 2.0
 
-    def cell_of(value: Column) -> Column:
-        # everything left of or above the page belongs to the first cell
-        return F.floor(F.greatest(value, F.lit(0)) / cell)
+def _usable() -> Column:
+    return F.coalesce((F.col("r") >= F.col("l")) & (F.col("b") >= F.col("t")), F.lit(False))
 
-    def cells(low: str, high: str, half: float) -> Column:
-        return F.explode(F.sequence(cell_of(F.col(low) - half), cell_of(F.col(high) + half)))
 
-    def spread(df: DataFrame, tag: str) -> DataFrame:
-        usable = df.where((F.col("r") >= F.col("l")) & (F.col("b") >= F.col("t")))
-        return (usable.select("*", cells("l", "r", half_x).alias("cell_x"))
-                .select("*", cells("t", "b", half_y).alias("cell_y")).alias(tag))
+def bad_regions(boxes: DataFrame) -> DataFrame:
+    """Boxes that take no part in a pair search, with `code`: a side is missing, or right of or below its opposite."""
+    missing = F.col("l").isNull() | F.col("t").isNull() | F.col("r").isNull() | F.col("b").isNull()
+    code = F.when(missing, "missing_side").otherwise("inverted")
+    return boxes.where(~_usable()).select("*", code.alias("code"))
 
+
+def near_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], match: Column,
+               reach_x: float = 0, reach_y: float = 0, cell: int = 16, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+    """Join regions of `left` (alias a) and `right` (alias b) that can be within reach.
+
+    `match` must be false for regions further apart than the reach. Regions that `bad_regions` names
+    take no part. Pages with up to `crowded` regions are joined as they are; their pairs per page are
+    bounded. The others go through cells made from their boxes (`cell_pairs`), whatever the number,
+    the size and the place of these.
+    """
+    a, b = left.where(_usable()), right.where(_usable())
     on = match
-    for key in [*keys, "cell_x", "cell_y"]:
+    for key in keys:
         on = on & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    home = ((cell_of(F.greatest("a.l", "b.l") - half_x) == F.col("a.cell_x"))
-            & (cell_of(F.greatest("a.t", "b.t") - half_y) == F.col("a.cell_y")))
-    return spread(left, "a").join(spread(right, "b"), on & home, "inner")
+    counts = a.select(*keys).unionAll(b.select(*keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = stored(counts.where(F.col("__n") > crowded).select(*keys))
+    if hot.limit(1).count() == 0:
+        return a.alias("a").join(b.alias("b"), on, "inner")
+    few = a.join(hot, list(keys), "left_anti").alias("a").join(b.join(hot, list(keys), "left_anti").alias("b"), on, "inner")
+    cells = cell_pairs(stored(a.join(hot, list(keys), "left_semi")), stored(b.join(hot, list(keys), "left_semi")), keys, reach_x, reach_y, cell, block)
+    every = [f"{side}.{c}" for side, df in (("a", a), ("b", b)) for c in df.columns]
+    told = [F.col(c).alias(c.replace(".", "__", 1)) for c in every]
+    both = few.select(*told).unionByName(cells.where(on).select(*told))
+    pair = [F.struct(*[F.col(f"{side}__{c}").alias(c) for c in df.columns]).alias(side) for side, df in (("a", a), ("b", b))]
+    return both.select(*pair)
+
+
+def _side_cells(rows: DataFrame, levels: list[int], own: bool, reach_x: float, reach_y: float, cell: int) -> DataFrame:
+    """Every row in the cells it covers: of its own level, or of all higher ones."""
+    def span(low: str, high: str, reach: float) -> Column:
+        side = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+        at = lambda v: F.floor(F.greatest(v, F.lit(0)) / side)  # noqa: E731  what is left of or above the page belongs to the first cell
+        return F.sequence(at(F.col(low) - reach / 2.0), at(F.col(high) + reach / 2.0))
+
+    known = F.array(*[F.lit(n) for n in levels])
+    places = F.array("own") if own else F.filter(known, lambda n: n > F.col("own"))
+    spread = rows.select("*", F.explode(places).alias("level"))
+    return spread.select("*", F.explode(span("l", "r", reach_x)).alias("cx")).select("*", F.explode(span("t", "b", reach_y)).alias("cy"))
+
+
+def cell_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], reach_x: float = 0, reach_y: float = 0,
+                cell: int = 16, block: int = BLOCK) -> list[tuple[DataFrame, DataFrame]]:
+    """Pairs of tables that meet on (keys, level, cx, cy, block_a, block_b), every two near boxes in at least one of them.
+
+    A box belongs to the level whose cells, sides doubling from level to level, are as large as
+    itself, so it covers four cells at most. Two boxes meet in the cells of the level of the larger
+    one: the boxes of a level meet those of its own and of all lower levels. Cells that hold more than `block` boxes of a
+    side are cut into blocks, and every block of one side meets every block of the other under a key
+    of its own, so no key has more than about `block` times `block` candidates.
+    """
+    size = F.greatest(F.col("r") - F.col("l") + F.lit(reach_x), F.col("b") - F.col("t") + F.lit(reach_y), F.lit(cell)).cast("double")
+    sized = [df.select("*", F.ceil(F.log2(size / F.lit(float(cell)))).cast("int").alias("own")) for df in (left, right)]
+    levels = sorted(r["own"] for r in sized[0].select("own").unionAll(sized[1].select("own")).distinct().collect())  # 64 at most
+    spread = lambda i, own: _side_cells(sized[i], levels, own, reach_x, reach_y, cell)
+    place = [*keys, "level", "cx", "cy"]
+    out = []
+    for a, b in ((spread(0, True), spread(1, True)), (spread(0, True), spread(1, False)), (spread(0, False), spread(1, True))):
+        n_a, n_b = (df.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)) for df, n in ((a, "n_a"), (b, "n_b")))
+        sizes = stored(n_a.join(n_b, place))
+        spot = lambda df: F.xxhash64(*[c for c in df.columns if c not in place])
+        a = a.withColumn("__at", spot(a)).join(sizes, place).withColumn("block_a", F.pmod("__at", "n_a")).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
+        b = b.withColumn("__at", spot(b)).join(sizes, place).withColumn("block_b", F.pmod("__at", "n_b").cast("int")).withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)))
+        out.append((a.withColumn("block_a", F.col("block_a").cast("int")).drop("__at", "n_a", "n_b"), b.drop("__at", "n_a", "n_b")))
+    return out
+
+
+def cell_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], reach_x: float, reach_y: float, cell: int, block: int) -> DataFrame:
+    """Boxes (aliases a, b) that share a cell, each pair once: in the cell that holds the corner of their common area."""
+    def home(low: str, reach: float, at: str) -> Column:
+        side = F.lit(cell) * F.pow(F.lit(2.0), F.col("a.level"))
+        return F.floor(F.greatest(F.greatest(f"a.{low}", f"b.{low}") - reach / 2.0, F.lit(0)) / side) == F.col(f"a.{at}")
+
+    found = None
+    for a, b in cell_blocks(left, right, keys, reach_x, reach_y, cell, block):
+        on = home("l", reach_x, "cx") & home("t", reach_y, "cy")
+        for c in (*keys, "level", "cx", "cy", "block_a", "block_b"):
+            on = on & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+        pairs = a.alias("a").join(b.alias("b"), on).select(
+            F.struct(*[F.col(f"a.{c}").alias(c) for c in left.columns]).alias("a"), F.struct(*[F.col(f"b.{c}").alias(c) for c in right.columns]).alias("b"))
+        found = pairs if found is None else found.unionAll(pairs)
+    return found
 
 
 def pair_measures(a: geo.Region, b: geo.Region) -> dict[str, Column]:

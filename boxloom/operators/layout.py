@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,14 +14,12 @@ from boxloom.functions import geometry as geo
 from boxloom.functions import text as tx
 from boxloom.functions.staging import staged
 from boxloom.operators.answers import FILLS, _finish, answer_items, font_file
-from boxloom.operators.graph import component_labels
 from boxloom.operators.group import PAGE, SIDES, near_pairs
-from boxloom.operators.ranking import split_running
-from boxloom.session import materialise
+from boxloom.operators.ranking import position_block, split_running
+from boxloom.session import stored
 
 PLACED = ("pl", "pt", "pr", "pb")
 SOURCE = ("sl", "st", "sr", "sb")
-FOLD_PAIRS = 2000
 # Fixed values of the blocker pads: smallest, largest, ratio
 HARD_X, HARD_Y, SHADOW_Y = (2, 6, 0.05), (4, 8, 0.04), (24, 48, 0.22)
 SHADOW_WIDTH_MIN, SHADOW_WIDTH_RATIO = 18, 0.55
@@ -112,108 +111,95 @@ def separation(first: geo.Region, second: geo.Region) -> tuple[Column, Column, C
     return axis, F.when(apart, geo.half_even(middle / F.lit(2.0))), leads
 
 
+def _separate_pairs(placements: DataFrame) -> DataFrame:
+    """(book_id, page, u, v, axis, cut, u_first, ga, gb): overlapping placements whose source boxes are apart, and their regions."""
+    slim = placements.select(*PAGE, "boxno", *SOURCE, *[F.col(p).alias(s) for p, s in zip(PLACED, SIDES)])
+    axis, cut, leads = separation(_cols(SOURCE, "a"), _cols(SOURCE, "b"))
+    match = (F.col("a.boxno") < F.col("b.boxno")) & _overlap(geo.region("a"), geo.region("b"))
+    whole = [F.struct(*[F.col(f"{x}.{s}").cast("bigint").alias(s) for s in SIDES]).alias(f"g{x}") for x in "ab"]
+    return near_pairs(slim, slim, PAGE, match).select(
+        *[F.col(f"a.{k}").alias(k) for k in PAGE], F.col("a.boxno").alias("u"), F.col("b.boxno").alias("v"),
+        axis.alias("axis"), cut.alias("cut"), leads.alias("u_first"), *whole).where(F.col("axis").isNotNull())
+
+
 def overlap_pairs(placements: DataFrame) -> DataFrame:
     """Overlapping placements (u < v) whose source boxes are apart, with the cut between them.
 
     `placements`: book_id, page, boxno, pl..pb (placement), sl..sb (source box).
     """
-    slim = placements.select(*PAGE, "boxno", *SOURCE, *[F.col(p).alias(s) for p, s in zip(PLACED, SIDES)])
-    axis, cut, leads = separation(_cols(SOURCE, "a"), _cols(SOURCE, "b"))
-    match = (F.col("a.boxno") < F.col("b.boxno")) & _overlap(geo.region("a"), geo.region("b"))
-    pairs = near_pairs(slim, slim, PAGE, match)
-    return pairs.select(*[F.col(f"a.{k}").alias(k) for k in PAGE], F.col("a.boxno").alias("u"), F.col("b.boxno").alias("v"),
-                        axis.alias("axis"), cut.alias("cut"), leads.alias("u_first")).where(F.col("axis").isNotNull())
-
-
-def _cut_fold(part: DataFrame, pairs: DataFrame, comp: list[str]) -> DataFrame:
-    """Apply the cuts of small components in pair order, testing each overlap again."""
-    boxes = part.groupBy(*comp).agg(F.sort_array(F.collect_list(F.struct(
-        "boxno", *PLACED, F.lit(False).alias("adjusted")))).alias("boxes"))
-    cuts = pairs.groupBy(*comp).agg(F.sort_array(F.collect_list(F.struct("u", "v", "axis", "cut", "u_first"))).alias("cuts"))
-    both = boxes.join(cuts, comp).withColumn("names", F.transform("boxes", lambda x: x["boxno"]))
-    indexed = F.transform("cuts", lambda c: F.struct(
-        F.array_position("names", c["u"]).alias("x"), F.array_position("names", c["v"]).alias("y"),
-        (c["axis"] == "vertical").alias("down"), c["cut"].alias("cut"), c["u_first"].alias("u_first")))
-
-    def step(state: Column, c: Column) -> Column:
-        a, b = F.element_at(state, c["x"].cast("int")), F.element_at(state, c["y"].cast("int"))
-        hit = _overlap(geo.Region(*[a[n] for n in PLACED]), geo.Region(*[b[n] for n in PLACED]))
-
-        def moved(e: Column, i: Column) -> Column:
-            lead = ((i + 1) == c["x"]) == c["u_first"]
-            down = c["down"]
-            return F.struct(
-                e["boxno"].alias("boxno"),
-                F.when(~lead & ~down, F.greatest(e["pl"], c["cut"])).otherwise(e["pl"]).alias("pl"),
-                F.when(~lead & down, F.greatest(e["pt"], c["cut"])).otherwise(e["pt"]).alias("pt"),
-                F.when(lead & ~down, F.least(e["pr"], c["cut"])).otherwise(e["pr"]).alias("pr"),
-                F.when(lead & down, F.least(e["pb"], c["cut"])).otherwise(e["pb"]).alias("pb"),
-                F.lit(True).alias("adjusted"))
-
-        return F.when(hit, F.transform(state, lambda e, i: F.when(
-            ((i + 1) == c["x"]) | ((i + 1) == c["y"]), moved(e, i)).otherwise(e))).otherwise(state)
-
-    return (both.select(*PAGE, F.explode(F.aggregate(indexed, F.col("boxes"), step)).alias("e"))
-            .select(*PAGE, "e.boxno", *[F.col(f"e.{n}").alias(n) for n in PLACED], "e.adjusted"))
-
-
-def _cut_rounds(regions: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The same cuts for components of any size: a round applies every pair that is the first
-    open one of both its boxes, and drops pairs that no longer overlap (cuts only shrink)."""
-    regions = materialise(regions.select(*PAGE, "boxno", *PLACED).withColumn("adjusted", F.lit(False)))
-    pairs = materialise(pairs)
-    rank = F.struct("u", "v")
-    while True:
-        here = regions.select(*PAGE, "boxno", F.struct(*PLACED).alias("g"))
-        live = (pairs.join(here.select(*PAGE, F.col("boxno").alias("u"), F.col("g").alias("ga")), [*PAGE, "u"])
-                .join(here.select(*PAGE, F.col("boxno").alias("v"), F.col("g").alias("gb")), [*PAGE, "v"]))
-        live = materialise(live.where(_overlap(geo.Region(*[F.col(f"ga.{n}") for n in PLACED]),
-                                               geo.Region(*[F.col(f"gb.{n}") for n in PLACED]))).select(*pairs.columns))
-        if live.limit(1).count() == 0:
-            return regions
-        ends = live.select(*PAGE, F.col("u").alias("n"), rank.alias("k")).unionByName(
-            live.select(*PAGE, F.col("v").alias("n"), rank.alias("k")))
-        head = ends.groupBy(*PAGE, "n").agg(F.min("k").alias("k"))
-        ready = materialise(
-            live.join(head.select(*PAGE, F.col("n").alias("u"), F.col("k").alias("ku")), [*PAGE, "u"])
-            .join(head.select(*PAGE, F.col("n").alias("v"), F.col("k").alias("kv")), [*PAGE, "v"])
-            .where((F.col("ku") == rank) & (F.col("kv") == rank)).select(*pairs.columns))
-        lead, follow = F.when(F.col("u_first"), F.col("u")).otherwise(F.col("v")), F.when(F.col("u_first"), F.col("v")).otherwise(F.col("u"))
-        cuts = ready.select(*PAGE, lead.alias("boxno"), "axis", "cut", F.lit(True).alias("lead")).unionByName(
-            ready.select(*PAGE, follow.alias("boxno"), "axis", "cut", F.lit(False).alias("lead")))
-        up = F.col("axis") == "vertical"
-        regions = materialise(regions.join(cuts, [*PAGE, "boxno"], "left").select(
-            *PAGE, "boxno",
-            F.when(~F.col("lead") & ~up, F.greatest("pl", "cut")).otherwise(F.col("pl")).alias("pl"),
-            F.when(~F.col("lead") & up, F.greatest("pt", "cut")).otherwise(F.col("pt")).alias("pt"),
-            F.when(F.col("lead") & ~up, F.least("pr", "cut")).otherwise(F.col("pr")).alias("pr"),
-            F.when(F.col("lead") & up, F.least("pb", "cut")).otherwise(F.col("pb")).alias("pb"),
-            (F.col("adjusted") | F.col("cut").isNotNull()).alias("adjusted")))
-        pairs = live.join(ready.select(*PAGE, "u", "v"), [*PAGE, "u", "v"], "left_anti")
-
-
-def resolve_overlaps(placements: DataFrame, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
-    """Split overlapping placements between separate source boxes, in pair order."""
-    pairs = materialise(overlap_pairs(placements))
-    labels = materialise(component_labels(pairs.select(*PAGE, "u", "v"), PAGE, stored=True))
-    comp = [*PAGE, "label"]
-    named = labels.withColumnRenamed("node", "boxno")
-    part = placements.select(*PAGE, "boxno", *[F.col(c).cast("bigint").alias(c) for c in PLACED]).join(named, [*PAGE, "boxno"])
-    keyed = pairs.join(labels.withColumnRenamed("node", "u"), [*PAGE, "u"])
-    large = keyed.groupBy(*comp).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_pairs).select(*comp)
-    has_large = large.limit(1).count() > 0
-    small_part, small_pairs = part, keyed
-    if has_large:
-        large = materialise(large)
-        small_part, small_pairs = part.join(large, comp, "left_anti"), keyed.join(large, comp, "left_anti")
-    moved = _cut_fold(small_part, small_pairs, comp)
-    if has_large:
-        moved = moved.unionByName(_cut_rounds(part.join(large, comp, "left_semi"),
-                                              keyed.join(large, comp, "left_semi").drop("label")))
-    fresh = moved.select(*PAGE, "boxno", *[F.col(n).alias(f"n_{n}") for n in PLACED], "adjusted")
-    return placements.join(fresh, [*PAGE, "boxno"], "left").select(
+    return _separate_pairs(placements).drop("ga", "gb")
+
+
+PAIRS_OF_A_TASK = 1024  # box numbers of a bucket of the running cuts
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Both ends of every pair, with what its cut would do to that box: the least cut of each side, left and
+    top with a minus. The pairs of a box in pair order are those in the order of `other`."""
+    down = F.col("axis") == "vertical"
+    whole = [c for c in pairs.columns if c not in (*PAGE, "u", "v")]
+
+    def end(n: str, other: str, region: str, leads: Column) -> Column:
+        return F.struct(F.col(n).alias("n"), F.col(other).alias("other"), F.col(region).alias("g"),
+                        F.when(~leads & ~down, -F.col("cut")).alias("l"), F.when(~leads & down, -F.col("cut")).alias("t"),
+                        F.when(leads & ~down, F.col("cut")).alias("r"), F.when(leads & down, F.col("cut")).alias("b"))
+
+    both = F.explode(F.array(end("u", "v", "ga", F.col("u_first")), end("v", "u", "gb", ~F.col("u_first")))).alias("e")
+    return pairs.select(*PAGE, F.struct(*whole).alias("pair"), both).select(*PAGE, "pair", "e.*")
+
+
+def _cut_to(g: str, cuts: Sequence[str]) -> Column:
+    l, t, r, b = (F.col(c) for c in cuts)
+    sides = (F.greatest(f"{g}.l", -l), F.greatest(f"{g}.t", -t), F.least(f"{g}.r", r), F.least(f"{g}.b", b))
+    return F.struct(*[c.cast("bigint").alias(n) for c, n in zip(sides, SIDES)])
+
+
+def _hits(pairs: DataFrame, buckets: bool) -> DataFrame:
+    """`pairs` with `hit` as it follows from the `hit` of the pairs before them, and `was`.
+
+    A box before a pair is its region within the least cuts of its earlier pairs that hit: running
+    minima. With `buckets` a box of any number of pairs takes them bucket by bucket.
+    """
+    cuts = [f"cut_{s}" for s in SIDES]
+    ends = _ends(pairs)
+    mins = {c: F.when(F.col("pair.hit"), F.col(s)) for c, s in zip(cuts, SIDES)}
+    if buckets:
+        run = split_running(ends, [*PAGE, "n"], [F.col("other")], position_block(F.col("other"), PAIRS_OF_A_TASK), mins=mins, include_current=False)
+    else:
+        earlier = Window.partitionBy(*PAGE, "n").orderBy("other").rowsBetween(Window.unboundedPreceding, -1)
+        run = ends.select("*", *[F.min(m).over(earlier).alias(c) for c, m in mins.items()])
+    now = run.select(*PAGE, F.least("n", "other").alias("u"), F.greatest("n", "other").alias("v"), "pair",
+                     F.when(F.col("n") < F.col("other"), _cut_to("g", cuts)).alias("a"), F.when(F.col("n") > F.col("other"), _cut_to("g", cuts)).alias("b"))
+    both = now.groupBy(*PAGE, "u", "v").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.first("pair").alias("pair"))
+    kept = [f"pair.{c}" for c in pairs.columns if c not in (*PAGE, "u", "v", "hit")]
+    return both.select(*PAGE, "u", "v", *kept, F.col("pair.hit").alias("was"), _overlap(geo.region("a"), geo.region("b")).alias("hit"))
+
+
+def resolve_overlaps(placements: DataFrame) -> DataFrame:
+    """Split overlapping placements between separate source boxes, in pair order.
+
+    Whether a pair still overlaps when its turn comes depends on the cuts of earlier pairs of its
+    boxes. All pairs are taken to overlap at first, and all are then tested again at once: too many
+    cuts before a pair make it miss, too few make it hit, so the true hits lie between every two rounds
+    in a row and are found when a round changes nothing. A round settles at least the next pair of
+    every chain, mostly far more, and pages without a change are done. One way for pages of any size.
+    """
+    pairs = stored(_separate_pairs(placements).withColumn("hit", F.lit(True)))
+    most = pairs.agg(F.max(F.greatest("v", -F.col("u")))).first()[0] or 0
+    parts, changed = [], True
+    while changed:
+        tested = stored(_hits(pairs, most >= PAIRS_OF_A_TASK))
+        moved = tested.where("hit <> was").select(*PAGE).distinct()
+        changed = moved.limit(1).count() > 0
+        parts.append((tested.join(moved, list(PAGE), "left_anti") if changed else tested).drop("was"))
+        pairs = tested.join(moved, list(PAGE), "left_semi").drop("was")
+    done = reduce(DataFrame.unionByName, parts)
+    cuts = _ends(done).where("pair.hit").groupBy(*PAGE, F.col("n").alias("boxno")).agg(
+        F.first("g").alias("g"), *[F.min(s).alias(f"cut_{s}") for s in SIDES])
+    cuts = cuts.select(*PAGE, "boxno", _cut_to("g", [f"cut_{s}" for s in SIDES]).alias("moved"))
+    return placements.join(cuts, [*PAGE, "boxno"], "left").select(
         *[c for c in placements.columns if c not in PLACED],
-        *[F.coalesce(f"n_{n}", n).alias(n) for n in PLACED], F.coalesce("adjusted", F.lit(False)).alias("adjusted"))
+        *[F.coalesce(f"moved.{s}", n).alias(n) for s, n in zip(SIDES, PLACED)], F.col("moved").isNotNull().alias("adjusted"))
 
 
 # blockers --------------------------------------------------------------------------------

@@ -91,22 +91,17 @@ def test_components(spark, fold_edges):
     assert got == {k: find(k)[1] for k in parent}
 
 
-@pytest.mark.parametrize("fold_pairs", [2000, 0])
-def test_overlaps_are_cut_in_pair_order(spark, fold_pairs):
-    rng = random.Random(11)
-    rows = []
-    for page in range(2):
-        for n in range(5):
-            l, t = rng.randrange(0, 70), rng.randrange(0, 70)
-            w, h = rng.randrange(5, 25), rng.randrange(5, 25)
-            rows.append(("b", page, n, l, t, l + w, t + h, max(0, l - 20), max(0, t - 20), l + w + 20, t + h + 20))
-    schema = "book_id string, page bigint, boxno bigint, sl bigint, st bigint, sr bigint, sb bigint, pl bigint, pt bigint, pr bigint, pb bigint"
-    got = {(r.page, r.boxno): (r.pl, r.pt, r.pr, r.pb) for r in layout.resolve_overlaps(spark.createDataFrame(rows, schema), fold_pairs=fold_pairs).collect()}
+PLACED = "book_id string, page bigint, boxno bigint, sl bigint, st bigint, sr bigint, sb bigint, pl bigint, pt bigint, pr bigint, pb bigint"
+
+
+def plain_cuts(rows):
+    """Regions after the cuts of all pairs of a page, one pair after the other."""
     want = {(r[1], r[2]): list(r[7:]) for r in rows}
     source = {(r[1], r[2]): r[3:7] for r in rows}
-    for page in range(2):
-        for i in range(5):
-            for j in range(i + 1, 5):
+    for page in {r[1] for r in rows}:
+        numbers = sorted(n for p, n in want if p == page)
+        for i in numbers:
+            for j in (n for n in numbers if n > i):
                 a, c, s, z = want[page, i], want[page, j], source[page, i], source[page, j]
                 if min(a[2], c[2]) <= max(a[0], c[0]) or min(a[3], c[3]) <= max(a[1], c[1]):
                     continue
@@ -117,7 +112,20 @@ def test_overlaps_are_cut_in_pair_order(spark, fold_pairs):
                 (lead, ls), (follow, fs) = ((a, s), (c, z)) if s[k] <= z[k] else ((c, z), (a, s))
                 cut = round((ls[k + 2] + fs[k]) / 2)
                 lead[k + 2], follow[k] = min(lead[k + 2], cut), max(follow[k], cut)
-    assert got == {k: tuple(v) for k, v in want.items()}
+    return {k: tuple(v) for k, v in want.items()}
+
+
+def test_overlaps_are_cut_in_pair_order(spark):
+    rng = random.Random(11)
+    rows = []
+    for page in range(2):
+        for n in range(5):
+            l, t = rng.randrange(0, 70), rng.randrange(0, 70)
+            w, h = rng.randrange(5, 25), rng.randrange(5, 25)
+            rows.append(("b", page, n, l, t, l + w, t + h, max(0, l - 20), max(0, t - 20), l + w + 20, t + h + 20))
+    schema = "book_id string, page bigint, boxno bigint, sl bigint, st bigint, sr bigint, sb bigint, pl bigint, pt bigint, pr bigint, pb bigint"
+    got = {(r.page, r.boxno): (r.pl, r.pt, r.pr, r.pb) for r in layout.resolve_overlaps(spark.createDataFrame(rows, schema)).collect()}
+    assert got == plain_cuts(rows)
 
 
 @pytest.mark.parametrize("block", [4096, 12])
@@ -161,3 +169,57 @@ def test_pairs_across_grid_cells_are_found_once(spark):
     got = sorted((r.x, r.y) for r in group.near_pairs(frame, frame, group.PAGE, match, cell=32).select(
         F.col("a.boxno").alias("x"), F.col("b.boxno").alias("y")).collect())
     assert got == sorted((a[2], c[2]) for a in rows for c in rows if a[2] < c[2] and a[5] >= c[3] and c[5] >= a[3] and a[6] >= c[4] and c[6] >= a[4])
+
+
+def plain_pairs(rows, reach=(0, 0)):
+    return sorted((a[2], c[2]) for a in rows for c in rows if a[2] < c[2] and max(a[3], c[3]) - min(a[5], c[5]) <= reach[0] and max(a[4], c[4]) - min(a[6], c[6]) <= reach[1])
+
+
+@pytest.mark.parametrize("crowded", [0, 40, 1024])
+def test_pairs_of_boxes_of_every_size(spark, crowded):
+    rng = random.Random(9)
+    rows = []
+    for n in range(150):
+        side = rng.choice([0, 1, 5, 20, 60, 300, 4000])
+        l, t = rng.randrange(-50, 500), rng.randrange(-50, 500)
+        rows.append(("b", 0, n, l, t, l + rng.randint(0, side), t + rng.randint(0, side), 0.5, "", False))
+    rows += [("b", 0, 200, 0, 0, 100_000_000, 100_000_000, 0.5, "", False), ("b", 1, 0, 0, 0, 9, 9, 0.5, "", False), ("b", 1, 1, 9, 9, 20, 20, 0.5, "", False)]
+    bad = [("b", 0, 300, 9, 0, 3, 5, 0.5, "", False), ("b", 0, 301, 9, 0, None, 5, 0.5, "", False)]
+    frame = spark.createDataFrame(rows + bad, BOX)
+    a, c = group.geo.region("a"), group.geo.region("b")
+    match = (F.col("a.boxno") < F.col("b.boxno")) & (group.geo.x_gap(a, c) <= 7) & (group.geo.y_gap(a, c) <= 3)
+    out = group.near_pairs(frame, frame, group.PAGE, match, 7, 3, crowded=crowded, block=8).select(F.col("a.page").alias("p"), F.col("a.boxno").alias("x"), F.col("b.boxno").alias("y")).collect()
+    for page in (0, 1):
+        assert sorted((r.x, r.y) for r in out if r.p == page) == plain_pairs([r for r in rows if r[1] == page], (7, 3))
+    assert sorted((r.boxno, r.code) for r in group.bad_regions(frame).collect()) == [(300, "inverted"), (301, "missing_side")]
+
+
+@pytest.mark.parametrize("layout_of_boxes", ["spread", "one place", "one large"])
+def test_no_key_of_a_crowded_page_holds_many_candidates(spark, layout_of_boxes):
+    n = F.col("id")
+    if layout_of_boxes == "spread":
+        l, t, side = n * 7919 % 2000, n * 104729 % 3000, 4 + n % 9
+    elif layout_of_boxes == "one place":
+        l, t, side = n % 3, n % 2, F.lit(10)
+    else:
+        l, t, side = n * 7919 % 2000, n * 104729 % 3000, F.when(n == 0, 5000).otherwise(5)
+    count = 100_000 if layout_of_boxes != "one place" else 5_000
+    boxes = spark.range(count).select(F.lit("b").alias("book_id"), F.lit(0).alias("page"), n.alias("boxno"), l.alias("l"), t.alias("t"), (l + side).alias("r"), (t + side).alias("b"))
+    keys = [*group.PAGE, "level", "cx", "cy", "block_a", "block_b"]
+    total = most = 0
+    for a, b in group.cell_blocks(boxes, boxes, group.PAGE):
+        met = a.groupBy(*keys).count().withColumnRenamed("count", "x").join(b.groupBy(*keys).count(), keys)
+        row = met.agg(F.sum(F.col("x") * F.col("count")).alias("s"), F.max(F.col("x") * F.col("count")).alias("m")).first()
+        total, most = total + (row.s or 0), max(most, row.m or 0)
+    assert most <= 0.02 * total
+    assert total < {"spread": 40_000_000, "one place": 5_000 ** 2 * 5, "one large": 40_000_000}[layout_of_boxes]
+
+
+def test_a_box_that_overlaps_two_thousand_is_cut_in_pair_order(spark):
+    rng = random.Random(6)
+    rows = [("b", 0, 1000, 4000, 4000, 4050, 4050, 0, 0, 9000, 9000)]
+    for n in [*range(1000), *range(1001, 2001)]:
+        l, t = rng.randrange(0, 8900), rng.randrange(0, 8900)
+        rows.append(("b", 0, n, l, t, l + 20, t + 20, max(0, l - 60), max(0, t - 60), l + 80, t + 80))
+    out = layout.resolve_overlaps(spark.createDataFrame(rows, PLACED))
+    assert {(r.page, r.boxno): (r.pl, r.pt, r.pr, r.pb) for r in out.collect()} == plain_cuts(rows)
