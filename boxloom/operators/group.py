@@ -189,7 +189,7 @@ def merge_rule(m: dict[str, Column], rules: MergeRules = MergeRules()) -> dict[s
 def merge_candidates(boxes: DataFrame, rules: MergeRules = MergeRules(), node: str = "boxno") -> DataFrame:
     """Pairs (u < v) of boxes of a page that belong together, with the rules that say so."""
     a, b = geo.region("a"), geo.region("b")
-    slim = boxes.select(*PAGE, node, *SIDES)
+    slim = stored(boxes.select(*PAGE, node, *SIDES))  # read three times
     reach_x, reach_y = max(rules.side_gap_max, rules.vertical_gap), rules.stack_gap_max
     near = ((F.col(f"a.{node}") < F.col(f"b.{node}")) & (geo.x_gap(a, b) <= reach_x) & (geo.y_gap(a, b) <= reach_y))
     pairs = near_pairs(slim, slim, PAGE, near, reach_x, reach_y).select(

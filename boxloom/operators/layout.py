@@ -113,7 +113,7 @@ def separation(first: geo.Region, second: geo.Region) -> tuple[Column, Column, C
 
 def _separate_pairs(placements: DataFrame) -> DataFrame:
     """(book_id, page, u, v, axis, cut, u_first, ga, gb): overlapping placements whose source boxes are apart, and their regions."""
-    slim = placements.select(*PAGE, "boxno", *SOURCE, *[F.col(p).alias(s) for p, s in zip(PLACED, SIDES)])
+    slim = stored(placements.select(*PAGE, "boxno", *SOURCE, *[F.col(p).alias(s) for p, s in zip(PLACED, SIDES)]))  # read three times
     axis, cut, leads = separation(_cols(SOURCE, "a"), _cols(SOURCE, "b"))
     match = (F.col("a.boxno") < F.col("b.boxno")) & _overlap(geo.region("a"), geo.region("b"))
     whole = [F.struct(*[F.col(f"{x}.{s}").cast("bigint").alias(s) for s in SIDES]).alias(f"g{x}") for x in "ab"]
