@@ -101,19 +101,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     """(query_id, rank, vec_id, score): the `k` nearest rows found for every query, by cosine.
 
     Rows whose vector is null, zero, empty or holds a null or non-finite component take no part,
-    neither does a row of another length than the first. A query is not its own neighbour; ties go
+    neither does a row of another length than most have (of lengths as frequent, the smallest). A query is not its own neighbour; ties go
     to the smaller key. Repeated rows count once. A query for which the files held fewer than `k`
     rows is searched against all rows, in blocks.
     """
     spark = vectors.sparkSession
     rows = vectors.where(_usable(vec)).select(F.col(key).alias("id"), F.col(vec).alias("vec")).where("id is not null")
     asked = queries.where(_usable(vec)).select(F.col(key).alias("id"), F.col(vec).alias("vec")).where("id is not null")
+    lengths = rows.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
+    width = lengths["n"] if lengths else 0
+    rows, asked = rows.where(F.size("vec") == width), asked.where(F.size("vec") == width)
     chosen = fit_pivots(rows, "id", "vec", pivots)
     size = len(chosen)
     schema = "query_id bigint, vec_id bigint, score double"
     if not size:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    width, deep = chosen.shape[1], min(depth, size)
+    deep = min(depth, size)
     shared = spark.sparkContext.broadcast(chosen)
 
     def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
 
     def index(df: DataFrame) -> DataFrame:
         kind = df.schema["id"].dataType.simpleString()
-        return arrow(df.where(F.size("vec") == width), ordered, f"id {kind}, vec {df.schema['vec'].dataType.simpleString()}, perm array<smallint>")
+        return arrow(df, ordered, f"id {kind}, vec {df.schema['vec'].dataType.simpleString()}, perm array<smallint>")
 
     ranked = stored(index(rows), "orders")
     found_queries = stored(index(asked), "queries")

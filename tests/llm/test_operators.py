@@ -75,6 +75,9 @@ def test_permutation_index_small(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id = 0"), posted=1, opened=1).collect()]
     assert sorted(got) == [(0, 1, 1), (0, 2, 2)]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(i, [1.0, float(i), 2.0][:2 + (i % 5 == 0)]) for i in range(21)], "vec_id long, embedding array<double>")
+    found = ann.nearest(mixed, mixed.where("vec_id IN (1, 5)")).collect()  # rows of three numbers are fewer
+    assert {r["query_id"] for r in found} == {1} and not any(r["vec_id"] % 5 == 0 for r in found) and len(found) == 5
 
 
 # 2
