@@ -263,7 +263,12 @@ def job_times(jobs: DataFrame, now: Column) -> DataFrame:
 
 def log_lines(logs: DataFrame) -> DataFrame:
     """Trimmed non-empty lines without live progress. `logs`: job_id, body (text of any size)."""
-    rows = logs.select(*JOB, F.posexplode(tx.lines(F.col("body"))).alias("seq", "line")).withColumn("line", tx.strip(F.col("line")))
+    return kept_lines(logs.select(*JOB, F.posexplode(tx.lines(F.col("body"))).alias("seq", "line")))
+
+
+def kept_lines(lines: DataFrame) -> DataFrame:
+    """The lines of `line`, trimmed, without empty ones and live progress."""
+    rows = lines.withColumn("line", tx.strip(F.col("line")))
     return rows.where((F.col("line") != "") & ~F.rlike("line", F.lit(tx.LIVE_PROGRESS)))
 
 

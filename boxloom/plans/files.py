@@ -51,11 +51,18 @@ def metadata_titles(s):
 def _log_folder(s) -> str:
     """One log file per job, in the folder of the job, lines in order."""
     path = scratch(s.spark, "logs")
+    _write_logs(_log_rows(s), path)
+    return path
+
+
+def _log_rows(s) -> DataFrame:
     e = F.col("event_id")
-    rows = s.events.select(F.concat(F.lit("j"), F.col("user_id") % 16).alias("job_id"), e,
+    return s.events.select(F.concat(F.lit("j"), F.col("user_id") % 16).alias("job_id"), e,
                            F.when(e % 7 == 0, "").otherwise(F.concat(F.lit(" note "), e)).alias("line"))
-    rows.repartition("job_id").sortWithinPartitions("job_id", "event_id").select("job_id", "line").write.partitionBy("job_id").text(path)
-    return path
+
+
+def _write_logs(rows: DataFrame, path: str) -> None:
+    rows.repartition("job_id").sortWithinPartitions("job_id", "event_id").select("job_id", "line").write.mode("append").partitionBy("job_id").text(path)
 
 
 LOG_FILES = """
@@ -65,7 +72,7 @@ LOG_FILES = """
 
 @query("read_logs", LOG_FILES + " SELECT job_id, cast(seq AS integer) AS seq, trim(line) AS line FROM l WHERE line <> ''")
 def read_logs(s):
-    return artifacts.read_logs(s.spark, _log_folder(s))
+    return artifacts.read_logs(s.spark, _log_folder(s)).withColumn("seq", F.col("seq").cast("int"))
 
 
 @query("log_tail", LOG_FILES + " SELECT job_id, seq, line FROM l WHERE seq >= 10 AND seq < n - 1")
@@ -76,6 +83,20 @@ def log_tail(s):
     return artifacts.read_log_tail(s.spark, path, cursor)[0].drop("file")
 
 
+@query("log_tail_stream", LOG_FILES + " SELECT job_id, line FROM l")
+def log_tail_stream(s):
+    """Logs that get new files between three runs of a stream; growth and rotation of a file are in the tests."""
+    path, out, marks = (scratch(s.spark, name) for name in ("logs", "tail-out", "tail-marks"))
+    for part in _parts(_log_rows(s), "event_id"):
+        _write_logs(part, path)
+        run = live.log_tail(s.spark, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).start()
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    return s.spark.read.parquet(out).select("job_id", "line")
+
+
 @query("read_jobs", """
     SELECT concat('c', s_nationkey) AS category, concat('j', s_suppkey) AS job_id, CASE WHEN s_suppkey % 3 = 0 THEN 'failed' END AS status FROM supplier WHERE s_suppkey % 5 <> 0""")
 def read_jobs(s):

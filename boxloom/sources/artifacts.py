@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions import answer_json as aj
 from boxloom.operators import jobs, merge, series
 from boxloom.operators.ranking import position_block, split_row_number
-from boxloom.session import materialise
+from boxloom.session import materialise, stored
 
 PAGE_NAME = r"page_([0-9]+)\.json$"
 CURSOR_SCHEMA = "file string, bytes bigint, lines bigint"
@@ -81,9 +81,19 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log files to lines: (job_id, seq, line). The job is the name of the folder of the file."""
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return jobs.log_lines(files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("job_id"), F.col("value").alias("body")))
+    """Log files to lines: (job_id, seq, line). The job is the name of the folder of the file.
+
+    A file of any size is read in ranges of bytes; a line has its place in the file, counted from the
+    lines of the ranges before it. Written once, as the ranges are numbered and then read again.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mid"), F.col("value").alias("line"))
+    held = stored(lines)
+    firsts = held.groupBy("file", "at").agg(F.min("mid").alias("lo"), F.count(F.lit(1)).alias("n"))
+    of = Window.partitionBy("file").orderBy("at")  # a row for every range of a file
+    before = firsts.select(F.col("file").alias("f"), F.col("at").alias("a"), (F.sum("n").over(of) - F.col("n") - F.col("lo")).alias("shift"))
+    numbered = held.join(before, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")))
+    return jobs.kept_lines(numbered.select(F.element_at(F.split("file", "/"), -2).alias("job_id"), (F.col("mid") + F.col("shift")).alias("seq"), "line"))
 
 
 def read_log_tail(spark: SparkSession, path: str, cursor: DataFrame | None = None, closed: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -14,17 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from boxloom.operators import jobs, series
+from boxloom.streaming.tail import LogTail
 
 LIMIT_OUT = "client bigint, seq bigint, failures bigint, retry_after bigint"
 RUNTIME_OUT = "job_id string, elapsed_micros bigint, running_micros bigint"
 
 
 def log_tail(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of finished log segments: (job_id, line). The checkpoint of the query takes the place of a cursor:
-    every file is read once, and a new file in place of an old one is a new input. A log that grows
-    in place is polled with `artifacts.read_log_tail`."""
-    lines = spark.readStream.schema("value string").option("recursiveFileLookup", "true").text(path)
-    return lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("job_id"), F.col("value").alias("line"))
+    """Lines of log files as they grow: (job_id, file, at, line), every line once. See `tail`."""
+    spark.dataSource.register(LogTail)
+    return spark.readStream.format("log_tail").load(path)
 
 
 def live_progress(lines: DataFrame, terminated: DataFrame | None = None) -> DataFrame:
