@@ -140,6 +140,23 @@ def prior_translations(records: DataFrame, requests: DataFrame) -> DataFrame:
         F.col("a.book_id").alias("book_id"), "for_page", "page", "boxno", "english_text")
 
 
+def prior_index(records: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What `prior_translations` gives, for all requested pages at once and as large as the input.
+
+    Translated records with their place in the book (book_id, place, page, boxno, english_text), and for
+    every requested page the number of them before it (book_id, for_page, until): the page's prior
+    translations are the records with place < until. Records and requests are counted in one sorted
+    run over blocks of pages, so a book of any length is no single task.
+    """
+    done = records.where(F.col("english_text").isNotNull()).select(*PAGE, "boxno", "english_text", F.lit(1).alias("one"))
+    asked = requests.select(*PAGE).distinct().withColumns({"boxno": F.lit(None).cast("bigint"), "english_text": F.lit(None).cast("string"), "one": F.lit(0)})
+    # a request stands before the records of its page
+    order = [F.col("page"), F.asc_nulls_first("boxno")]
+    counted = split_running(done.unionByName(asked), BOOK, order, position_block(F.col("page"), 256), sums={"before": F.col("one")}, include_current=False)
+    numbered = counted.where("one = 1").select("book_id", F.col("before").cast("bigint").alias("place"), "page", "boxno", "english_text")
+    return numbered, counted.where("one = 0").select("book_id", F.col("page").alias("for_page"), F.col("before").cast("bigint").alias("until"))
+
+
 def notes_for_page(pages: DataFrame, notes: DataFrame) -> DataFrame:
     """Book note and page note of each page under fixed headings; blank ones are skipped.
 

@@ -77,9 +77,9 @@ def missing_artifacts(pages: DataFrame, artifacts: DataFrame, kinds: Sequence[st
 def resume_page(requests: DataFrame, pages: DataFrame, done: DataFrame) -> DataFrame:
     """First page before the requested one that lacks its output, else the requested page."""
     missing = pages.select(*PAGE).join(done.select(*PAGE).distinct(), list(PAGE), "left_anti")
-    before = requests.select("book_id", F.col("page").alias("asked")).join(missing, "book_id").where("page < asked").groupBy("book_id", "asked").agg(F.min("page").alias("gap"))
-    return requests.select("book_id", F.col("page").alias("asked")).join(before, ["book_id", "asked"], "left").select(
-        "book_id", "asked", F.coalesce("gap", "asked").alias("page"))
+    first = missing.groupBy("book_id").agg(F.min("page").alias("gap"))  # the first before any page is the first of the book
+    return requests.select("book_id", F.col("page").alias("asked")).join(first, "book_id", "left").select(
+        "book_id", "asked", F.when(F.col("gap") < F.col("asked"), F.col("gap")).otherwise(F.col("asked")).alias("page"))
 
 
 def pages_to_finish(pages: DataFrame, pending: DataFrame, rendered: DataFrame) -> DataFrame:

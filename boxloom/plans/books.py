@@ -72,6 +72,26 @@ def prior_translations(s):
     return batching.prior_translations(boxes, asked)
 
 
+TRANSLATED = "tr AS (SELECT book_id, page, boxno, text, row_number() OVER (PARTITION BY book_id ORDER BY page, boxno) - 1 AS place FROM boxes WHERE boxno % 2 = 0)"
+
+
+def _prior_index(s):
+    return batching.prior_index(s.boxes.withColumn("english_text", F.when(F.col("boxno") % 2 == 0, F.col("text"))), s.boxes.where("page % 3 > 0").select(*PAGE))
+
+
+@query("prior_positions", TRANSLATED + """,
+    rq AS (SELECT DISTINCT book_id, page FROM boxes WHERE page % 3 > 0)
+    SELECT r.book_id, r.page AS for_page, coalesce(max(t.place) + 1, 0) AS until FROM rq r LEFT JOIN (SELECT book_id, page, max(place) AS place FROM tr GROUP BY ALL) t ON t.book_id = r.book_id AND t.page < r.page GROUP BY ALL""", ("boxes",))
+def prior_positions(s):
+    """For two thirds of all pages of all books, how many translated records stand before it."""
+    return _prior_index(s)[1]
+
+
+@query("prior_records", TRANSLATED + " SELECT book_id, place, page, boxno, text AS english_text FROM tr", ("boxes",))
+def prior_records(s):
+    return _prior_index(s)[0]
+
+
 @query("notes_for_page", """
     SELECT book_id, page, concat_ws(concat(chr(10), chr(10)), CASE WHEN book_id <> 'b3' THEN concat('Job translation notes:', chr(10), 'about ', book_id) END,
       CASE WHEN page % 3 = 0 THEN concat('Page ', page, ' translation notes:', chr(10), 'note ', page) END) AS notes FROM (SELECT DISTINCT book_id, page FROM boxes) x""", ("boxes",))
@@ -248,12 +268,11 @@ def missing_artifacts(s):
 
 
 @query("resume_page", MADE + """,
-    rq AS (SELECT book_id, max(page) AS asked FROM pg GROUP BY ALL UNION SELECT book_id, min(page) FROM pg GROUP BY ALL)
+    rq AS (SELECT book_id, page AS asked FROM pg)
     SELECT book_id, asked, coalesce((SELECT min(page) FROM pg WHERE pg.book_id = rq.book_id AND pg.page < rq.asked AND (page * 7) % 101 = 3), asked) AS page FROM rq""", ("boxes",))
 def resume_page(s):
     pages = s.boxes.select(*PAGE).distinct()
-    asked = pages.groupBy("book_id").agg(F.max("page").alias("a"), F.min("page").alias("z")).select("book_id", F.explode(F.array_distinct(F.array("a", "z"))).alias("page"))
-    return jobs.resume_page(asked, pages, pages.where("(page * 7) % 101 <> 3"))
+    return jobs.resume_page(pages, pages, pages.where("(page * 7) % 101 <> 3"))
 
 
 @query("pages_to_finish", MADE + " SELECT book_id, page FROM pg WHERE page % 6 = 0 OR page % 4 = 1", ("boxes",))

@@ -223,3 +223,14 @@ def test_a_box_that_overlaps_two_thousand_is_cut_in_pair_order(spark):
         rows.append(("b", 0, n, l, t, l + 20, t + 20, max(0, l - 60), max(0, t - 60), l + 80, t + 80))
     out = layout.resolve_overlaps(spark.createDataFrame(rows, PLACED))
     assert {(r.page, r.boxno): (r.pl, r.pt, r.pr, r.pb) for r in out.collect()} == plain_cuts(rows)
+
+
+def test_prior_positions_name_the_prior_translations(spark):
+    rng = random.Random(12)
+    rows = [("b", p, n, rng.choice([None, "x", "y"])) for p in range(700) if rng.random() < 0.6 for n in range(rng.randint(1, 3))]
+    frame = spark.createDataFrame(rows, "book_id string, page bigint, boxno bigint, english_text string")
+    asked = spark.createDataFrame([("b", p) for p in (-1, 0, 3, 255, 256, 257, 600, 900)] + [("c", 5)], "book_id string, page bigint")
+    records, pages = (t.collect() for t in batching.prior_index(frame, asked))
+    want = {(r.for_page, r.page, r.boxno) for r in batching.prior_translations(frame, asked).collect()}
+    assert {(p.for_page, r.page, r.boxno) for p in pages for r in records if r.book_id == p.book_id and r.place < p.until} == want
+    assert len(pages) == 9 and sorted(r.place for r in records) == list(range(len(records)))
