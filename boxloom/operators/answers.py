@@ -47,6 +47,16 @@ def _error(code, key=None, pos=None) -> list[Column]:
             (null if pos is None else pos.cast("bigint")).alias("pos")]
 
 
+def open_only(records: DataFrame) -> DataFrame:
+    """Records with open lettering; a missing mark is none."""
+    return records.where(F.coalesce("open_lettering", F.lit(False)))
+
+
+def non_open(records: DataFrame) -> DataFrame:
+    """The records that `open_only` leaves."""
+    return records.where(~F.coalesce("open_lettering", F.lit(False)))
+
+
 def validate_keys(expected: DataFrame, items: DataFrame, keys: Sequence[str] = PAGE,
                   key: str = "boxno") -> DataFrame:
     """Unknown, repeated, wrong-page and missing keys, as (keys.., code, key, pos).

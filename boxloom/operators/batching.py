@@ -46,6 +46,18 @@ def review_lines(records: DataFrame) -> DataFrame:
     return records.select(*PAGE, "boxno", review_line(F.col("sfx"), F.col("open_lettering")).alias("line"))
 
 
+def write_review(records: DataFrame, path: str) -> None:
+    """Review texts as text files below `book_id=...`: the header and the lines of every page, in order of page and box.
+
+    Rows are dealt out by ranges of pages and boxes, so a book may be many files, which follow each
+    other by name, and a page of any size is sorted and written by more than one task.
+    """
+    heads = records.select(*PAGE).distinct().select(*PAGE, F.lit(None).cast("bigint").alias("boxno"), F.lit(HEADER).alias("line"))
+    order = [F.col("book_id"), F.col("page"), F.asc_nulls_first("boxno")]
+    rows = review_lines(records).unionByName(heads)
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("book_id", "line").write.mode("overwrite").partitionBy("book_id").text(path)
+
+
 def page_costs(records: DataFrame) -> DataFrame:
     """Records and characters of each page in a review text: header, then a break and a line per record."""
     line = F.length(review_line(F.col("sfx"), F.col("open_lettering")))

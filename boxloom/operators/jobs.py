@@ -210,6 +210,19 @@ def newest_first(jobs: DataFrame) -> DataFrame:
                             -F.coalesce(F.unix_date(F.col("created").cast("date")), F.lit(-(1 << 30))), "place", start=1)
 
 
+def last_chapters_first(jobs: DataFrame) -> DataFrame:
+    """Jobs of series with their place in the series, the last volume and chapter first; no volume comes after all volumes.
+
+    `jobs`: series, job_id, volume and chapter (decimal texts, blank for none).
+    """
+    rows = jobs.withColumns({n: F.try_to_number(tx.strip(F.col(n)), F.lit("9999999999999999999D999999999999999999")) for n in ("volume", "chapter")})
+    volume, chapter = F.coalesce("volume", F.lit(-1)), F.coalesce("chapter", F.lit(-1))
+    order = [volume.desc(), chapter.desc(), F.col("job_id")]
+    bucket = F.struct((-volume).alias("v"), (-F.floor(chapter / 256)).alias("c"))
+    placed = split_row_number(rows, ["series"], order, bucket, "place", start=1)
+    return placed.select("series", "job_id", "place")
+
+
 # reports ---------------------------------------------------------------------------------
 
 def trace_rollup(traces: DataFrame) -> DataFrame:

@@ -294,8 +294,9 @@ def answer_repair(s):
 @query("open_and_other_records", """
     SELECT book_id, page, boxno, boxno % 3 = 0 AS open_lettering FROM boxes""", ("boxes",))
 def open_and_other_records(s):
-    boxes = s.boxes.withColumn("open_lettering", F.col("boxno") % 3 == 0).select(*PAGE, "boxno", "open_lettering")
-    return boxes.where("open_lettering").unionByName(boxes.where("NOT open_lettering"))
+    boxes = s.boxes.withColumn("open_lettering", F.when(F.col("boxno") % 3 < 2, F.col("boxno") % 3 == 0)).select(*PAGE, "boxno", "open_lettering")
+    parts = {True: ans.open_only(boxes), False: ans.non_open(boxes)}
+    return parts[True].withColumn("open_lettering", F.lit(True)).unionByName(parts[False].withColumn("open_lettering", F.lit(False)))
 
 
 @query("drop_untranslatable", """

@@ -389,6 +389,12 @@ def newest_first(s):
     return jobs.newest_first(s.jobs).select("job_id", "place")
 
 
+@query("last_chapters_first", """
+    SELECT series, job_id, row_number() OVER (PARTITION BY series ORDER BY CASE WHEN volume = '' THEN -1 ELSE cast(volume AS integer) END DESC, seq / 2.0 DESC, job_id) AS place FROM chapters""", ("chapters",))
+def last_chapters_first(s):
+    return jobs.last_chapters_first(s.chapters.withColumn("chapter", (F.col("seq") / 2).cast("string")))
+
+
 @query("title_choice", """
     z AS (SELECT job_id, CASE WHEN n % 9 = 0 THEN NULL ELSE concat('t', n) END AS src, CASE WHEN n % 2 = 0 THEN concat('e', n) END AS tr, n % 3 = 0 AS tm, n % 4 < 2 AS alt FROM jobs)
     SELECT job_id, CASE WHEN src IS NOT NULL THEN CASE WHEN tm AND tr IS NOT NULL THEN tr ELSE src END END AS title, CASE WHEN src IS NOT NULL AND alt THEN CASE WHEN tm THEN src ELSE tr END END AS alternate FROM z""", ("jobs",))

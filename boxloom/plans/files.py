@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from boxloom.operators import batching
 from boxloom.plans import books
 from boxloom.plans.registry import query
 from boxloom.session import ensure_checkpoint_dir
@@ -83,6 +84,15 @@ def log_tail(s):
     return artifacts.read_log_tail(s.spark, path, cursor)[0].drop("file")
 
 
+@query("review_files", books.REVIEW + """
+    , wr AS (SELECT book_id, page, line FROM ln UNION ALL SELECT DISTINCT book_id, page, concat_ws(chr(9), 'page', 'boxno', 'sfx', 'openLettering', 'sourceText', 'englishText') FROM ln)
+    SELECT book_id, line, count(*) AS n FROM wr GROUP BY ALL""", ("boxes",))
+def review_files(s):
+    path = scratch(s.spark, "review")
+    batching.write_review(books.review_records(s), path)
+    return s.spark.read.schema("value string, book_id string").text(path).groupBy("book_id", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("log_tail_stream", LOG_FILES + " SELECT job_id, line FROM l")
 def log_tail_stream(s):
     """Logs that get new files between three runs of a stream; growth and rotation of a file are in the tests."""
