@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,9 @@ from boxloom.functions import answer_json as aj
 from boxloom.functions import geometry as geo
 from boxloom.functions import text as tx
 from boxloom.functions.staging import staged
-from boxloom.operators.graph import component_labels
 from boxloom.operators.group import PAGE, SIDES, near_pairs
 from boxloom.operators.ranking import position_block, split_row_number
-from boxloom.session import materialise
+from boxloom.session import stored
 
 # Fixed values
 SKIPPED_LABELS = ("image", "header_image", "footer_image")
@@ -21,7 +22,6 @@ SCORE_KEYS = ("score", "block_score", "confidence", "rec_score")
 POINT_KEYS = ("block_polygon_points", "polygon_points", "points", "poly", "polygon")
 BOX_KEYS = ("block_bbox", "bbox", "box", "coordinate", "region")
 RESULT_KEYS = ("rec_texts", "rec_scores", "rec_polys", "rec_boxes")
-FOLD_ROWS = 2000
 
 
 def renumber(rows: DataFrame, order: str, name: str = "boxno") -> DataFrame:
@@ -187,103 +187,75 @@ def _replaces(old: dict[str, Column], new: dict[str, Column]) -> Column:
             .when(old["edge"] != new["edge"], old["edge"]).otherwise(by_score))
 
 
-SLOT = "struct<slot:bigint,holder:bigint,cls:bigint,score:double,edge:boolean,size:int>"
-
-
-def _fold(members: DataFrame, comp: list[str]) -> DataFrame:
-    """Walk small components in box order; every box joins the first slot it duplicates.
-
-    `near` of a member lists the classes it duplicates besides its own.
-    """
-    walk = F.sort_array(F.collect_list(F.struct("boxno", "cls", "score", "edge", "size", "near")))
-
-    def measures(x: Column) -> dict[str, Column]:
-        return {n: x[n] for n in ("score", "edge", "size")}
-
-    def step(slots: Column, row: Column) -> Column:
-        fits = F.transform(slots, lambda s: (s["cls"] == row["cls"]) | F.array_contains(row["near"], s["cls"]))
-        place = F.array_position(fits, F.lit(True))
-        fresh = F.struct(row["boxno"].alias("slot"), row["boxno"].alias("holder"), row["cls"].alias("cls"),
-                         row["score"].alias("score"), row["edge"].alias("edge"), row["size"].alias("size"))
-        swapped = F.transform(slots, lambda s, i: F.when(
-            ((i + 1) == place) & _replaces(measures(s), measures(row)), fresh.withField("slot", s["slot"])).otherwise(s))
-        return F.when(place == 0, F.concat(slots, F.array(fresh))).otherwise(swapped)
-
-    slots = F.aggregate(walk, F.array().cast(f"array<{SLOT}>"), step)
-    return (members.groupBy(*comp).agg(slots.alias("slots")).select(*PAGE, F.explode("slots").alias("s"))
-            .select(*PAGE, "s.slot", F.col("s.holder").alias("kept")))
-
-
-def _rounds(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """The same walk for components of any size, one change of state per component and round.
+def _slots(rows: DataFrame, reach: DataFrame) -> DataFrame:
+    """(book_id, page, slot, kept): the record that every slot holds at the end, for components of any size.
 
-    A box that joins a slot without replacing its holder changes nothing, so each round looks
-    for the earliest later box that does: copies in any number cost no rounds.
+    `rows`: book_id, page, boxno, cls, score, edge, size; `reach`: the classes (`other`) that a class
+    duplicates, itself among them. A box joins the first slot whose holder, when its turn comes, it
+    duplicates, may take the place of that holder, and founds a slot if there is none. A guess of all
+    holders, each with the box that ends it, tells what every box would do; from that the next guess
+    is made, for all boxes at once. Of several boxes that would end the same holder, or would newly
+    found a slot for the same class, only the first is believed. What the boxes up to some number do is
+    right in the round after those before them are right, and stays so; mostly all of a page is right
+    after a few rounds. Pages that a round does not change are done.
     """
-    comp = [*PAGE, "comp"]
-    slot_type = "slot bigint, holder bigint, cls bigint, score double, edge boolean, size int"
-    spark = rows.sparkSession
-    holders = spark.createDataFrame([], f"book_id string, page bigint, comp bigint, {slot_type}")
-    done = rows.select(*comp).distinct().withColumn("upto", F.lit(-1).cast("bigint"))
-    classes = rows.select(*comp, "cls").distinct()
-    reach = materialise(classes.withColumn("other", F.col("cls")).unionByName(near.select(*comp, "cls", "other")))
+    of = ["score", "edge", "size"]
+    rows, reach = stored(rows), stored(reach)
+    holders = rows.groupBy(*PAGE, "cls").agg(F.min_by(F.struct("boxno", *of), "boxno").alias("x")).select(
+        *PAGE, F.col("x.boxno").alias("slot"), F.col("x.boxno").alias("holder"), "cls", *[f"x.{c}" for c in of], F.lit(None).cast("bigint").alias("end"))
+    holders = stored(holders)
+    parts = []
     while True:
-        old = holders.select(*comp, "slot", F.col("cls").alias("other"), F.col("score").alias("o_score"),
-                             F.col("edge").alias("o_edge"), F.col("size").alias("o_size"))
-        first = reach.join(old, [*comp, "other"]).groupBy(*comp, "cls").agg(
-            F.min_by(F.struct("slot", "o_score", "o_edge", "o_size"), "slot").alias("o"))
-        waiting = rows.join(done, comp).where(F.col("boxno") > F.col("upto")).join(first, [*comp, "cls"], "left")
-        change = F.col("o").isNull() | _replaces(
-            {"score": F.col("o.o_score"), "edge": F.col("o.o_edge"), "size": F.col("o.o_size")},
-            {"score": F.col("score"), "edge": F.col("edge"), "size": F.col("size")})
-        event = materialise(waiting.where(change).groupBy(*comp).agg(F.min_by(F.struct(
-            F.coalesce("o.slot", F.col("boxno")).alias("slot"), F.col("boxno").alias("holder"), "cls", "score", "edge",
-            "size"), "boxno").alias("e")).select(*comp, "e.*"))
-        if event.limit(1).count() == 0:
-            return holders.select(*PAGE, "slot", F.col("holder").alias("kept"))
-        stay = holders.join(event.select(*comp, "slot"), [*comp, "slot"], "left_anti")
-        holders = materialise(stay.unionByName(event.select(*holders.columns)))
-        done = materialise(event.select(*comp, F.col("holder").alias("upto")))
-
-
-def dedupe_detections(boxes: DataFrame, iou: float = 0.55, containment: float = 0.88,
-                      fold_rows: int = FOLD_ROWS) -> DataFrame:
+        seen = holders.select(*PAGE, F.col("cls").alias("other"), "slot", "holder", "end", *[F.col(c).alias(f"o_{c}") for c in of])
+        near = reach.join(seen, [*PAGE, "other"]).drop("other")
+        met = rows.join(near, [*PAGE, "cls"]).where((F.col("holder") < F.col("boxno")) & (F.col("end").isNull() | (F.col("end") >= F.col("boxno"))))
+        first = met.groupBy(*PAGE, "boxno").agg(F.min_by(F.struct("slot", "holder", *[f"o_{c}" for c in of]), "slot").alias("o"))
+        turn = rows.join(first, [*PAGE, "boxno"], "left")
+        better = _replaces({c: F.col(f"o.o_{c}") for c in of}, {c: F.col(c) for c in of})
+        acts = stored(turn.where(F.col("o").isNull() | better).select(*PAGE, "boxno", "cls", *of, F.col("o.slot").alias("o_slot"), F.col("o.holder").alias("old")))
+        ending = acts.where(F.col("old").isNotNull()).groupBy(*PAGE, "old").agg(F.min_by(F.struct("boxno", "cls", *of, "o_slot"), "boxno").alias("x"))
+        ended = ending.select(*PAGE, F.col("old").alias("holder"), F.col("x.boxno").alias("end"))
+        taken = ending.select(*PAGE, F.col("x.o_slot").alias("slot"), F.col("x.boxno").alias("holder"), "x.cls", *[f"x.{c}" for c in of])
+        known = holders.where("slot = holder").select(*PAGE, F.col("holder").alias("boxno"), F.lit(True).alias("known"))
+        fresh = acts.where(F.col("old").isNull()).join(known, [*PAGE, "boxno"], "left")
+        founder = lambda df: df.select(*PAGE, F.col("boxno").alias("slot"), F.col("boxno").alias("holder"), "cls", *of)
+        one = fresh.where("known IS NULL").groupBy(*PAGE, "cls").agg(F.min_by(F.struct("boxno", *of), "boxno").alias("x")).select(*PAGE, "x.boxno", "cls", *[f"x.{c}" for c in of])
+        made = founder(fresh.where("known")).unionByName(founder(one)).unionByName(taken)
+        after = stored(made.join(ended, [*PAGE, "holder"], "left").select(*holders.columns))
+        told = lambda df, n: df.select(*PAGE, "holder", "slot", "end", F.lit(n).alias("n"))
+        moved = (told(holders, 1).unionByName(told(after, 2)).groupBy(*PAGE, "holder", "slot", "end").agg(F.sum("n").alias("n"))
+                 .where("n <> 3").select(*PAGE).distinct())
+        moved = stored(moved)
+        if moved.limit(1).count() == 0:
+            parts.append(after)
+            break
+        parts.append(after.join(moved, list(PAGE), "left_anti"))
+        holders, rows, reach = (df.join(moved, list(PAGE), "left_semi") for df in (after, rows, reach))
+    return reduce(DataFrame.unionByName, parts).where(F.col("end").isNull()).select(*PAGE, "slot", F.col("holder").alias("kept"))
+
+
+def dedupe_detections(boxes: DataFrame, iou: float = 0.55, containment: float = 0.88) -> DataFrame:
     """Drop duplicate boxes, keeping the better record in the place of the first.
 
-    Boxes with equal region and text form one class; pairs and components are found between
-    classes. Components of up to `fold_rows` boxes are walked in one native fold each, larger ones
-    in distributed rounds. `edge_touch` (optional) marks boxes cut by a tile edge.
+    Boxes with equal region and text form one class, and pairs are found between classes. The walk
+    through the boxes of a page is one way for pages of any size, see `_slots`. `edge_touch`
+    (optional) marks boxes cut by a tile edge.
     """
     edge = F.coalesce("edge_touch", F.lit(False)) if "edge_touch" in boxes.columns else F.lit(False)
-    slim = boxes.select(*PAGE, "boxno", *SIDES, tx.squeeze(F.col("text")).alias("text"),
-                        F.coalesce(F.col("score").cast("double"), F.lit(-1.0)).alias("score"), edge.alias("edge"))
+    slim = stored(boxes.select(*PAGE, "boxno", *SIDES, tx.squeeze(F.col("text")).alias("text"),
+                               F.coalesce(F.col("score").cast("double"), F.lit(-1.0)).alias("score"), edge.alias("edge")))
     class_key = [*PAGE, *SIDES, "text"]
     solid = (F.col("r") > F.col("l")) & (F.col("b") > F.col("t"))
-    classes = slim.where(solid).groupBy(*class_key).agg(F.min("boxno").alias("cls"), F.count(F.lit(1)).alias("n"))
-    pairs = materialise(duplicate_pairs(classes, iou, containment, node="cls"))
-    labels = materialise(component_labels(pairs, PAGE, stored=True))
-    shared = (classes.join(labels.withColumnRenamed("node", "cls"), [*PAGE, "cls"], "left")
-              .where(F.col("label").isNotNull() | (F.col("n") > 1))
-              .select(*class_key, "cls", F.coalesce("label", "cls").alias("comp")))
-    members = materialise(slim.join(shared, class_key, "inner").select(
-        *PAGE, "comp", "boxno", "cls", "score", "edge", F.length("text").alias("size")))
-    both = pairs.select(*PAGE, F.col("u").alias("cls"), F.col("v").alias("other")).unionByName(
+    classes = stored(slim.where(solid).groupBy(*class_key).agg(F.min("boxno").alias("cls"), F.count(F.lit(1)).alias("n")))
+    pairs = stored(duplicate_pairs(classes, iou, containment, node="cls"))
+    ways = pairs.select(*PAGE, F.col("u").alias("cls"), F.col("v").alias("other")).unionByName(
         pairs.select(*PAGE, F.col("v").alias("cls"), F.col("u").alias("other")))
-    near = both.join(labels.select(*PAGE, F.col("node").alias("cls"), F.col("label").alias("comp")), [*PAGE, "cls"])
-    comp = [*PAGE, "comp"]
-    large = members.groupBy(*comp).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fold_rows).select(*comp)
-    has_large = large.limit(1).count() > 0
-    large = materialise(large) if has_large else large
-    small_rows = members.join(large, comp, "left_anti") if has_large else members
-    small_near = near.join(large, comp, "left_anti") if has_large else near
-    lists = small_near.groupBy(*comp, "cls").agg(F.collect_list("other").alias("near"))
-    folded = _fold(small_rows.join(lists, [*comp, "cls"], "left")
-                   .withColumn("near", F.coalesce("near", F.array().cast("array<bigint>"))), comp)
-    if has_large:
-        folded = folded.unionByName(_rounds(materialise(members.join(large, comp, "left_semi")),
-                                            near.join(large, comp, "left_semi")))
+    paired = ways.select(*PAGE, "cls").distinct().withColumn("paired", F.lit(True))
+    shared = classes.join(paired, [*PAGE, "cls"], "left").where("paired OR n > 1").select(*class_key, "cls")
+    members = stored(slim.join(shared, class_key).select(*PAGE, "boxno", "cls", "score", "edge", F.length("text").alias("size")))
+    found = _slots(members, ways.unionByName(shared.select(*PAGE, "cls", F.col("cls").alias("other"))))
     in_component = members.select(*PAGE, "boxno", F.lit(True).alias("__member"))
     alone = boxes.join(in_component, [*PAGE, "boxno"], "left_anti").withColumn("__slot", F.col("boxno"))
-    kept = boxes.join(folded.select(*PAGE, F.col("kept").alias("boxno"), F.col("slot").alias("__slot")), [*PAGE, "boxno"])
+    kept = boxes.join(found.select(*PAGE, F.col("kept").alias("boxno"), F.col("slot").alias("__slot")), [*PAGE, "boxno"])
     rows = alone.unionByName(kept).withColumnRenamed("boxno", "source_boxno")
     return renumber(rows, "__slot").drop("__slot")

@@ -55,10 +55,9 @@ def plain_dedupe(rows):
     return [s[2] for s in slots]
 
 
-@pytest.mark.parametrize("fold_rows", [2000, 3])
-def test_dedupe_matches_a_plain_walk(spark, fold_rows):
+def test_dedupe_matches_a_plain_walk(spark):
     rows = random_boxes(pages=2, per_page=9, seed=5)
-    out = detect.dedupe_detections(spark.createDataFrame(rows, BOX), fold_rows=fold_rows).select("page", "boxno", "source_boxno").collect()
+    out = detect.dedupe_detections(spark.createDataFrame(rows, BOX)).select("page", "boxno", "source_boxno").collect()
     for page in range(2):
         got = [r.source_boxno for r in sorted((r for r in out if r.page == page), key=lambda r: r.boxno)]
         assert got == plain_dedupe([r for r in rows if r[1] == page])
@@ -66,7 +65,7 @@ def test_dedupe_matches_a_plain_walk(spark, fold_rows):
 
 def test_many_copies_need_few_rounds(spark):
     rows = [("b", 0, n, 0, 0, 50, 50, 0.9 if n == 200 else 0.5, "same", False) for n in range(300)]
-    out = detect.dedupe_detections(spark.createDataFrame(rows, BOX), fold_rows=10).collect()
+    out = detect.dedupe_detections(spark.createDataFrame(rows, BOX)).collect()
     assert [(r.boxno, r.source_boxno) for r in out] == [(0, 200)]
 
 
@@ -234,3 +233,16 @@ def test_prior_positions_name_the_prior_translations(spark):
     want = {(r.for_page, r.page, r.boxno) for r in batching.prior_translations(frame, asked).collect()}
     assert {(p.for_page, r.page, r.boxno) for p in pages for r in records if r.book_id == p.book_id and r.place < p.until} == want
     assert len(pages) == 9 and sorted(r.place for r in records) == list(range(len(records)))
+
+
+@pytest.mark.parametrize("count,spread", [(60, 60), (1500, 260)])
+def test_large_components_are_walked_in_box_order(spark, count, spread):
+    rng = random.Random(count)
+    rows = []
+    for n in range(count):
+        l, t, w, h = rng.randrange(0, spread), rng.randrange(0, spread), rng.randrange(30, 50), rng.randrange(30, 50)
+        if n % 5 == 4:  # copies of earlier regions
+            l, t, w, h = rows[rng.randrange(n)][3:5] + (40, 40)
+        rows.append(("b", 0, n, l, t, l + w, t + h, rng.choice([None, 0.5, 0.54, 0.56, 0.7, 0.9]), rng.choice(["", "a", "ab", "x y"]), rng.random() < 0.3))
+    out = detect.dedupe_detections(spark.createDataFrame(rows, BOX)).collect()
+    assert [r.source_boxno for r in sorted(out, key=lambda r: r.boxno)] == plain_dedupe(rows)
