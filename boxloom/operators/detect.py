@@ -190,7 +190,7 @@ def _replaces(old: dict[str, Column], new: dict[str, Column]) -> Column:
 def _slots(rows: DataFrame, reach: DataFrame) -> DataFrame:
     """(book_id, page, slot, kept): the record that every slot holds at the end, for components of any size.
 
-    `rows`: book_id, page, boxno, cls, score, edge, size; `reach`: the classes (`other`) that a class
+    `rows`, a written table: book_id, page, boxno, cls, score, edge, size; `reach`: the classes (`other`) that a class
     duplicates, itself among them. A box joins the first slot whose holder, when its turn comes, it
     duplicates, may take the place of that holder, and founds a slot if there is none. A guess of all
     holders, each with the box that ends it, tells what every box would do; from that the next guess
@@ -200,7 +200,7 @@ def _slots(rows: DataFrame, reach: DataFrame) -> DataFrame:
     after a few rounds. Pages that a round does not change are done.
     """
     of = ["score", "edge", "size"]
-    rows, reach = stored(rows), stored(reach)
+    reach = stored(reach)
     holders = rows.groupBy(*PAGE, "cls").agg(F.min_by(F.struct("boxno", *of), "boxno").alias("x")).select(
         *PAGE, F.col("x.boxno").alias("slot"), F.col("x.boxno").alias("holder"), "cls", *[f"x.{c}" for c in of], F.lit(None).cast("bigint").alias("end"))
     holders = stored(holders)
@@ -225,7 +225,6 @@ def _slots(rows: DataFrame, reach: DataFrame) -> DataFrame:
         told = lambda df, n: df.select(*PAGE, "holder", "slot", "end", F.lit(n).alias("n"))
         moved = (told(holders, 1).unionByName(told(after, 2)).groupBy(*PAGE, "holder", "slot", "end").agg(F.sum("n").alias("n"))
                  .where("n <> 3").select(*PAGE).distinct())
-        moved = stored(moved)
         if moved.limit(1).count() == 0:
             parts.append(after)
             break
