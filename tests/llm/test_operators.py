@@ -126,19 +126,19 @@ def test_unigram_paths_are_the_best():
 # 3
 
 def page(n, body="", article=True, extra=""):
-    inner = f"<h1>Title {n}</h1><p>First   para &amp; {n}<br>line{'' if article else n}<p>Second <b>bo</b>ld{'' if article else n} {body}"
+    inner = f"<h1>Title {n}</h1><p>First   para &amp; {n}<br>line{n}<p>Second <b>bo</b>ld{n} {body}"
     box = f"<article>{inner}{extra}</article>" if article else f"<div class='c1'><div class='c2'>{inner}{extra}</div></div>"
     return ("<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><header>Site</header>"
             f"<nav><ul><li><a href='/{n}'>m{n}</a></ul></nav><!-- x --><div class=\"ad\">Buy {n}</div><div class='cookie-notice'>Cookies</div>{box}"
             f"<aside>Side {n}</aside><section id='comments'><p>Nice {n}</section><form><input>Send</form><footer>&copy; Host</footer></body></html>")
 
 
-def want(n, body="", tail=""):
-    return " ".join(f"Title {n} First para & {n} line{tail} Second bold{tail} {body}".split())
+def want(n, body=""):
+    return " ".join(f"Title {n} First para & {n} line{n} Second bold{n} {body}".split())
 
 
 def test_main_text(spark):
-    rows = [(i, f"http://a.example/{i}", page(i, "word " * i)) for i in range(12)]
+    rows = [(i, f"http://a.example/{i}", page(i, "word " * i, extra="<p>Sign up for our letter</p>")) for i in range(12)]
     rows += [(100 + i, f"http://b.example/{i}", page(i, "other words " * (i + 1), article=False, extra="<p>Read more on our site</p>")) for i in range(12)]
     rows += [(200, None, None), (201, "", ""), (202, "x", "plain <b>te</b>xt"), (203, "http://c.example/", "<p>open <div>a<p>b"), (0, rows[0][1], rows[0][2])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("token", F.lit(1))
@@ -147,7 +147,7 @@ def test_main_text(spark):
     assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
     assert {i: texts[i] for i in range(12)} == {i: want(i, "word " * i) for i in range(12)}
     # no article: the gap of the root with most words, without what is the same on every page
-    assert {i: texts[100 + i] for i in range(12)} == {i: want(i, "other words " * (i + 1), i) for i in range(12)}
+    assert {i: texts[100 + i] for i in range(12)} == {i: want(i, "other words " * (i + 1)) for i in range(12)}
     assert (texts[200], texts[201], texts[202], texts[203]) == ("", "", "plain text", "open a b")
     assert html.main_texts(df.limit(0)).count() == 0
 
@@ -162,6 +162,78 @@ def test_template_outlives_odd_pages(spark):
     assert (got[100], got[101], got[102]) == ("Error 404 of the page", "", "")
 
 
+def text_of(spark, rows):
+    return {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_names_are_one_mark_among_others():
+    inside = "<article><h1>Head</h1><p>The text of the article</p>{}</article>"
+    assert html.main_text(inside.format('<section id="related-work"><p>Earlier work</p></section>')) == "Head The text of the article Earlier work"
+    assert html.main_text(inside.format('<section id="related-work"><a href="x">Other page</a></section>')) == "Head The text of the article"
+    assert html.main_text(inside.format('<p class="social-history">Lives alone</p>')) == "Head The text of the article Lives alone"
+    assert html.main_text(inside.format('<div class="adbox">Buy</div><div class="cmt-list"><p>Nice</p></div><div class="shareButtons">Share</div>')) == "Head The text of the article"
+    for name in ("layout-sidebar-right", "sidebar-right", "has-comments"):
+        assert html.main_text(f'<div class="{name}">{inside.format("")}</div>') == "Head The text of the article"
+    assert html.main_text(inside.format("") + '<div class="sidebar"><article>Teaser of another</article></div>') == "Head The text of the article"
+
+
+def test_longest_slot_goes_before_a_teaser():
+    body = "<p>" + "long body text " * 20 + "</p><p>more of it</p>"
+    assert html.main_text(f"<body><article><p>See also this</p></article><div class='b'>{body}</div></body>") == "long body text " * 20 + "more of it"
+    assert html.main_text(f"<body><article>{body}</article><div class='b'><p>See also this</p></div></body>") == "long body text " * 20 + "more of it"
+
+
+def test_nested_template(spark):
+    """A notice with a tag of its own on some pages goes, text that copies share stays, a gap apart from short articles is taken."""
+    def one(i, notice, copy):
+        text = "<h1>Same news</h1><p>the same words in all of the copies</p>" if copy else f"<h1>News {i}</h1><p>words of page {i}</p>"
+        return f"<body><article>{text}{'<div class=x7><p>Join our club now</p></div>' if notice else ''}<p>end {i}</p></article></body>"
+
+    rows = [(i, f"http://e.example/{i}", one(i, i % 3 < 2, i % 2)) for i in range(60)]
+    rows += [(100 + i, f"http://f.example/{i}", f"<body><div class='q'><article>Topic {i} of the day</article></div><div class='z'><p>{f'body{i} ' * 9}</p></div></body>") for i in range(10)]
+    rows += [(200 + i, f"http://g.example/{i}", "<body><article><p>One text of all pages</p></article></body>") for i in range(10)]
+    got = text_of(spark, rows)
+    assert {i: got[i] for i in range(60)} == {i: f"Same news the same words in all of the copies end {i}" if i % 2 else f"News {i} words of page {i} end {i}" for i in range(60)}
+    assert all(got[100 + i] == " ".join([f"body{i}"] * 9) for i in range(10))
+    assert all(got[200 + i] == "One text of all pages" for i in range(10))
+
+
+def test_template_against_plain_classes(spark):
+    """Classes by sums of hashes are those of the occurrence vectors themselves."""
+    rng = random.Random(3)
+    rows = []
+    for h in range(6):
+        shared = [f"<p>shared {h} {j}</p>" for j in range(4)]
+        boxes = [(rng.choice([0.3, 0.6, 0.8]), f"<div class='k{j}'><p>box {j}</p><p>part {j}</p></div>") for j in range(4)]
+        for i in range(rng.choice([5, 8, 13, 40])):
+            inner = "".join(x for x in shared if rng.random() < 0.95) + "".join(x for p, x in boxes if rng.random() < p)
+            rows.append((len(rows), f"http://h{h}.example/{i}", f"<html><body><div class='m'>{inner}<p>own {i} {rng.random()}</p></div>{'<p>again</p>' * rng.randint(0, 2)}</body></html>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)).withColumn("__url", F.col("url"))
+    got = {r["host"]: (set(r["root"]), set(r["nested"])) for r in html.templates(html.token_sums(df, "host", "html")).collect()}
+    hosts = collections.defaultdict(list)
+    for _, url, text in rows:
+        tags, blocks = html.read(text)
+        hosts[url.split("/")[2]].append(collections.Counter([("tag", t, "") for t in tags] + [("block", b.path, " ".join(b.words())) for b in blocks if b.words()]))
+    expected = {}
+    for host, pages in hosts.items():
+        if len(pages) < html.LEAST_PAGES:
+            continue
+        vectors = {t: tuple(p[t] for p in pages) for t in set().union(*pages)}
+        share = {t: sum(map(bool, v)) / len(pages) for t, v in vectors.items()}
+        code = {t: html.block_code(t[1], t[2].split()) for t in vectors if t[0] == "block"}
+        root = {c for t, c in code.items() if share[t] >= html.ROOT_SHARE}
+        nested = {c for t, c in code.items() if html.SHARE <= share[t] < html.ROOT_SHARE and any(
+            u[0] == "tag" and vectors[u] == vectors[t] and f"{t[1]}/".startswith(f"{u[1]}/") for u in vectors)}
+        expected[host] = (root, nested)
+    assert got == expected and any(n for _, n in expected.values())
+
+
+def test_long_page(spark):
+    words = "word " * 300_000
+    got = text_of(spark, [(0, "http://l.example/", f"<article><p>{words}</p>{'<p>x</p>' * 20000}</article>")])
+    assert got[0] == words + " ".join(["x"] * 20000)
+
+
 # 4
 
 def test_shards(spark):
