@@ -15,6 +15,24 @@ from pyspark.sql import functions as F
 from boxloom.session import materialise
 
 FOLD_EDGES = 256
+HEAVY = 1000  # a node with more than this part of all rows is dealt over several keys
+LEAST_DEAL = 64
+
+
+def dealt_join(rows: DataFrame, ones: DataFrame, on: Sequence[str], by: str, total: int) -> DataFrame:
+    """Join of `rows` with `ones`, which holds one row for each `on` and in `n` a bound of how many rows meet it.
+
+    Rows of a node that more than a thousandth of the `total` rows meet are dealt over several keys by `by`,
+    and its one row is repeated for each. There are at most 2000 such nodes, so they are broadcast.
+    """
+    on = list(on)
+    chunk = max(LEAST_DEAL, total // HEAVY)
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    heavy = ones.where(F.col("n") > chunk).select(*on, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(heavy), on, "left").withColumn(
+        "__part", F.coalesce(F.pmod(F.xxhash64(by), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    spread = ones.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
+    return dealt.join(spread, [*on, "__part"]).drop("__part")
 
 
 def _fold_labels(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,18 +57,20 @@ def _fold_labels(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _star_labels(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     edges = materialise(pairs.select(*keys, "u", "v").where("u <> v").distinct())
+    rows = edges.count()
     while True:
         both = edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (both.join(low, [*keys, "u"]).where("v > u")
+        low = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = (dealt_join(both.where("v > u"), low, [*keys, "u"], "v", rows)
                  .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
         down = large.where("u <> v").distinct()
-        low = down.groupBy(*keys, "u").agg(F.min("v").alias("m"))
-        small = (down.join(low, [*keys, "u"]).where("v <> m")
+        low = down.groupBy(*keys, "u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = (dealt_join(down, low, [*keys, "u"], "v", rows).where("v <> m")
                  .select(*keys, F.col("v").alias("u"), F.col("m").alias("v")))
         after = materialise(small.unionByName(low.select(*keys, "u", F.col("m").alias("v"))).distinct())
         moved = after.join(edges, [*keys, "u", "v"], "left_anti").limit(1).count()
-        same = moved == 0 and after.count() == edges.count()
+        before, rows = rows, after.count()
+        same = moved == 0 and rows == before
         edges = after
         if same:
             break

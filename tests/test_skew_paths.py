@@ -73,7 +73,7 @@ def test_many_copies_need_few_rounds(spark):
 def test_components(spark, fold_edges):
     rng = random.Random(3)
     edges = [("b", p, a, c) for p in range(2) for a, c in {tuple(sorted(rng.sample(range(20), 2))) for _ in range(12)}]
-    edges += [("b", 9, n, n + 1) for n in range(20)]
+    edges += [("b", 9, n, n + 1) for n in range(20)] + [("b", 10, 500, n) for n in range(501, 800)]  # a chain, a hub
     pairs = spark.createDataFrame(edges, "book_id string, page bigint, u bigint, v bigint")
     got = {(r.page, r.node): r.label for r in graph.component_labels(pairs, ["book_id", "page"], fold_edges=fold_edges).collect()}
     parent = {}
