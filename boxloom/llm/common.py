@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxloom.operators.graph import dealt_join
 from boxloom.session import ensure_checkpoint_dir
 
 CHUNK_CHARS = 1_000_000  # characters of text that a task takes apart at a time
@@ -91,23 +92,22 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     Alternating star contraction: each round replaces the links of a node by links to its
     smallest neighbour, by grouped minima and joins, until nothing moves. The number of rounds
     grows with the logarithm of the number of nodes. Each round is written to the shared folder.
-    A hub is one row per neighbour on one side of a join and one row on the other, which an
-    adaptive skew join splits.
+    The neighbours of a hub are dealt over several keys.
     """
     edges = stored(links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "links")
-    before = None
+    before, rows = None, edges.count()
     while True:
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = dealt_join(both.where("v > u"), low, ["u"], "v", rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = dealt_join(large, low, ["u"], "v", rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = stored(small.where("u <> v").distinct(), "links")
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = after
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, rows = tuple(state), state[0]
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

@@ -29,7 +29,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -41,6 +41,7 @@ ROOT_SHARE = 0.9  # pages of the host on which a root token occurs
 SHARE = 0.5  # pages of the host on which a nested class occurs
 TEASER = 4  # how many times an article's words a slot outside must hold to go before it
 TEMPLATE_BYTES = 16 << 20  # templates that go to every executor; larger ones are joined by host
+SALTS = 64  # keys over which the rows of a host are dealt in a join
 ROOM = 400_000  # tokens that a task holds
 
 # Fixed values of HTML
@@ -305,15 +306,15 @@ def templates(sums: DataFrame) -> DataFrame:
     Only blocks in a valid class come here, so a row is as large as the template of its host.
     """
     host = sums.where("kind = 0").select(F.col("host").alias("h"), F.col("pages").alias("hp")).where(F.col("hp") >= LEAST_PAGES)
-    rows = sums.where("kind > 0").join(host, F.col("host") == F.col("h"))
+    rows = _by_host(sums.where("kind > 0"), host, F.col("token"))
     often = rows.where((F.col("kind") != 3) & (F.col("pages") >= SHARE * F.col("hp")))
     everywhere = F.col("pages") >= ROOT_SHARE * F.col("hp")
     tags = often.where("kind = 1").select("host", "path", "a", "b", "pages", "n", ((F.col("n") == F.col("pages")) & everywhere).alias("root"))
     blocks = often.where("kind = 2").select("host", "token", "path", "a", "b", "pages", "n", everywhere.alias("root"))
     # a class is nested where a tag of it stands around a block of it
     t = tags.where("not root").select("host", "a", "b", "pages", "n", F.col("path").alias("tag"))
-    nested = blocks.where("not root").join(t, ["host", "a", "b", "pages", "n"]).where(
-        (F.col("path") == F.col("tag")) | F.col("path").startswith(F.concat("tag", F.lit("/")))).select("host", "token", F.lit(False).alias("root")).distinct()
+    below = blocks.where("not root").withColumn("tag", F.explode(_prefixes("path")))
+    nested = below.join(t, ["host", "a", "b", "pages", "n", "tag"]).select("host", "token", F.lit(False).alias("root")).distinct()
     made = blocks.where("root").select("host", "token", "root").union(nested).groupBy("host").agg(
         F.collect_set(F.when(F.col("root"), F.col("token"))).alias("root"), F.collect_set(F.when(~F.col("root"), F.col("token"))).alias("nested"))
     # a gap of the root is named by the path of the root element around it; it holds the words of all paths below
@@ -327,6 +328,13 @@ def templates(sums: DataFrame) -> DataFrame:
     return made.join(deep, "host", "full").select("host", F.coalesce("root", none).alias("root"), F.coalesce("nested", none).alias("nested"), "gap")
 
 
+def _by_host(rows: DataFrame, hosts: DataFrame, salt: Column, how: str = "inner") -> DataFrame:
+    """Join of rows (`host`) with one row a host (`h`); the rows of a host are dealt over `SALTS` keys."""
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    right = hosts.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, (F.col("host") == F.col("h")) & (F.col("__salt") == F.col("s")), how).drop("__salt", "s", "h")
+
+
 def _prefixes(path: str):
     parts = F.split(path, "/")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
@@ -365,7 +373,7 @@ def main_text(html: str | None, template: frozenset[int] | set[int] = frozenset(
     return " ".join(" ".join(words) for _, words in out)
 
 
-def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", template_bytes: int = TEMPLATE_BYTES) -> DataFrame:
     """(key, url, text, n_chars) of every page.
 
     Null or empty html gives an empty text; pages without a host share one group; repeated rows
@@ -377,8 +385,10 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     sums = stored(token_sums(rows.withColumn("__url", F.col(url)), "__host", html), "sums")  # read four times
     made = stored(templates(sums), "templates")
     size = made.agg(F.sum(F.size("root") * 8 + F.size("nested") * 8 + 64)).first()[0] or 0
-    made = made.select(F.col("host").alias("__h"), F.concat("root", "nested").alias("__template"), F.col("gap").alias("__gap"))
-    joined = rows.join(F.broadcast(made) if size <= TEMPLATE_BYTES else made, F.col("__host") == F.col("__h"), "left")
+    made = made.select(F.col("host").alias("h"), F.concat("root", "nested").alias("__template"), F.col("gap").alias("__gap"))
+    # columns of the caller are named by place, so none clashes
+    rows = rows.toDF("k", "u", "html", "host")
+    joined = rows.join(F.broadcast(made), F.col("host") == F.col("h"), "left") if size <= template_bytes else _by_host(rows, made, F.col("html"), "left")
     fields = [T.StructField(key, pages.schema[key].dataType), T.StructField(url, T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     key_type = to_arrow_type(fields[0].dataType)
 
@@ -396,4 +406,4 @@ def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
                     texts.append(main_text(batch.column(2)[i].as_py(), known[name], batch.column(5)[i].as_py()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(key_type), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [f.name for f in fields])
 
-    return arrow(joined.select(key, url, html, "__host", "__template", "__gap"), run, T.StructType(fields))
+    return arrow(joined.select("k", "u", "html", "host", "__template", "__gap"), run, T.StructType(fields))

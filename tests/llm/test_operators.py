@@ -196,6 +196,8 @@ def test_nested_template(spark):
     assert {i: got[i] for i in range(60)} == {i: f"Same news the same words in all of the copies end {i}" if i % 2 else f"News {i} words of page {i} end {i}" for i in range(60)}
     assert all(got[100 + i] == " ".join([f"body{i}"] * 9) for i in range(10))
     assert all(got[200 + i] == "One text of all pages" for i in range(10))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.main_texts(df, template_bytes=0).collect()} == got  # joined by host, not sent
 
 
 def test_template_against_plain_classes(spark):
@@ -469,9 +471,9 @@ def test_every_link_meets(spark):
 
 
 def test_components(spark):
-    links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 60)] + [(200, 201), (201, 200), (7, 7)]
+    links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 60)] + [(400 + i, 900) for i in range(300)] + [(200, 201), (201, 200), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
-    assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(60)}, 200: 200, 201: 200}
+    assert got == {**{i: 0 for i in range(51)}, **{100 + i: 100 for i in range(60)}, 200: 200, 201: 200, **{400 + i: 400 for i in range(300)}, 900: 400}
 
 
 # 9
