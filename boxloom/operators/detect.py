@@ -162,7 +162,8 @@ def combine_sources(full: DataFrame, tiles: DataFrame) -> DataFrame:
     first = full.withColumn("source", F.lit("full_image")).withColumn("edge_touch", F.lit(False)).withColumn("__k", F.lit(0))
     rows = first.unionByName(tiles.withColumn("__k", F.lit(1)), allowMissingColumns=True)
     order = [F.col("__k"), F.coalesce("y", F.lit(-1)), F.coalesce("x", F.lit(-1)), F.col("boxno")]
-    return split_row_number(rows, PAGE, order, F.col("__k") * 1_000_000 + F.coalesce("y", F.lit(0)), "pos").drop("__k")
+    levels = [F.struct(order[0], order[1].alias("y")), order[2], position_block(F.col("boxno"))]
+    return split_row_number(rows, PAGE, order, levels, "pos").drop("__k")
 
 
 # duplicates ------------------------------------------------------------------------------

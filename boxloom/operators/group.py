@@ -264,7 +264,7 @@ def page_order(groups: DataFrame, right_to_left: bool = True, tie: str = "label"
     g = geo.region()
     cx = geo.center_x(g)
     order = [band(g.t), -cx if right_to_left else cx, geo.center_y(g), F.col(tie)]
-    return split_row_number(groups, PAGE, order, band(g.t), name)
+    return split_row_number(groups, PAGE, order, order[:3], name)
 
 
 def group_detections(boxes: DataFrame, page_width: Column, page_height: Column,

@@ -205,9 +205,16 @@ def status_counts(jobs: DataFrame) -> DataFrame:
 
 
 def newest_first(jobs: DataFrame) -> DataFrame:
-    """Jobs with their place in the category, the newest first; days are numbered apart and carried on."""
+    """Jobs with their place in the category, the newest first; days are numbered apart and carried on.
+
+    A crowded day is cut by the instant and the first characters of the id, a crowded instant by more of them.
+    """
+    created = F.col("created").cast("timestamp")
+    none = F.lit(1 << 62)
+    day = F.coalesce(-F.unix_date(created.cast("date")).cast("bigint"), none)
+    instant = F.struct(F.coalesce(-F.unix_micros(created), none), F.substring("job_id", 1, 6))
     return split_row_number(jobs, ["category"], [F.col("created").desc_nulls_last(), F.col("job_id")],
-                            -F.coalesce(F.unix_date(F.col("created").cast("date")), F.lit(-(1 << 30))), "place", start=1)
+                            [day, instant, F.substring("job_id", 1, 12)], "place", start=1)
 
 
 def last_chapters_first(jobs: DataFrame) -> DataFrame:
@@ -242,13 +249,18 @@ def runtime_summary(runs: DataFrame, pages: DataFrame) -> DataFrame:
                                                        F.try_divide(elapsed, F.nullif("pages", F.lit(0))).alias("per_page"))
 
 
+def _instants(at: str) -> list[Column]:
+    """Levels of rows in the order of (at, seq): the day, the second, then the instant and a block of `seq`."""
+    return [F.date_trunc("day", F.col(at)), F.date_trunc("second", F.col(at)), F.struct(at, position_block(F.col("seq")))]
+
+
 def active_runtime(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Active milliseconds per job from start and stop events; further starts before a stop
     change nothing. `events`: job_id, at (timestamp), seq, kind; `base`: job_id, elapsed_ms.
     A running job also has `running_since`."""
     stop = (F.col("kind") == "stop").cast("bigint")
     numbered = split_running(events.where(F.col("kind").isin("start", "stop")), JOB, [F.col("at"), F.col("seq")],
-                             F.date_trunc("day", F.col("at")), sums={"island": stop}, include_current=False)
+                             _instants("at"), sums={"island": stop}, include_current=False)
     spans = numbered.groupBy(*JOB, "island").agg(
         F.min(F.when(F.col("kind") == "start", F.col("at"))).alias("begin"), F.max(F.when(F.col("kind") == "stop", F.col("at"))).alias("end"))
     length = F.greatest(F.lit(0), F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("begin").cast("timestamp")))
@@ -330,7 +342,7 @@ def failure_limiter(attempts: DataFrame, limit: int = 5, window_seconds: int = 6
     """
     span = window_seconds * 1_000_000
     rows = attempts.withColumn("us", F.unix_micros(F.col("at").cast("timestamp"))).withColumn("part", F.floor(F.col("us") / span))
-    cleared = split_running(rows, ("client",), [F.col("us"), F.col("seq")], F.date_trunc("day", F.col("at")), sums={"cleared": F.col("ok").cast("bigint")})
+    cleared = split_running(rows, ("client",), [F.col("us"), F.col("seq")], _instants("at"), sums={"cleared": F.col("ok").cast("bigint")})
     halo = cleared.withColumn("p", F.explode(F.array(F.col("part"), F.col("part") + 1)))
     failed = ~F.col("ok")
     # attempts of the same time count in the order of seq: the later ones of the range are taken off again

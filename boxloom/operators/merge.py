@@ -74,3 +74,13 @@ def replace_subset(existing: DataFrame, replacement: DataFrame, keys: Sequence[s
     value = [F.when(F.col("x").isNotNull(), F.col(f"x.{c}")).otherwise(F.col(c)).alias(c) for c in rest]
     place = F.when(F.col("__old").isNotNull(), F.col(order)).otherwise(F.coalesce("top", F.lit(0)) + F.col("x_order"))
     return joined.select(*keys, place.alias(order), *value)
+
+
+def as_of(log: DataFrame, key: Sequence[str], upto: int, version: str = "version") -> DataFrame:
+    """A table as it was after change `upto`: the last row of every key, without keys whose last row is `deleted`.
+
+    `log` holds whole rows with the number of their change; a change has at most one row of a key.
+    """
+    rest = [c for c in log.columns if c not in (*key, version)]
+    last = log.where(F.col(version) <= upto).groupBy(*key).agg(F.max_by(F.struct(*rest), version).alias("__x"))
+    return last.select(*key, "__x.*").where(~F.col("deleted")).drop("deleted")

@@ -93,16 +93,21 @@ def record_id(artifact: str, page: Column, boxno: Column, sources: Column | None
 
 
 def record_signature(records: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Hash per page of the records in order, restricted to the fields of a stage.
+    """SHA-256 per page of the records in order, restricted to the fields of a stage.
 
-    Each record is hashed on its own; the page hash covers (position, hash) pairs, so only
-    short hashes meet in one row.
+    A tree of three levels: the hash of a record (its fields as JSON, in the order of their names), of a
+    block of 4096 positions (lines `position:hash`) and of the page (lines `block:hash`). Only a block's
+    hashes meet in one row, and only one hash per block in the row of a page. Any changed, moved,
+    repeated or lost record gives another signature. Records of equal positions go by their hashes.
     """
-    text = F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
-    hashed = records.select(*PAGE, "pos", text.alias("h"))
-    # order-sensitive sum of 64-bit hashes: combines map-side, whatever the page size
-    mixed = F.sum(F.xxhash64("pos", "h").cast("decimal(38,0)"))
-    return hashed.groupBy(*PAGE).agg(F.sha2(mixed.cast("string"), 256).alias("signature"))
+    def over(column: str, hash_of: str) -> Column:
+        lines = F.transform(F.sort_array(F.collect_list(F.struct(column, hash_of))), lambda x: F.concat(x[column].cast("string"), F.lit(":"), x[hash_of]))
+        return F.sha2(F.array_join(lines, "\n"), 256)
+
+    record = F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
+    leaves = records.select(*PAGE, "pos", position_block(F.col("pos")).alias("block"), record.alias("h"))
+    blocks = leaves.groupBy(*PAGE, "block").agg(over("pos", "h").alias("h"))
+    return blocks.groupBy(*PAGE).agg(over("block", "h").alias("signature"))
 
 
 # overlay ---------------------------------------------------------------------------------

@@ -20,6 +20,41 @@ def position_block(position: Column, size: int = BLOCK) -> Column:
     return F.floor(position / F.lit(size)).cast("bigint")
 
 
+def even_buckets(df: DataFrame, group: Sequence[str], levels: Sequence[Column], name: str, size: int = BLOCK) -> DataFrame:
+    """`df` with a bucket `name` of about `size` rows that rises with `levels`, from coarse to fine.
+
+    Every level must rise with the order of the rows that agree in the levels before it. Rows are
+    counted by level; where more than `size` rows share the levels so far, the next one cuts them
+    where the running count passes a multiple of `size`. The counts are pre-aggregated, so a window
+    sees the values of one level inside one value of the level above, never the rows; cuts are kept
+    for crowded values only. The result depends on the rows alone, so every reader gets the same buckets.
+    """
+    marks = [f"__l{i}" for i in range(len(levels))]
+    base = df.withColumns(dict(zip(marks, levels)))
+    out, parts = base, [F.col("__l0").alias("l0")]
+    for i in range(1, len(levels)):
+        path = [*group, *marks[:i]]
+        inside = Window.partitionBy(*path)
+        earlier = inside.orderBy(marks[i]).rowsBetween(Window.unboundedPreceding, -1)
+        cells = base.groupBy(*path, marks[i]).agg(F.count(F.lit(1)).alias("__n"))
+        cut = F.floor(F.coalesce(F.sum("__n").over(earlier), F.lit(0)) / F.lit(size))
+        keys = [*path, marks[i]]
+        cuts = (cells.select(*keys, F.sum("__n").over(inside).alias("__all"), cut.alias("__c")).where(F.col("__all") > size)
+                .select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__c").alias(f"__c{i}")))
+        on = F.lit(True)
+        for n, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"__k{n}"))
+        out = out.join(cuts, on, "left").drop(*[f"__k{n}" for n in range(len(keys))])
+        parts.append(F.coalesce(f"__c{i}", F.lit(0)).alias(f"c{i}"))
+    return out.withColumn(name, F.struct(*parts)).drop(*marks, *[f"__c{i}" for i in range(1, len(levels))])
+
+
+def _keyed(df: DataFrame, group: Sequence[str], bucket: Column | Sequence[Column]) -> DataFrame:
+    if isinstance(bucket, Column):
+        return df.withColumn("__bucket", bucket)
+    return even_buckets(df, group, bucket, "__bucket")
+
+
 def _bucket_prefix(df: DataFrame, group: Sequence[str], aggregates: dict[str, Column],
                    carries: dict[str, Column]) -> DataFrame:
     earlier = (Window.partitionBy(*group).orderBy("__bucket")
@@ -40,9 +75,9 @@ def _join_prefix(df: DataFrame, prefix: DataFrame, group: Sequence[str]) -> Data
 
 
 def split_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                     bucket: Column, name: str, start: int = 0) -> DataFrame:
-    """Dense 0-based number of each row in its group; `bucket` must rise with `order`."""
-    keyed = df.withColumn("__bucket", bucket)
+                     bucket: Column | Sequence[Column], name: str, start: int = 0) -> DataFrame:
+    """Dense 0-based number of each row in its group; `bucket` must rise with `order`, or is a list of levels (`even_buckets`)."""
+    keyed = _keyed(df, group, bucket)
     prefix = _bucket_prefix(keyed, group, {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
     inside = Window.partitionBy(*group, "__bucket").orderBy(*order)
     numbered = keyed.withColumn("__rn", F.row_number().over(inside))
@@ -52,12 +87,12 @@ def split_row_number(df: DataFrame, group: Sequence[str], order: Sequence[Column
             .drop("__rn", "__bucket", "__carry_n"))
 
 
-def split_running(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column,
+def split_running(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column | Sequence[Column],
                   sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
                   mins: dict[str, Column] | None = None, include_current: bool = True) -> DataFrame:
     """Running sum / last non-null value / minimum of earlier rows of the group."""
     sums, lasts, mins = sums or {}, lasts or {}, mins or {}
-    keyed = df.withColumn("__bucket", bucket)
+    keyed = _keyed(df, group, bucket)
     rank = F.struct(*order)
     aggregates: dict[str, Column] = {}
     carries: dict[str, Column] = {}

@@ -207,3 +207,35 @@ def chapter_release(s):
 
     _streamed(chapters.select("series").distinct(), None, lambda rows: live.chapter_release(rows, lambda: chapters, lambda: covered, publish, marks))
     return s.spark.read.schema("series string, job_id string").option("basePath", out).parquet(f"{out}/part=*").select("series", "job_id").distinct()
+
+
+# three states of the chapters: some are still running, then those are complete and the notes reach further, then failed ones are deleted
+VERSIONS = """
+    vs AS (SELECT * FROM (VALUES (1), (2), (3)) x(n)),
+    vt AS (SELECT concat(n, '|', series) AS series, job_id, volume, chapter, seq, has_context, page_count, note, seq <= 2 OR (n > 1 AND seq <= 4) AS covered,
+        CASE WHEN n = 1 AND seq % 2 = 0 AND status = 'complete' THEN 'running' ELSE status END AS status FROM chapters, vs WHERE n < 3 OR status <> 'failed')"""
+
+
+@query("chapter_release_feed", VERSIONS + "," + (books.KEYED + books.GATE).replace("FROM chapters", "FROM vt").replace("seq <= 4", "covered") + """,
+    rel AS (SELECT split_part(g.series, '|', 2) AS series, g.job_id, cast(split_part(g.series, '|', 1) AS bigint) AS version
+      FROM g JOIN vt c USING (series, job_id) WHERE reason = '' AND c.status = 'queued')
+    SELECT r.* FROM rel r LEFT JOIN rel p ON p.series = r.series AND p.job_id = r.job_id AND p.version = r.version - 1 WHERE p.job_id IS NULL""", ("chapters",))
+def chapter_release_feed(s):
+    path, out, marks = scratch(s.spark, "chapter-log"), scratch(s.spark, "released"), scratch(s.spark, "release-marks")
+    seq, complete = F.col("seq"), F.col("status") == "complete"
+    base = s.chapters.withColumn("skip_gate", F.lit(False)).withColumn("deleted", F.lit(False))
+    waiting = (seq % 2 == 0) & complete
+    states = [base.withColumn("covered", seq <= 2).withColumn("status", F.when(waiting, "running").otherwise(F.col("status"))),
+              base.where(waiting | seq.isin(3, 4)).withColumn("covered", seq <= 4),
+              base.where("status = 'failed'").withColumn("covered", seq <= 4).withColumn("deleted", F.lit(True))]
+
+    def publish(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    for version, state in enumerate(states, 1):
+        log = state.withColumn("version", F.lit(version).cast("bigint"))
+        log.write.mode("append").parquet(path)
+        changes = s.spark.readStream.schema(log.schema).parquet(path)
+        live.chapter_release_feed(changes, lambda: s.spark.read.schema(log.schema).parquet(path), publish, marks).trigger(
+            availableNow=True).start().awaitTermination()
+    return s.spark.read.schema("series string, job_id string, version bigint").option("basePath", out).parquet(f"{out}/part=*").select("series", "job_id", "version")

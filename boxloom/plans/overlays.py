@@ -419,14 +419,30 @@ def record_ids(s):
     return s.boxes.select(*PAGE, "boxno", raw.alias("raw_id"), text.alias("text_id"))
 
 
-@query("record_signature", """
-    SELECT DISTINCT book_id, page, CASE WHEN page % 3 = 0 AND n > 1 THEN 'changed' ELSE 'same' END AS state FROM (SELECT book_id, page, count(*) AS n FROM boxes GROUP BY ALL) x""", ("boxes",))
+# a page keeps its records, has one edited, two swapped or the last one repeated; other columns change everywhere
+@query("record_signature", BASE + """,
+    cnt AS (SELECT book_id, page, max(boxno) AS last FROM boxes GROUP BY ALL),
+    aft AS (SELECT b.book_id, b.page, CASE WHEN page % 4 = 2 AND last > 0 AND pos < 2 THEN 1 - pos ELSE pos END AS pos, record_id, boxno,
+          CASE WHEN page % 4 = 1 AND boxno = 1 THEN concat('edited "', text, '"') ELSE text END AS text FROM base b JOIN cnt USING (book_id, page)
+        UNION ALL SELECT b.book_id, b.page, pos + 1, record_id, boxno, text FROM base b JOIN cnt USING (book_id, page) WHERE page % 4 = 3 AND boxno = last),
+    sides AS (SELECT 'x' AS side, book_id, page, pos, record_id, boxno, text FROM base UNION ALL SELECT 'y', * FROM aft),
+    leaf AS (SELECT side, book_id, page, pos, sha256(concat('{"boxno":', boxno, ',"record_id":"', record_id, '","text":"', replace(text, '"', chr(92) || '"'), '"}')) AS h FROM sides),
+    blk AS (SELECT side, book_id, page, pos // 4096 AS block, sha256(string_agg(concat(pos, ':', h), chr(10) ORDER BY pos, h)) AS h FROM leaf GROUP BY ALL),
+    sig AS (SELECT side, book_id, page, sha256(string_agg(concat(block, ':', h), chr(10) ORDER BY block)) AS signature FROM blk GROUP BY ALL)
+    SELECT a.book_id, a.page, a.signature AS before, b.signature, a.signature = b.signature AS same
+    FROM sig a JOIN sig b ON a.book_id = b.book_id AND a.page = b.page WHERE a.side = 'x' AND b.side = 'y'""", ("boxes",))
 def record_signature(s):
     base = records(s)
-    after = base.withColumn("text", F.when((F.col("page") % 3 == 0) & (F.col("boxno") == 1), "edited").otherwise(F.col("text"))).withColumn("l", F.col("l") + 1)
-    a = overlay.record_signature(base, ["record_id", "boxno", "text"]).withColumnRenamed("signature", "x")
-    b = overlay.record_signature(after, ["record_id", "boxno", "text"])
-    return a.join(b, list(PAGE)).select(*PAGE, F.when(F.col("x") == F.col("signature"), "same").otherwise("changed").alias("state"))
+    page, pos = F.col("page") % 4, F.col("pos")
+    last = base.groupBy(*PAGE).agg(F.max("boxno").alias("last"))
+    known = base.join(last, list(PAGE))
+    edited = known.withColumn("text", F.when((page == 1) & (F.col("boxno") == 1), F.concat(F.lit('edited "'), "text", F.lit('"'))).otherwise(F.col("text")))
+    swapped = edited.withColumn("pos", F.when((page == 2) & (F.col("last") > 0) & (pos < 2), 1 - pos).otherwise(pos)).withColumn("l", F.col("l") + 1)
+    after = swapped.unionByName(known.where((page == 3) & (F.col("boxno") == F.col("last"))).withColumn("pos", pos + 1))
+    fields = ["record_id", "boxno", "text"]
+    a = overlay.record_signature(base, fields).withColumnRenamed("signature", "before")
+    b = overlay.record_signature(after, fields)
+    return a.join(b, list(PAGE)).withColumn("same", F.col("before") == F.col("signature"))
 
 
 # stages ----------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from boxloom.operators import jobs, series
+from boxloom.operators import jobs, merge, series
 from boxloom.streaming.tail import LogTail
 
 LIMIT_OUT = "client bigint, seq bigint, failures bigint, retry_after bigint"
@@ -108,3 +108,32 @@ def chapter_release(changes: DataFrame, chapters: Callable[[], DataFrame], cover
         publish(gate.where("ready").join(queued, ["series", "job_id"], "left_semi"), number)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def chapter_release_feed(changes: DataFrame, history: Callable[[], DataFrame], publish: Callable[[DataFrame, int], None],
+                         checkpoint: str):
+    """Find the queued chapters that a change lets start, each once, when it happens.
+
+    `changes` streams a log of whole chapter rows: version, series, job_id, volume, chapter, status,
+    has_context, skip_gate, covered (by the series notes), deleted. Versions rise from batch to
+    batch. `history` reads the same log as a table. A batch compares the series it touches as
+    they were before its first version and after its last one, so both states follow from the log
+    and the batch alone: a batch that is repeated after a failure releases the same chapters, though
+    the log has grown since. `publish` gets (series, job_id, version) and the number of the batch.
+    """
+    key = ("series", "job_id")
+
+    def ready(log: DataFrame, upto: int) -> DataFrame:
+        now = merge.as_of(log, key, upto)
+        gate = series.series_gate(now, series.coverage_boundary(now))
+        return gate.where("ready").join(now.where("status = 'queued'").select(*key), list(key), "left_semi").select(*key)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        first, last = rows.agg(F.min("version"), F.max("version")).first()
+        if last is None:
+            return
+        log = history().join(rows.select("series").distinct(), "series", "left_semi")
+        freed = ready(log, last).join(ready(log, first - 1), list(key), "left_anti")
+        publish(freed.withColumn("version", F.lit(last).cast("bigint")), number)
+
+    return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -246,3 +246,46 @@ def test_large_components_are_walked_in_box_order(spark, count, spread):
         rows.append(("b", 0, n, l, t, l + w, t + h, rng.choice([None, 0.5, 0.54, 0.56, 0.7, 0.9]), rng.choice(["", "a", "ab", "x y"]), rng.random() < 0.3))
     out = detect.dedupe_detections(spark.createDataFrame(rows, BOX)).collect()
     assert [r.source_boxno for r in sorted(out, key=lambda r: r.boxno)] == plain_dedupe(rows)
+
+
+def test_buckets_of_a_crowded_day_are_even(spark):
+    n = F.col("id")
+    # a million rows of one key in one day: half in one second, a tenth at one instant
+    us = F.when(n % 10 == 0, F.lit(5_000_000)).when(n % 2 == 0, 5_000_000 + n % 9000).otherwise(n * 7919 % 86_400_000_000)
+    rows = spark.range(1_000_000).select(F.lit("k").alias("job_id"), F.timestamp_micros(us).alias("at"), n.alias("seq"))
+    from boxloom.operators.jobs import _instants
+    cut = ranking.even_buckets(rows, ["job_id"], _instants("at"), "bucket")
+    sizes = [r[1] for r in cut.groupBy("bucket").count().collect()]
+    assert sum(sizes) == 1_000_000 and max(sizes) <= 0.02 * 1_000_000
+    ranges = cut.groupBy("bucket").agg(F.min(F.struct("at", "seq")).alias("a"), F.max(F.struct("at", "seq")).alias("z")).orderBy("bucket").collect()
+    assert all(x.z < y.a for x, y in zip(ranges, ranges[1:]))
+
+
+@pytest.mark.parametrize("size", [1, 3, 50])
+def test_numbers_by_levels_are_those_of_a_plain_sort(spark, size):
+    rng = random.Random(size)
+    rows = [(rng.choice(["a", None]), rng.choice([None, 0, 1]), rng.choice([None, 3, 4, 5]), n) for n in range(200)]
+    frame = spark.createDataFrame(rows, "g string, x bigint, y bigint, n bigint")
+    cut = ranking.even_buckets(frame, ["g"], [F.col("x"), F.col("y"), F.col("n")], "bucket", size)
+    placed = ranking.split_row_number(cut, ["g"], [F.col("x"), F.col("y"), F.col("n")], F.col("bucket"), "place").collect()
+    low = lambda v: -1 if v is None else v
+    for g in ("a", None):
+        order = sorted((r for r in placed if r.g == g), key=lambda r: (low(r.x), low(r.y), r.n))
+        assert [r.place for r in order] == list(range(len(order)))
+    assert len(placed) == 200
+    assert max(r[2] for r in cut.groupBy("g", "bucket").count().collect()) <= 2 * size
+
+
+def test_signature_sees_every_change_of_a_page_of_many_blocks(spark):
+    from boxloom.operators import overlay
+    base = spark.range(10_000).select(F.lit("b").alias("book_id"), F.lit(0).alias("page"), F.col("id").alias("pos"), F.concat(F.lit("t"), "id").alias("text"))
+
+    def signed(df):
+        return overlay.record_signature(df, ["text"]).first().signature
+
+    want = signed(base)
+    swapped = base.withColumn("pos", F.when(F.col("pos") == 10, 5000).when(F.col("pos") == 5000, 10).otherwise(F.col("pos")))
+    changed = base.withColumn("text", F.when(F.col("pos") == 9999, None).otherwise(F.col("text")))
+    assert signed(base.repartition(7)) == want
+    assert len({want, signed(swapped), signed(changed), signed(base.union(base.limit(1))), signed(base.where("pos <> 4096"))}) == 5
+    assert overlay.record_signature(base.where("pos < 0"), ["text"]).count() == 0
