@@ -568,11 +568,14 @@ def titles_and_names(s):
     return s.pages.select("page_id", tx.clean_title(quoted).alias("title"), tx.default_job_name(F.concat(F.col("url"), F.lit(".cbz")), F.lit("j")).alias("job_name"))
 
 
+# addresses repeated until many pass the longest names
 @query("safe_names", r"""
-    SELECT page_id, rtrim(substr(trim(regexp_replace(regexp_replace(url, '[\\/\x00-\x1f\x7f]+', ' - ', 'g'), '\s+', ' ', 'g'), ' .'), 1, 30), ' .') AS job_name,
-      substr(trim(regexp_replace(url, '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '. '), 1, 30) AS file_name FROM pages""")
+    n AS (SELECT page_id, repeat(concat(url, '/'), cast(1 + page_id % 9 AS integer)) AS url FROM pages)
+    SELECT page_id, rtrim(substr(trim(regexp_replace(regexp_replace(url, '[\\/\x00-\x1f\x7f]+', ' - ', 'g'), '\s+', ' ', 'g'), ' .'), 1, 256), ' .') AS job_name,
+      substr(trim(regexp_replace(url, '[\\/:*?"<>|\x00-\x1f]', '_', 'g'), '. '), 1, 180) AS file_name FROM n""")
 def safe_names(s):
-    return s.pages.select("page_id", tx.safe_job_name(F.col("url"), F.lit("x"), 30).alias("job_name"), tx.safe_file_name(F.col("url"), F.lit("x"), 30).alias("file_name"))
+    url = F.repeat(F.concat("url", F.lit("/")), (1 + F.col("page_id") % 9).cast("int"))
+    return s.pages.select("page_id", tx.safe_job_name(url, F.lit("x")).alias("job_name"), tx.safe_file_name(url, F.lit("x")).alias("file_name"))
 
 
 @query("languages", """

@@ -188,12 +188,15 @@ def token_meter_stream(s):
 
 @query("failure_limiter_stream", books.LIMITER)
 def failure_limiter_stream(s):
-    return _drained(books.attempts(s), lambda rows: live.failure_limiter(rows, 3, 259_200, "1 day"), "append", "at").drop("batch")
+    with live.state_in_rocksdb(s.spark):
+        found = _drained(books.attempts(s), lambda rows: live.failure_limiter(rows, 3, 259_200, 86_400), "append", "at")
+    return found.where("NOT late").drop("batch", "late")
 
 
 @query("runtime_state_stream", books.RUNTIME + books.RUNTIME_RESULT)
 def runtime_state_stream(s):
-    done = _latest(_drained(books.runtime_events(s), live.runtime_state, "update", "at"), "job_id")
+    with live.state_in_rocksdb(s.spark):
+        done = _latest(_drained(books.runtime_events(s), live.runtime_state, "update", "at"), "job_id")
     return done.withColumn("running_since", F.col("running_since").cast("timestamp_ntz"))
 
 
